@@ -180,29 +180,33 @@ def sliced_facts(member_rows: DataFrame, by: list[str], partitions: int | None =
 
 
 def facts(
-    member_rows: DataFrame, by: list[str] = KEYS, *, hot: str = "auto", bound: int = 100_000
+    member_rows: DataFrame, by: list[str] = KEYS, *, hot: str = "auto", bound: int = 100_000,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """One row of facts per group, with hot groups kept apart.
 
-    hot="auto"    count rows per group first (key columns only) and slice the
-                  groups above `bound`; with none, the plan is a single shuffle.
+    hot="auto"    count rows first and slice the groups that may exceed `bound`;
+                  with none, the plan is a single shuffle.
     hot="none"    the caller knows that all groups are small: no count.
     hot="sliced"  slice everything: no count, no size assumption.
+
+    The count is taken per flow key and host pair, over `counted` (the packets
+    before ICMP is re-keyed) where given: every group lies within one such pair.
     """
     if hot == "none":
         return group_facts(member_rows, by)
     if hot == "sliced":
         return sliced_facts(member_rows, by)
-    heavy = skew.heavy_groups(member_rows, by, bound)
+    pair = ["flow_key", "pair_key"]
+    heavy = skew.heavy_groups(member_rows if counted is None else counted, pair, bound)
     if heavy is None:  # too many to broadcast
         return sliced_facts(member_rows, by)
     if not heavy:
         return group_facts(member_rows, by)
     spark = member_rows.sparkSession
-    schema = member_rows.select(*by).schema.add("_n", "long")
-    marks = F.broadcast(spark.createDataFrame(heavy, schema).drop("_n").withColumn("_hot", F.lit(True)))
-    # keys are never null here: they come from `members`
-    marked = member_rows.join(marks, by, "left")
+    marks = spark.createDataFrame([(r["flow_key"], r["pair_key"], True) for r in heavy],
+                                  "flow_key long, pair_key string, _hot boolean")
+    marked = member_rows.join(F.broadcast(marks), pair, "left")  # at most skew.MAX_HEAVY rows
     width = max(skew.shuffle_width(member_rows), sum(r["n"] for r in heavy) // 1_000_000 + 1)
     cold = group_facts(marked.where(F.col("_hot").isNull()).drop("_hot"), by)
     return cold.unionByName(sliced_facts(marked.where("_hot").drop("_hot"), by, width))
@@ -233,11 +237,11 @@ def assemble(
     """
     rows = members(packets, rules)
     if gap_us is None:
-        return finish(facts(rows, KEYS, hot=hot, bound=bound))
+        return finish(facts(rows, KEYS, hot=hot, bound=bound, counted=packets))
     # packets of one bucket are closer than the gap, so a bucket never splits;
     # sessions are then found over one row per flow and bucket
     bucketed = rows.withColumn("_bucket", F.floor(F.col("timestamp") / gap_us))
-    parts = facts(bucketed, [*KEYS, "_bucket"], hot=hot, bound=bound)
+    parts = facts(bucketed, [*KEYS, "_bucket"], hot=hot, bound=bound, counted=packets)
     by_time = W.partitionBy(*KEYS).orderBy("_bucket")
     starts = F.col("first.timestamp") - F.lag("last.timestamp").over(by_time) > gap_us
     numbered = parts.withColumn("_starts", F.coalesce(starts, F.lit(False)).cast("int")).withColumn(

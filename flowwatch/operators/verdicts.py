@@ -136,8 +136,7 @@ def history(verdict_rows: DataFrame) -> DataFrame:
     return verdict_rows.where(F.col("verdict").isin(V.HISTORY_LABELS)).select(
         F.col("remote").alias("source"),
         "flow_key",
-        F.coalesce("own_first.l4_key", "l4_key").alias("l4_key") if "l4_key" not in verdict_rows.columns
-        else F.col("l4_key"),
+        "l4_key",
         "pair_key",
         F.col("host_port").alias("port"),
         "n_packets",
