@@ -7,6 +7,8 @@ Missing fields read as false.
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,23 +168,32 @@ def with_tcp_fields(packets: DataFrame) -> DataFrame:
     return packets.withColumns({name: c for name, c in info.items() if name not in packets.columns})
 
 
-def symbol() -> Column:
+# letter of a packet's flags, as the sequence rules tell them apart
+FLAG_LETTERS = {
+    "": "N", "SYN": "S", "SYN,ACK": "C", "ACK": "A", "RST": "R", "RST,ACK": "K", "ACK,RST": "T",
+    "FIN": "F", "FIN,ACK": "M", "ACK,FIN": "V", "PSH,ACK": "P", "ACK,PSH": "P",
+    **{",".join(order): "Z" for order in permutations(("FIN", "PSH", "URG"))},
+}
+
+
+def kind() -> Column:
     """One letter for what the sequence rules need to know of a packet.
 
-    U/I: UDP or ICMP packet. S, C, A, R, K: flags exactly SYN / SYN,ACK / ACK /
-    RST / RST,ACK. X: anything else. Upper case is incoming, lower case outgoing.
+    Upper case is incoming, lower case outgoing.
+    U  UDP    I  ICMP    Q  ICMP port unreachable
+    J  SCTP with INIT    B  SCTP, ABORT first    Y  both
+    N  no flags    S C A R K T F M V P Z  the flag sets of FLAG_LETTERS    X  any other
     """
+    known = F.create_map(*[F.lit(x) for pair in FLAG_LETTERS.items() for x in pair])
+    by_flags = F.coalesce(F.try_element_at(known, F.array_join("flags", ",")), F.lit("X"))
     letter = (
-        F.when(is_protocol(V.UDP), "U")
-        .when(is_protocol(V.ICMP), "I")
-        .when(only_syn(), "S")
-        .when(syn_ack(), "C")
-        .when(only_ack(), "A")
-        .when(only_rst(), "R")
-        .when(rst_ack(), "K")
-        .otherwise("X")
+        F.when(F.col("protocol") == V.UDP, "U")
+        .when(F.col("protocol") == V.ICMP, F.when(port_unreachable(), "Q").otherwise("I"))
+        .when(contains_init(), F.when(abort_first(), "Y").otherwise("J"))
+        .when(abort_first(), "B")
+        .otherwise(by_flags)
     )
-    return F.when(is_outgoing(), F.lower(letter)).otherwise(letter)
+    return F.when(F.col("direction") == V.OUTCOME, F.lower(letter)).otherwise(letter)
 
 
 # --- keys and display text -------------------------------------------------

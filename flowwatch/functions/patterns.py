@@ -1,4 +1,9 @@
-"""Flow rules over the columns that `operators.flows` builds."""
+"""Flow rules over the columns that `operators.flows` builds.
+
+A rule is SQL text over one flow row (`*_rule`), so that the verdict cascade can
+be put together as one CASE; the functions of the same name give it as a Column.
+Packet letters: see `functions.packet.kind`. Upper case is incoming.
+"""
 
 from __future__ import annotations
 
@@ -6,175 +11,195 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowwatch import fixed_values as V
-from flowwatch.functions import packet as P
 from flowwatch.rules import Rules
 
+TCP, UDP, SCTP = (f"protocol = '{p}'" for p in (V.TCP, V.UDP, V.SCTP))
+TWO = "n_packets = 2"
 
-def _first() -> Column:
-    return F.col("first")
 
+def either(*rules: str) -> str:
+    return "(" + " OR ".join(rules) + ")"
 
-def _last() -> Column:
-    return F.col("last")
 
+def every(*rules: str) -> str:
+    return "(" + " AND ".join(rules) + ")"
 
-def _is(protocol: str) -> Column:
-    return P.is_protocol(protocol)
 
+def first_is(letters: str) -> str:
+    return _kind("first", letters)
 
-def _letters(pattern: str) -> Column:
-    """The whole path; only for patterns of at most four letters."""
-    return F.col("path").rlike(f"^{pattern}$")
 
+def last_is(letters: str) -> str:
+    return _kind("last", letters)
 
-def _within(limit_us: int) -> Column:
-    return _last()["timestamp"] - _first()["timestamp"] <= limit_us
 
+def _kind(packet: str, letters: str) -> str:
+    return f"{packet}.kind IN ({', '.join(repr(x) for x in letters)})"
 
-def _number(value: Column) -> Column:
-    return value.try_cast("bigint")
 
+def _known(test: str) -> str:
+    return f"coalesce({test}, false)"
 
-def two_packets() -> Column:
-    return F.col("n_packets") == 2
 
+def _number(value: str) -> str:
+    return f"try_cast({value} AS bigint)"
 
-def host_initiated() -> Column:
-    opening = (_is(V.TCP) & P.only_syn(_first())) | (_is(V.SCTP) & P.contains_init(_first()))
-    return opening & P.is_outgoing(_first())
 
+def _within(limit_us: int) -> str:
+    return f"last.timestamp - first.timestamp <= {limit_us}"
 
-def properly_closed() -> Column:
-    return (
-        F.when(_is(V.TCP), F.col("saw_fin_in") & F.col("saw_fin_out"))
-        .when(_is(V.SCTP), F.col("saw_shutdown"))
-        .otherwise(True)
-    )
 
+BAD_CHECKSUM = "coalesce(last.checksum_correct, '') <> 'true'"
+INITIATED = either(every(TCP, first_is("s")), every(SCTP, first_is("jy")))
+TCP_PROPER = every("saw_fin_in", "saw_fin_out")
+PROPERLY_CLOSED = f"(CASE WHEN {TCP} THEN {TCP_PROPER} WHEN {SCTP} THEN saw_shutdown ELSE true END)"
+TWO_CLOSED = every(TWO, "path IN ('Sr', 'Sk')")
+FOUR_CONNECT = every("n_packets = 4", "path IN ('ScAR', 'ScAK')")
+UDP_CLOSED = (
+    f"(CASE WHEN first.kind = upper(first.kind) AND {last_is('q')} THEN true WHEN {last_is('u')} THEN false "
+    "ELSE n_packets > 2 AND pair_unreachable END)"
+)
+SCTP_CLOSED = every(TWO, first_is("JY"), last_is("byiq"))
+PORT_CLOSED = (
+    f"(CASE WHEN {TCP} THEN pair_closed WHEN {SCTP} THEN {SCTP_CLOSED} WHEN {UDP} THEN {UDP_CLOSED} ELSE false END)"
+)
+DATA_SENT = (
+    f"(CASE WHEN {TCP} THEN saw_tcp_data AND upper(path) NOT IN ('SCAK', 'SK') "
+    f"WHEN {SCTP} THEN saw_data_chunk WHEN {UDP} THEN saw_in_payload ELSE false END)"
+)
+NULL_SCAN = every(TCP, "saw_no_flags")
+XMAS = every(
+    TCP, TWO, first_is("Z"), last_is("Kk"), _known("last.win = '0'"),
+    _known(f"{_number('last.ack')} - 1 = {_number('first.seq')}"),
+)
+NOT_FINISHED = every(TCP, last_is("RrKk"))
+LAST_RESET = last_is("RrKk")
+LAST_INCOMING = "(last.kind = upper(last.kind))"
+INTERNET_INCOMING = every(
+    f"protocol IN ({', '.join(repr(p) for p in V.INTERNET_PROTOCOLS)})", "saw_incoming"
+)
 
-def closed(rules: Rules = Rules()) -> Column:
-    sctp = F.col("saw_shutdown") if rules.sctp_closes else F.lit(False)
-    return (
-        F.when(_is(V.TCP), F.col("saw_reset") | properly_closed())
-        .when(_is(V.SCTP), sctp)
-        .otherwise(False)
+
+def closed_rule(rules: Rules = Rules()) -> str:
+    sctp = "saw_shutdown" if rules.sctp_closes else "false"
+    return f"(CASE WHEN {TCP} THEN saw_reset OR {TCP_PROPER} WHEN {SCTP} THEN {sctp} ELSE false END)"
+
+
+def suspicious_ack_win_rule(rules: Rules = Rules()) -> str:
+    size = [TWO] if rules.two_packet_ack_win else []
+    return every(TCP, *size, first_is("A"), last_is("Rr"), _within(rules.max_gap_us))
+
+
+def ack_win_rule(rules: Rules = Rules()) -> str:
+    return every(suspicious_ack_win_rule(rules), _known("first.seq = '0'"))
+
+
+def suspicious_maimon_rule(rules: Rules = Rules()) -> str:
+    return every(TCP, TWO, first_is("MV"), last_is("r"), _within(rules.max_gap_us))
+
+
+def maimon_rule(rules: Rules = Rules()) -> str:
+    return every(
+        suspicious_maimon_rule(rules), BAD_CHECKSUM, _known("first.seq = '0' AND first.win = '1024'")
     )
 
 
-def closed_two_packets() -> Column:
-    return two_packets() & _letters("S[rk]")
+def _ack_follows(rules: Rules) -> str:
+    # the literal rule appends the digit 1 to the sequence number
+    after = f"{_number('first.seq')} + 1" if rules.full_fin_rule else _number("concat(first.seq, '1')")
+    return _known(f"{_number('last.ack')} = {after}")
 
 
-def connect_four_packets() -> Column:
-    return (F.col("n_packets") == 4) & _letters("ScA[RK]")
+_FIN_PROBE = every(TCP, TWO, first_is("F"))
 
 
-def udp_port_closed() -> Column:
-    first, last = _first(), _last()
-    unreachable = P.is_incoming(first) & P.is_outgoing(last) & P.is_protocol(V.ICMP, last) & P.port_unreachable(last)
-    replied = P.is_outgoing(last) & P.is_protocol(V.UDP, last)
-    return (
-        F.when(unreachable, True)
-        .when(replied, False)
-        .otherwise((F.col("n_packets") > 2) & F.col("pair_unreachable"))
+def fin_rule(rules: Rules = Rules()) -> str:
+    reply = every(
+        last_is("Kk"), BAD_CHECKSUM, _known("last.seq = '1' AND last.win = '0'"), _ack_follows(rules)
     )
+    if not rules.full_fin_rule:
+        return every(TCP, reply)
+    return every(_FIN_PROBE, _known("first.seq = '1' AND first.win = '1024'"), reply)
+
+
+def suspicious_fin_rule(rules: Rules = Rules()) -> str:
+    return every(_FIN_PROBE, last_is("Kk"), _ack_follows(rules))
+
+
+# --- the rules as columns ---------------------------------------------------------
+
+
+def host_initiated() -> Column:
+    return F.expr(INITIATED)
+
+
+def closed(rules: Rules = Rules()) -> Column:
+    return F.expr(closed_rule(rules))
+
+
+def properly_closed() -> Column:
+    return F.expr(PROPERLY_CLOSED)
+
+
+def closed_two_packets() -> Column:
+    return F.expr(TWO_CLOSED)
+
+
+def connect_four_packets() -> Column:
+    return F.expr(FOUR_CONNECT)
 
 
 def port_closed() -> Column:
-    first, last = _first(), _last()
-    sctp = (
-        two_packets() & P.is_incoming(first) & P.contains_init(first) & P.is_outgoing(last)
-        & (P.abort_first(last) | P.is_protocol(V.ICMP, last))
-    )
-    return (
-        F.when(_is(V.TCP), F.col("pair_closed"))
-        .when(_is(V.SCTP), sctp)
-        .when(_is(V.UDP), udp_port_closed())
-        .otherwise(False)
-    )
+    return F.expr(PORT_CLOSED)
 
 
-def data_sent() -> Column:
-    plain_connect = (F.col("n_packets") == 4) & _letters("[Ss][Cc][Aa][Kk]")
-    plain_refusal = two_packets() & _letters("[Ss][Kk]")
-    return (
-        F.when(_is(V.TCP), ~plain_connect & ~plain_refusal & F.col("saw_tcp_data"))
-        .when(_is(V.SCTP), F.col("saw_data_chunk"))
-        .when(_is(V.UDP), F.col("saw_in_payload"))
-        .otherwise(False)
-    )
+def udp_port_closed() -> Column:
+    return F.expr(every(UDP, UDP_CLOSED))
 
 
-def suspicious_ack_win(rules: Rules = Rules()) -> Column:
-    size = two_packets() if rules.two_packet_ack_win else F.lit(True)
-    return (
-        _is(V.TCP) & size & P.is_incoming(_first()) & P.only_ack(_first())
-        & P.only_rst(_last()) & _within(rules.max_gap_us)
-    )
+def data_sent() -> Column:
+    return F.expr(DATA_SENT)
 
 
 def ack_win(rules: Rules = Rules()) -> Column:
-    return suspicious_ack_win(rules) & P.yes(_first()["seq"] == "0")
+    return F.expr(ack_win_rule(rules))
 
 
-def null_scan() -> Column:
-    return _is(V.TCP) & F.col("saw_no_flags")
+def suspicious_ack_win(rules: Rules = Rules()) -> Column:
+    return F.expr(suspicious_ack_win_rule(rules))
 
 
-def suspicious_maimon(rules: Rules = Rules()) -> Column:
-    return (
-        _is(V.TCP) & two_packets() & P.is_incoming(_first()) & P.only_fin_ack(_first())
-        & P.is_outgoing(_last()) & P.only_rst(_last()) & _within(rules.max_gap_us)
-    )
+def null_scan() -> Column:
+    return F.expr(NULL_SCAN)
 
 
 def maimon(rules: Rules = Rules()) -> Column:
-    return (
-        suspicious_maimon(rules) & P.checksum_bad(_last())
-        & P.yes(_first()["seq"] == "0") & P.yes(_first()["win"] == "1024")
-    )
+    return F.expr(maimon_rule(rules))
 
 
-def xmas() -> Column:
-    follows = _number(_last()["ack"]) - 1 == _number(_first()["seq"])
-    return (
-        _is(V.TCP) & two_packets() & P.is_incoming(_first()) & P.only_fin_psh_urg(_first())
-        & P.rst_ack(_last()) & P.yes(_last()["win"] == "0") & P.yes(follows)
-    )
-
-
-def _ack_follows(rules: Rules) -> Column:
-    if rules.full_fin_rule:
-        return P.yes(_number(_last()["ack"]) == _number(_first()["seq"]) + 1)
-    # the literal rule appends the digit 1 to the sequence number
-    return P.yes(_number(_last()["ack"]) == _number(F.concat(_first()["seq"], F.lit("1"))))
+def suspicious_maimon(rules: Rules = Rules()) -> Column:
+    return F.expr(suspicious_maimon_rule(rules))
 
 
-def _fin_probe() -> Column:
-    return _is(V.TCP) & two_packets() & P.is_incoming(_first()) & P.only_fin(_first())
+def xmas() -> Column:
+    return F.expr(XMAS)
 
 
 def fin_scan(rules: Rules = Rules()) -> Column:
-    reply = (
-        P.rst_ack(_last()) & P.yes(_last()["seq"] == "1") & P.checksum_bad(_last())
-        & P.yes(_last()["win"] == "0") & _ack_follows(rules)
-    )
-    if not rules.full_fin_rule:
-        return _is(V.TCP) & reply
-    return _fin_probe() & P.yes(_first()["seq"] == "1") & P.yes(_first()["win"] == "1024") & reply
+    return F.expr(fin_rule(rules))
 
 
 def suspicious_fin(rules: Rules = Rules()) -> Column:
-    return _fin_probe() & P.rst_ack(_last()) & _ack_follows(rules)
+    return F.expr(suspicious_fin_rule(rules))
 
 
 def not_properly_finished() -> Column:
-    return _is(V.TCP) & P.reset_reply(_last())
+    return F.expr(NOT_FINISHED)
 
 
 def last_is_incoming() -> Column:
-    return P.is_incoming(_last())
+    return F.expr(LAST_INCOMING)
 
 
 def incoming_internet() -> Column:
-    return P.in_internet_layer(F.col("protocol")) & F.col("saw_incoming")
+    return F.expr(INTERNET_INCOMING)

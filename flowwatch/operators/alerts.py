@@ -55,7 +55,7 @@ def tcp_tools(attack_type: Column, rules: Rules = Rules()) -> Column:
             both = F.when(F.size(both) == 0, _list([V.UNKNOWN])).otherwise(both)
         return F.when(F.size(by_header) == 1, by_header).otherwise(both)
 
-    known = P.is_protocol(V.TCP, first)
+    known = first["protocol"] == V.TCP
     return (
         F.when(known & (attack_type == "TCP SYN"), resolve("TCP SYN"))
         .when(known & (attack_type == "TCP CONNECT"), resolve("TCP CONNECT"))
@@ -69,9 +69,9 @@ def payload_tools(rules: Rules = Rules()) -> Column:
     result = F.lit(None).cast(_NONE)
     for protocol in (V.UDP, V.ICMP):
         by_length = F.coalesce(_lookup(V.TOOLS_BY_LENGTH[protocol], first["length"]), _list([V.NMAP]))
-        result = F.when(P.is_protocol(protocol, first), by_length).otherwise(result)
+        result = F.when(first["protocol"] == protocol, by_length).otherwise(result)
     if rules.ip_arp_tools:
-        bare = P.yes(first["protocol"].isin(V.IPV4, V.IPV6, V.ARP))
+        bare = first["protocol"].isin(V.IPV4, V.IPV6, V.ARP)
         result = F.when(bare, _list([V.NMAP])).otherwise(result)
     return F.coalesce(result, _list([V.UNKNOWN]))
 
@@ -80,69 +80,70 @@ def attack_tools(attack_type: Column) -> Column:
     return F.coalesce(_lookup(V.TOOLS_BY_ATTACK, attack_type), _list([V.UNKNOWN]))
 
 
-_COLUMNS = ["time", "scan_type", "attack_type", "attacker", "tools", "port", "chance", *FL.KEYS]
+COLUMNS = ["time", "scan_type", "attack_type", "attacker", "tools", "port", "chance", *FL.KEYS]
 
 
-def _alert(flow_rows: DataFrame, scan_type: str) -> DataFrame:
-    return flow_rows.withColumns({"time": F.col("last_ts"), "scan_type": F.lit(scan_type)}).select(*_COLUMNS)
+def raise_alerts(flow_rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Flows with an `outcome` (alert kind) and a `chance` -> alerts, in one projection.
+
+    Attack kinds and port scans need an incoming packet; network scans fall back
+    to the other end of the first outgoing one. Kinds without an alert are dropped.
+    """
+    direct = {
+        k: t for k, t in V.DIRECT_ATTACK_TYPE.items()
+        if rules.maimon_fin_alerts or k not in (V.MAIMON, V.FIN_SCAN)
+    }
+    network = {p: t for p, t in V.NETWORK_ATTACK_TYPE.items() if p != V.SCTP or rules.sctp_alerts}
+    kind, first, first_in = F.col("outcome"), F.col("first.protocol"), F.col("first_in.protocol")
+    is_direct, is_port, is_network = (
+        kind.isin(list(direct)), kind == V.PORT_SCAN_ALERT, kind == V.NETWORK_ALERT
+    )
+    attack_type = (
+        F.when(is_direct & first_in.isNotNull(), F.try_element_at(SC.literal_map(direct), kind))
+        .when(is_port & (first_in == V.TCP), technique(rules))
+        .when(is_port & (first_in == V.UDP), "UDP")
+        .when(is_network & (first == V.TCP), technique(rules))
+        .when(is_network, F.try_element_at(SC.literal_map(network), first))
+    )
+    typed = flow_rows.withColumn("attack_type", attack_type).where(F.col("attack_type").isNotNull())
+    tools = (
+        F.when(is_direct, attack_tools(F.col("attack_type")))
+        .when(F.col("attack_type").isin("TCP SYN", "TCP CONNECT", V.UNKNOWN), tcp_tools(F.col("attack_type"), rules))
+        .otherwise(payload_tools(rules))
+    )
+    return typed.select(
+        F.col("last_ts").alias("time"),
+        F.when(is_network, V.NETWORK_SCAN).otherwise(V.PORT_SCAN).alias("scan_type"),
+        "attack_type",
+        F.col("remote").alias("attacker"),
+        tools.alias("tools"),
+        F.when(is_network & first.isin(V.INTERNET_PROTOCOLS), V.NO_PORT).otherwise(F.col("host_port")).alias("port"),
+        F.when(is_port, F.col("chance").cast("double")).otherwise(100.0).alias("chance"),
+        *FL.KEYS,
+    )
 
 
 def direct(verdict_rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Alerts of verdicts that are attacks by themselves."""
-    kinds = dict(V.DIRECT_ATTACK_TYPE)
-    if not rules.maimon_fin_alerts:
-        kinds = {k: t for k, t in kinds.items() if k not in (V.MAIMON, V.FIN_SCAN)}
-    hits = verdict_rows.where(F.col("verdict").isin(list(kinds)) & F.col("first_in").isNotNull())
-    typed = hits.withColumn("attack_type", F.try_element_at(SC.literal_map(kinds), F.col("verdict")))
-    return _alert(typed.withColumns({
-        "attacker": F.col("first_in.address"), "port": F.col("first_in.port"),
-        "tools": attack_tools(F.col("attack_type")), "chance": F.lit(100.0),
-    }), V.PORT_SCAN)
-
-
-def scored(verdict_rows: DataFrame, decided: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Alerts of scored verdicts; `decided` holds flow keys, outcome and chance."""
-    outcome = decided.select(*FL.KEYS, F.col("verdict_ts").alias("last_ts"), "outcome", "chance")
-    joined = verdict_rows.join(outcome.where(F.col("outcome") != V.CONTINUE), [*FL.KEYS, "last_ts"])
-    joined = joined.where(F.col("first_in").isNotNull())
-    as_attack = joined.withColumn("verdict", F.col("outcome")).where(F.col("outcome") != V.PORT_SCAN_ALERT)
-    return direct(as_attack, rules).unionByName(
-        port_scan(joined.where(F.col("outcome") == V.PORT_SCAN_ALERT), rules)
-    )
+    """Alerts of verdicts that are alerts by themselves."""
+    at_once = verdict_rows.where(F.col("verdict").isin([*V.DIRECT_ATTACKS, V.NETWORK_ALERT]))
+    return raise_alerts(at_once.withColumns({"outcome": F.col("verdict"), "chance": F.lit(100)}), rules)
 
 
-def port_scan(alert_flows: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def scored(decided: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Alerts of verdict rows that the model has decided on (`outcome`, `chance`)."""
+    return raise_alerts(decided.where(F.col("outcome") != V.CONTINUE), rules)
+
+
+def port_scan(flow_rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Port-scan alerts of flows with a `chance`; only TCP and UDP have one."""
-    protocol = F.col("first_in.protocol")
-    typed = alert_flows.where(protocol.isin(V.TCP, V.UDP)).withColumn(
-        "attack_type", F.when(protocol == V.UDP, "UDP").otherwise(technique(rules))
-    )
-    tools = F.when(F.col("attack_type") == "UDP", payload_tools(rules)).otherwise(
-        tcp_tools(F.col("attack_type"), rules)
-    )
-    return _alert(typed.withColumns({
-        "attacker": F.col("first_in.address"), "port": F.col("first_in.port"), "tools": tools,
-        "chance": F.col("chance").cast("double"),
-    }), V.PORT_SCAN)
+    return raise_alerts(flow_rows.withColumn("outcome", F.lit(V.PORT_SCAN_ALERT)), rules)
 
 
-def network_scan(alert_flows: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def network_scan(flow_rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Network-scan alerts by the protocol of the flow's first packet."""
-    first = F.col("first")
-    protocol = first["protocol"]
-    typed_as = {p: t for p, t in V.NETWORK_ATTACK_TYPE.items() if p != V.SCTP or rules.sctp_alerts}
-    attack_type = F.when(protocol == V.TCP, technique(rules)).otherwise(
-        F.try_element_at(SC.literal_map(typed_as), protocol)
+    return raise_alerts(
+        flow_rows.withColumns({"outcome": F.lit(V.NETWORK_ALERT), "chance": F.lit(100)}), rules
     )
-    attacker = F.coalesce(F.col("first_in.address"), first["destination_address"])
-    port = F.coalesce(F.col("first_in.port"), first["source_port"])
-    typed = alert_flows.withColumn("attack_type", attack_type).where(F.col("attack_type").isNotNull())
-    return _alert(typed.withColumns({
-        "attacker": attacker,
-        "port": F.when(P.in_internet_layer(protocol), V.NO_PORT).otherwise(port),
-        "tools": F.when(protocol == V.TCP, tcp_tools(F.col("attack_type"), rules)).otherwise(payload_tools(rules)),
-        "chance": F.lit(100.0),
-    }), V.NETWORK_SCAN)
 
 
 # --- ports of a source --------------------------------------------------------------

@@ -159,7 +159,9 @@ def as_of(history: DataFrame, rules: Rules = Rules(), partitions: int | None = N
     )
 
 
-def for_scored(history: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Scored verdicts with the snapshot features of their source."""
-    scored = history.where(_is(SCORED))
-    return skew.salted_lookup(scored, snapshot(history, rules), ["source"], spread=_WHEN)
+def onto_verdicts(verdict_rows: DataFrame, features: DataFrame) -> DataFrame:
+    """Scored verdict rows with the snapshot features of their remote address."""
+    waiting = verdict_rows.where(_is(SCORED))
+    return skew.salted_lookup(
+        waiting, features.withColumnRenamed("source", "remote"), ["remote"], spread=["flow_key", "last_ts"]
+    )

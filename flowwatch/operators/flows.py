@@ -1,7 +1,7 @@
 """Flow assembly.
 
 A flow becomes one row of mergeable facts: counts, flags seen, first and last
-packet, and a short `path` of packet letters (see `functions.packet.symbol`)
+packet, and a short `path` of packet letters (see `functions.packet.kind`)
 that the adjacency rules read. Facts of parts of a flow merge into facts of the
 whole, so a hot flow can be cut into slices and is never gathered in one place.
 """
@@ -23,7 +23,7 @@ ORDER = ["timestamp", "packet_id"]
 # name -> pattern over packet letters; both directions unless the case says so
 ADJACENT = {
     "pair_closed": "S[rk]",                 # incoming SYN, then outgoing RST or RST,ACK
-    "pair_unreachable": "Ui",               # incoming UDP, then outgoing ICMP
+    "pair_unreachable": "U[iq]",            # incoming UDP, then outgoing ICMP
     "syn_reset": "[Ss][RrKk]",
     "syn_half_open": "[Ss][Cc][RrKk]",
     "syn_connect": "[Ss][Cc][Aa][RrKk]",
@@ -80,12 +80,9 @@ def positions(packets: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def _packet_struct() -> Column:
-    names = [
-        *ORDER, "protocol", "direction", "flags", "seq", "ack", "win", "header_length",
-        "checksum_correct", "length", "source_address", "source_port",
-        "destination_address", "destination_port",
-    ]
-    return F.struct(*names)
+    return F.struct(
+        *ORDER, "protocol", "kind", "seq", "ack", "win", "header_length", "checksum_correct", "length"
+    )
 
 
 def _end(address: str, port: str) -> Column:
@@ -111,30 +108,31 @@ def _with_path(groups: DataFrame, merging: bool) -> DataFrame:
 
 def group_facts(member_rows: DataFrame, by: list) -> DataFrame:
     """One row of facts per group of packets."""
-    payload = F.col("length") > 0
+    letter, flag = F.col("kind"), F.upper("kind")
+    incoming, payload = letter == flag, F.col("length") > 0
     seen = {
-        "saw_no_flags": P.no_flags(),
-        "saw_reset": P.any_reset(),
-        "saw_fin_in": P.fin_ack_ordered() & P.is_incoming(),
-        "saw_fin_out": P.fin_ack_ordered() & P.is_outgoing(),
+        "saw_no_flags": flag == "N",
+        "saw_reset": flag.isin("R", "K", "T"),
+        "saw_fin_in": letter == "M",
+        "saw_fin_out": letter == "m",
         "saw_shutdown": P.shutdown_chunk(),
-        "saw_tcp_data": (P.only_ack() | P.only_psh_ack()) & P.yes(payload),
-        "saw_data_chunk": P.data_chunk() & P.is_incoming(),
-        "saw_in_payload": P.is_incoming() & P.yes(payload),
-        "saw_incoming": P.is_incoming(),
+        "saw_tcp_data": flag.isin("A", "P") & P.yes(payload),
+        "saw_data_chunk": P.data_chunk() & incoming,
+        "saw_in_payload": incoming & P.yes(payload),
+        "saw_incoming": incoming,
     }
     own = F.struct(*ORDER, "protocol", *[c for c in ("l4_key",) if c in member_rows.columns])
-    # letters are computed before the shuffle; the packet itself is not carried twice
-    d = member_rows.withColumns({"_letter": P.symbol(), **seen})
+    # the letter stands for protocol, direction and flags in every later rule
+    d = member_rows.withColumn("kind", P.kind())
     groups = d.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_packets"),
         F.min(F.when(~F.col("rekeyed"), own)).alias("own_first"),
         F.min(_packet_struct()).alias("first"),
         F.max(_packet_struct()).alias("last"),
-        F.min(F.when(P.is_incoming(), _end("source_address", "destination_port"))).alias("first_in"),
-        F.min(F.when(P.is_outgoing(), _end("destination_address", "source_port"))).alias("first_out"),
-        *[F.max(name).alias(name) for name in _SEEN],
-        F.collect_list(F.struct(*ORDER, F.col("_letter").alias("letters"))).alias("_letters"),
+        F.min(F.when(incoming, _end("source_address", "destination_port"))).alias("first_in"),
+        F.min(F.when(~incoming, _end("destination_address", "source_port"))).alias("first_out"),
+        *[F.max(test).alias(name) for name, test in seen.items()],
+        F.collect_list(F.struct(*ORDER, F.col("kind").alias("letters"))).alias("_letters"),
     )
     return _with_path(groups, merging=False)
 
@@ -270,7 +268,7 @@ def sliding(packets: DataFrame, n: int, keys: list[str] = KEYS) -> DataFrame:
     Positions make a run an equi-group: packet p belongs to the runs that start
     at p, p-1, … p-n+1, so no flow is gathered in one task.
     """
-    rows = positions(P.with_tcp_fields(packets).withColumn("letter", P.symbol()), keys)
+    rows = positions(P.with_tcp_fields(packets).withColumn("letter", P.kind()), keys)
     return (
         rows.select(*keys, "pos", "letter")
         .withColumn("start", F.explode(F.sequence(F.col("pos") - (n - 1), F.col("pos"))))

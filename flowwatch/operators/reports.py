@@ -13,8 +13,27 @@ from flowwatch.rules import Rules
 _GROUP = ["attacker", "scan_type", "attack_type"]
 
 
-def _first_of(column: str) -> Column:
-    return F.min(F.struct("time", "_tie", column)).alias(f"_first_{column}")
+def _groups(alerts: DataFrame) -> DataFrame:
+    """One row per (attacker, scan type, attack type), in one pass.
+
+    Ports and tools are sets that are combined before the shuffle: at most 65 537
+    ports, and few distinct tool lists. Complete alerts are read port by port; the
+    first port of an alert counts it.
+    """
+    d = alerts.withColumn("_tie", F.xxhash64("attacker", "attack_type", "chance"))
+    if "description" not in alerts.columns:
+        d = d.withColumns({"description": F.lit(""), "read": F.lit(False)})
+    if "scanned_ports" in alerts.columns:
+        d = d.select("*", F.posexplode_outer("scanned_ports").alias("_at", "port"))
+    else:
+        d = d.withColumn("_at", F.lit(0))
+    return d.groupBy(*_GROUP).agg(
+        F.max("chance").alias("chance"),
+        F.min(F.struct("time", "_tie", "description", "read")).alias("head"),
+        F.collect_set("port").alias("ports"),
+        F.collect_set("tools").alias("tool_lists"),
+        F.count(F.when(F.coalesce("_at", F.lit(0)) == 0, 1)).alias("n_alerts"),
+    )
 
 
 def _merged_label(groups: DataFrame, scope: str) -> DataFrame:
@@ -24,8 +43,7 @@ def _merged_label(groups: DataFrame, scope: str) -> DataFrame:
     """
     is_connect = F.col("attack_type") == "TCP CONNECT"
     if scope == "global":
-        any_connect = groups.agg(F.max(is_connect).alias("c"))
-        found = F.coalesce(any_connect.scalar(), F.lit(False))
+        found = F.coalesce(groups.agg(F.max(is_connect)).scalar(), F.lit(False))
     else:
         found = F.max(is_connect).over(W.partitionBy("attacker"))
     merge = found & F.col("attack_type").isin("TCP SYN", "TCP CONNECT")
@@ -34,65 +52,31 @@ def _merged_label(groups: DataFrame, scope: str) -> DataFrame:
     ).drop("_merge")
 
 
-def roll_up(
-    alerts: DataFrame, rules: Rules = Rules(), port_rows: DataFrame | None = None
-) -> DataFrame:
+def roll_up(alerts: DataFrame, rules: Rules = Rules(), source_ports: DataFrame | None = None) -> DataFrame:
     """One row per (attacker, scan type, attack type).
 
     Takes complete alerts (`scanned_ports`), or base alerts (`port`) together with
-    `alerts.source_port_rows`, which never builds a port list per alert. Ports are
-    made distinct per group before they are listed, so a list has at most 65 536
-    entries and groups are combined before each shuffle.
+    `alerts.scanned_ports`: then no port list is built per alert, the source's list
+    joins the rolled-up groups instead.
     """
-    complete = "scanned_ports" in alerts.columns
-    base = alerts.withColumn("_tie", F.xxhash64("attacker", "attack_type", "chance"))
-    if "description" not in alerts.columns:
-        base = base.withColumns({"description": F.lit(""), "read": F.lit(False)})
-    groups = base.groupBy(*_GROUP).agg(
-        F.max("chance").alias("chance"), _first_of("description"), _first_of("read"), F.min("time").alias("time"),
-        F.count(F.lit(1)).alias("n_alerts"),
-    )
-    labels = _merged_label(groups.select(*_GROUP, "chance", "_first_description", "_first_read", "time", "n_alerts",
-                                         F.col("attack_type").alias("_own_type")), rules.merge_scope)
-    # the label of each own group: small, joined to the distinct ports and tools
-    own = ["attacker", "scan_type", "_own_type"]
-
-    ports = alerts.select(*_GROUP, F.explode("scanned_ports").alias("port")) if complete else (
-        alerts.select(*_GROUP, "port")
-    )
-    ports = ports.distinct()
-    if port_rows is not None:
-        kinds = groups.select(*_GROUP)
-        listed = kinds.join(port_rows.withColumnRenamed("source", "attacker"), "attacker").where(
-            ~F.col("data_only") | (F.col("attack_type") == "UDP")
-        ).select(*_GROUP, "port")
-        ports = ports.unionByName(listed)
-    if rules.clean_ports:
-        ports = ports.where(F.col("port") != V.NO_PORT)
-    items = ports.select(*_GROUP, F.struct("port", F.lit(None).cast("string").alias("tool")).alias("item"))
-    tools = alerts.select(*_GROUP, F.explode("tools").alias("tool")).distinct()
-    items = items.unionByName(
-        tools.select(*_GROUP, F.struct(F.lit(None).cast("int").alias("port"), "tool").alias("item"))
-    )
-    relabelled = items.withColumnRenamed("attack_type", "_own_type").join(labels.select(*own, "attack_type"), own)
-    lists = relabelled.groupBy(*_GROUP).agg(
-        F.array_sort(F.collect_set("item.port")).alias("scanned_ports"),
-        F.array_sort(F.collect_set("item.tool")).alias("tools"),
-    )
-    head = labels.groupBy(*_GROUP).agg(
-        F.max("chance").alias("chance"),
-        F.min("_first_description").alias("_d"), F.min("_first_read").alias("_r"),
-        F.min("time").alias("time"), F.sum("n_alerts").alias("n_alerts"),
+    groups = _groups(alerts)
+    if source_ports is not None:
+        listed = groups.join(source_ports.withColumnRenamed("source", "attacker"), "attacker", "left")
+        of_source = F.when(F.col("attack_type") == "UDP", F.col("scan_and_data_ports")).otherwise(F.col("scan_ports"))
+        groups = listed.withColumn(
+            "ports", F.array_union("ports", F.coalesce(of_source, F.array().cast("array<int>")))
+        ).drop("scan_ports", "scan_and_data_ports")
+    # two rows at most meet here: SYN and CONNECT of one attacker
+    merged = _merged_label(groups, rules.merge_scope).groupBy(*_GROUP).agg(
+        F.max("chance").alias("chance"), F.min("head").alias("head"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ports")))).alias("scanned_ports"),
+        F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("tool_lists"))))).alias("tools"),
+        F.sum("n_alerts").alias("n_alerts"),
     )
-    return head.join(lists, _GROUP, "left").select(
-        F.date_format(F.timestamp_micros("time"), "yyyy-MM-dd HH:mm").alias("time"),
-        *_GROUP,
-        F.col("_d.description").alias("description"),
-        F.coalesce("tools", F.array().cast("array<string>")).alias("tools"),
-        F.coalesce("scanned_ports", F.array().cast("array<int>")).alias("scanned_ports"),
-        "chance",
-        F.col("_r.read").alias("read"),
-        "n_alerts",
+    ports = F.array_remove("scanned_ports", V.NO_PORT) if rules.clean_ports else F.col("scanned_ports")
+    return merged.select(
+        F.date_format(F.timestamp_micros("head.time"), "yyyy-MM-dd HH:mm").alias("time"),
+        *_GROUP, "head.description", "tools", ports.alias("scanned_ports"), "chance", "head.read", "n_alerts",
     )
 
 
@@ -107,8 +91,8 @@ def remove_alerts(alerts: DataFrame, requests: DataFrame) -> DataFrame:
     """Alerts without those named by requests (attack_types, attacker, scan_type);
     `attack_types` is a comma list."""
     named = requests.select(
-        F.trim(F.explode(F.split("attack_types", ","))).alias("attack_type"), "attacker", "scan_type"
-    ).distinct()
+        F.explode(F.split("attack_types", ",")).alias("attack_type"), "attacker", "scan_type"
+    ).withColumn("attack_type", F.trim("attack_type")).distinct()
     return skew.salted_lookup(alerts, named, _GROUP, spread=["time"], how="left_anti")
 
 

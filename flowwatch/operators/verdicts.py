@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowwatch import fixed_values as V
-from flowwatch.functions import packet as P
 from flowwatch.functions import patterns as S
 from flowwatch.operators import flows as FL
 from flowwatch.operators import skew
@@ -35,40 +34,42 @@ FOLLOW_UP = {
 }
 
 
-def verdict_column(rules: Rules, in_honeypot: Column, sent: Column, is_closed: Column) -> Column:
-    """First rule that matches; `sent` and `is_closed` are the shared tests."""
-    connection = P.in_connection_set(F.col("protocol"))
-    transport = P.in_transport_set(F.col("protocol"))
-
+def cascade(rules: Rules = Rules()) -> str:
+    """The rules in order as one CASE over a flow row; the first match wins."""
+    closed = S.closed_rule(rules)
+    opened = S.every(S.INITIATED, f"NOT {closed}")
+    abandoned = S.every(
+        f"NOT {S.DATA_SENT}", closed, S.NOT_FINISHED, S.either(S.LAST_INCOMING, S.LAST_RESET)
+    )
+    fine = S.every(S.DATA_SENT, closed)
     early = [
-        (S.null_scan(), V.NULL_SCAN),
-        (S.ack_win(rules), V.ACK_WIN),
-        (S.suspicious_ack_win(rules), V.SUSPICIOUS_ACK_WIN),
-        (S.xmas(), V.XMAS),
+        (S.NULL_SCAN, V.NULL_SCAN),
+        (S.ack_win_rule(rules), V.ACK_WIN),
+        (S.suspicious_ack_win_rule(rules), V.SUSPICIOUS_ACK_WIN),
+        (S.XMAS, V.XMAS),
     ]
     specific = [
-        (S.maimon(rules), V.MAIMON),
-        (S.suspicious_maimon(rules), V.SUSPICIOUS_MAIMON),
-        (S.fin_scan(rules), V.FIN_SCAN),
-        (S.suspicious_fin(rules), V.SUSPICIOUS_FIN),
+        (S.maimon_rule(rules), V.MAIMON),
+        (S.suspicious_maimon_rule(rules), V.SUSPICIOUS_MAIMON),
+        (S.fin_rule(rules), V.FIN_SCAN),
+        (S.suspicious_fin_rule(rules), V.SUSPICIOUS_FIN),
     ]
-    opened = S.host_initiated() & ~is_closed
-    abandoned = ~sent & is_closed & S.not_properly_finished() & (S.last_is_incoming() | P.reset_reply(F.col("last")))
     general = [
-        (opened & sent, V.INIT_AND_DATA),
+        (S.every(opened, S.DATA_SENT), V.INIT_AND_DATA),
         (opened, V.INIT_CONNECTION),
-        (S.port_closed(), V.PORT_CLOSED),
+        (S.PORT_CLOSED, V.PORT_CLOSED),
         (abandoned, V.NO_DATA),
-        (sent & is_closed & S.host_initiated(), V.INIT_FINE),
-        (sent & is_closed, V.FINE),
+        (S.every(fine, S.INITIATED), V.INIT_FINE),
+        (fine, V.FINE),
     ]
     order = early + specific + general if rules.rule_order == SPECIFIC_FIRST else early + general + specific
-
-    result = F.when(in_honeypot, V.NETWORK_ALERT).when(S.incoming_internet(), V.SUSPICIOUS_NETWORK)
-    for test, verdict in order:
-        result = result.when(connection & test, verdict)
-    result = result.when(connection | ~transport, V.CONTINUE)
-    return result.when(S.port_closed(), V.PORT_CLOSED).when(sent, V.SEND_DATA).otherwise(V.NO_DATA)
+    connected = " ".join(f"WHEN {test} THEN '{verdict}'" for test, verdict in order)
+    return f"""CASE WHEN in_honeypot THEN '{V.NETWORK_ALERT}'
+        WHEN {S.INTERNET_INCOMING} THEN '{V.SUSPICIOUS_NETWORK}'
+        WHEN {S.TCP} OR {S.SCTP} THEN CASE {connected} ELSE '{V.CONTINUE}' END
+        WHEN {S.UDP} THEN CASE WHEN {S.UDP_CLOSED} THEN '{V.PORT_CLOSED}'
+                               WHEN {S.DATA_SENT} THEN '{V.SEND_DATA}' ELSE '{V.NO_DATA}' END
+        ELSE '{V.CONTINUE}' END"""
 
 
 def flag_honeypot(flow_rows: DataFrame, honeypot: DataFrame | None) -> DataFrame:
@@ -86,10 +87,7 @@ def classify(
     """Flows with a `verdict`. Run as a honeypot, every flow is a network alert."""
     if as_honeypot:
         return flow_rows.withColumn("verdict", F.lit(V.NETWORK_ALERT))
-    flagged = flag_honeypot(flow_rows, honeypot)
-    shared = flagged.withColumns({"data_sent": S.data_sent(), "is_closed": S.closed(rules)})
-    verdict = verdict_column(rules, F.col("in_honeypot"), F.col("data_sent"), F.col("is_closed"))
-    return shared.withColumn("verdict", verdict)
+    return flag_honeypot(flow_rows, honeypot).withColumn("verdict", F.expr(cascade(rules)))
 
 
 def _label_map(position: int) -> Column:

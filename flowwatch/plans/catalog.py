@@ -71,9 +71,9 @@ def joined_text(column: str) -> Column:
 
 def sure_alerts(spark, d) -> DataFrame:
     """Direct alerts, and every PortClosed or DidNotSendData flow as if scored 100."""
-    v = verdicts(spark, d)
-    candidates = v.where(F.col("verdict").isin(V.PORT_CLOSED, V.NO_DATA) & F.col("first_in").isNotNull())
-    return AL.direct(v).unionByName(AL.port_scan(candidates.withColumn("chance", F.lit(100))))
+    verdict = F.col("verdict")
+    kind = F.when(verdict.isin(V.PORT_CLOSED, V.NO_DATA), V.PORT_SCAN_ALERT).otherwise(verdict)
+    return AL.raise_alerts(verdicts(spark, d).withColumns({"outcome": kind, "chance": F.lit(100)}))
 
 
 def written(rows: DataFrame, name: str, **options) -> DataFrame:
@@ -95,9 +95,9 @@ def _(spark, d):
     kind = F.when(F.col(IO.BAD_RECORD).isNotNull(), "BAD").otherwise(F.col("protocol"))
     return read.groupBy(kind.alias("protocol")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("length").alias("total_length"),
-        F.sum(F.size("flags").cast("long")).alias("n_flags"),
-    ).select("protocol", "n", F.when(F.col("protocol") != "BAD", F.col("total_length")).alias("total_length"),
-             F.when(F.col("protocol") != "BAD", F.col("n_flags")).alias("n_flags"))
+        F.sum(F.coalesce(F.size("flags"), F.lit(0)).cast("long")).alias("n_flags"),
+    ).select("protocol", "n", F.coalesce("total_length", F.lit(0)).alias("total_length"),
+             F.greatest("n_flags", F.lit(0)).alias("n_flags"))
 
 
 @query("src2")
@@ -117,7 +117,9 @@ def _(spark, d):
 def _(spark, d):
     names = spark.createDataFrame(PORT_NAMES, "port int, tcp boolean, udp boolean, sctp boolean, description string")
     counted = T.packets(spark, d).groupBy(F.col("destination_port").alias("port")).agg(F.count(F.lit(1)).alias("n"))
-    return IO.enrich_port(counted, names).select("port", "n", "port_tcp", "port_udp", "port_sctp", "port_description")
+    kinds = [F.coalesce(c, F.lit(False)).alias(c) for c in ("port_tcp", "port_udp", "port_sctp")]
+    return IO.enrich_port(counted, names).select(
+        "port", "n", *kinds, F.coalesce("port_description", F.lit("")).alias("port_description"))
 
 
 @query("snk1")
@@ -395,7 +397,7 @@ def _(spark, d):
 
 @query("flw10")
 def _(spark, d):
-    return flows(spark, d).select(
+    return flows(spark, d).where(F.col("first_in").isNotNull()).select(
         "flow_key", "l4_key", F.col("first_in.packet_id").alias("packet_id"),
         F.col("first_in.address").alias("address"), F.col("first_in.port").alias("port"),
     )
@@ -414,7 +416,7 @@ def _(spark, d):
 _SEQUENCES = {
     "seq1": S.host_initiated, "seq2": S.closed, "seq3": S.properly_closed, "seq4": S.closed_two_packets,
     "seq5": S.connect_four_packets, "seq6": S.port_closed,
-    "seq7": lambda: P.is_protocol(V.UDP) & S.udp_port_closed(), "seq8": S.data_sent,
+    "seq7": S.udp_port_closed, "seq8": S.data_sent,
     "seq9": S.ack_win, "seq10": S.suspicious_ack_win, "seq11": S.null_scan, "seq12": S.maimon,
     "seq13": S.suspicious_maimon, "seq14": S.xmas, "seq15": S.fin_scan, "seq16": S.suspicious_fin,
     "seq17": S.not_properly_finished, "seq18": S.last_is_incoming, "seq19": S.incoming_internet,
@@ -577,17 +579,14 @@ def _(spark, d):
 
 
 def plainly_decided(spark, d) -> DataFrame:
-    h = history(spark, d)
-    scored = h.where(F.col("verdict").isin(V.PORT_SCAN_LABELS)).join(
-        plain_prediction(spark, d).select(
-            "source", SC.score_or_zero(SC.percentage(F.col("prediction"))).alias("score")), "source"
-    )
-    return MO.decide(scored)
+    score = SC.score_or_zero(SC.percentage(F.col("prediction")))
+    scores = plain_prediction(spark, d).select("source", score.alias("score"))
+    return MO.decide(FE.onto_verdicts(verdicts(spark, d), scores))
 
 
 @query("mod6")
 def _(spark, d):
-    return plainly_decided(spark, d).select("source", "flow_key", "outcome", "chance")
+    return plainly_decided(spark, d).select(F.col("remote").alias("source"), "flow_key", "outcome", "chance")
 
 
 @query("mod7")
@@ -623,7 +622,7 @@ def _(spark, d):
 @query("alr2_scored")
 def _(spark, d):
     """Alerts of scored verdicts, with a score that SQL can state."""
-    return _shown_alerts(AL.scored(verdicts(spark, d), plainly_decided(spark, d)))
+    return _shown_alerts(AL.scored(plainly_decided(spark, d)))
 
 
 def _honeypot_alerts(spark, d) -> DataFrame:
@@ -689,7 +688,7 @@ def _(spark, d):
 
 
 def rolled(spark, d, rules: Rules = Rules()) -> DataFrame:
-    return RP.roll_up(sure_alerts(spark, d), rules, AL.source_port_rows(history(spark, d)))
+    return RP.roll_up(sure_alerts(spark, d), rules, AL.scanned_ports(history(spark, d)))
 
 
 @query("rpt1")
@@ -846,5 +845,5 @@ def _(spark, d):
 def _(spark, d):
     """The whole way from packets to rolled-up alerts with a trained model."""
     found = DE.detect(T.packets(spark, d), trained(spark, d))
-    return RP.roll_up(found.alerts, Rules(), AL.source_port_rows(found.history)).groupBy(
+    return RP.roll_up(found.alerts, Rules(), AL.scanned_ports(found.history)).groupBy(
         "scan_type", "attack_type").agg(F.count(F.lit(1)).alias("n"))

@@ -75,7 +75,6 @@ lk AS (
 """
 
 _KEYS = "flow_key, l4_key, pair_key"
-_BARE = "('SYN', 'SYN,ACK', 'ACK', 'RST', 'RST,ACK')"
 _LETTER = """CASE WHEN direction = 'OUTCOME' THEN lower(sym) ELSE sym END"""
 
 FLOWS = f"""
@@ -90,9 +89,12 @@ m AS (
     lead(flags) OVER w AS flags2, lead(flags, 2) OVER w AS flags3, lead(flags, 3) OVER w AS flags4,
     lead(direction) OVER w AS dir2, lead(protocol) OVER w AS proto2,
     direction = 'INCOME' AS inc, direction = 'OUTCOME' AS out,
-    CASE WHEN protocol = 'UDP' THEN 'U' WHEN protocol = 'ICMP' THEN 'I' WHEN flags = 'SYN' THEN 'S'
+    CASE WHEN protocol = 'UDP' THEN 'U' WHEN flags LIKE 'DESTINATION_UNREACHABLE,%,3' THEN 'Q'
+         WHEN protocol = 'ICMP' THEN 'I' WHEN flags = 'SYN' THEN 'S'
          WHEN flags = 'SYN,ACK' THEN 'C' WHEN flags = 'ACK' THEN 'A' WHEN flags = 'RST' THEN 'R'
-         WHEN flags = 'RST,ACK' THEN 'K' ELSE 'X' END AS sym
+         WHEN flags = 'RST,ACK' THEN 'K' WHEN flags = '' THEN 'N' WHEN flags = 'FIN' THEN 'F'
+         WHEN flags = 'FIN,ACK' THEN 'M' WHEN flags = 'PSH,ACK' THEN 'P' WHEN flags = 'FIN,PSH,URG' THEN 'Z'
+         WHEN flags = 'INIT' THEN 'J' WHEN flags = 'ABORT' THEN 'B' ELSE 'X' END AS sym
   FROM m0 WINDOW w AS (PARTITION BY {_KEYS} ORDER BY timestamp, packet_id)),
 f0 AS (
   SELECT {_KEYS}, remote AS true_remote, count(*) AS n,
@@ -379,16 +381,16 @@ def oracles() -> dict[str, str]:
 
     n_flags = "CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END"
     q["src1"] = pk(f"""SELECT CASE protocol WHEN 'ARP' THEN 'BAD' ELSE protocol END AS protocol, count(*) AS n,
-        CASE WHEN protocol <> 'ARP' THEN CAST(sum(length) AS BIGINT) END AS total_length,
-        CASE WHEN protocol <> 'ARP' THEN CAST(sum({n_flags}) AS BIGINT) END AS n_flags FROM p GROUP BY protocol""")
+        CASE WHEN protocol <> 'ARP' THEN CAST(sum(length) AS BIGINT) ELSE 0 END AS total_length,
+        CASE WHEN protocol <> 'ARP' THEN CAST(sum({n_flags}) AS BIGINT) ELSE 0 END AS n_flags FROM p GROUP BY protocol""")
     q["src2"] = pk("SELECT packet_id, timestamp, protocol FROM p ORDER BY timestamp, packet_id LIMIT 500")
     label = "CASE WHEN cust % 5 = 0 THEN 1.0 WHEN cust % 5 = 1 THEN 0.5 ELSE 0.0 END"
     doubles = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in C.FEATURES)
     q["src3"] = fe(f"""SELECT {doubles}, CAST(label AS DOUBLE) AS label
         FROM x JOIN (SELECT DISTINCT remote AS source, {label} AS label FROM conv) USING (source)""")
     names = ", ".join(f"({p}, {str(t).lower()}, {str(u).lower()}, {str(s).lower()}, '{n}')" for p, t, u, s, n in C.PORT_NAMES)
-    q["src4"] = pk(f"""SELECT c.port, c.n, i.tcp AS port_tcp, i.udp AS port_udp, i.sctp AS port_sctp,
-        i.description AS port_description
+    q["src4"] = pk(f"""SELECT c.port, c.n, coalesce(i.tcp, false) AS port_tcp, coalesce(i.udp, false) AS port_udp,
+        coalesce(i.sctp, false) AS port_sctp, coalesce(i.description, '') AS port_description
         FROM (SELECT destination_port AS port, count(*) AS n FROM p GROUP BY ALL) c
         LEFT JOIN (VALUES {names}) AS i(port, tcp, udp, sctp, description) ON i.port = c.port""")
     q["snk1"] = pk("""SELECT CAST(year(make_timestamp(timestamp)) AS INTEGER) AS year, count(*) AS n,
@@ -492,7 +494,7 @@ def oracles() -> dict[str, str]:
     q["flw7"] = fl("SELECT flow_key, l4_key, remote FROM f")
     q["flw8"] = fl("SELECT flow_key, l4_key, host_port FROM f")
     q["flw9"] = fl("SELECT flow_key, l4_key, gap FROM f")
-    q["flw10"] = fl("SELECT flow_key, l4_key, in_id AS packet_id, in_addr AS address, in_port AS port FROM f")
+    q["flw10"] = fl("SELECT flow_key, l4_key, in_id AS packet_id, in_addr AS address, in_port AS port FROM f WHERE any_in")
     own_path = f"""(SELECT string_agg({_LETTER}, '' ORDER BY rn) AS path, count(*) AS n FROM m
         WHERE NOT guest GROUP BY {_KEYS})"""
     q["flw11"] = fl(" UNION ALL ".join(

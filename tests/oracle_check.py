@@ -26,7 +26,9 @@ def connect(sf_dir: str):
 
 
 def shown(value):
-    if value is None or value != value:
+    import pandas as pd
+
+    if pd.isna(value):
         return "<null>"
     return f"{value:.9f}" if isinstance(value, float) else str(value)
 
