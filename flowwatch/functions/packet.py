@@ -168,7 +168,7 @@ def with_tcp_fields(packets: DataFrame) -> DataFrame:
     return packets.withColumns({name: c for name, c in info.items() if name not in packets.columns})
 
 
-# letter of a packet's flags, as the sequence rules tell them apart
+# letter of a TCP packet's flags, as the sequence rules tell them apart
 FLAG_LETTERS = {
     "": "N", "SYN": "S", "SYN,ACK": "C", "ACK": "A", "RST": "R", "RST,ACK": "K", "ACK,RST": "T",
     "FIN": "F", "FIN,ACK": "M", "ACK,FIN": "V", "PSH,ACK": "P", "ACK,PSH": "P",
@@ -176,24 +176,41 @@ FLAG_LETTERS = {
 }
 
 
-def kind() -> Column:
-    """One letter for what the sequence rules need to know of a packet.
+def with_kind(packets: DataFrame) -> DataFrame:
+    """Adds `kind`, a letter for what the sequence rules need to know of a packet.
 
     Upper case is incoming, lower case outgoing.
-    U  UDP    I  ICMP    Q  ICMP port unreachable
-    J  SCTP with INIT    B  SCTP, ABORT first    Y  both
-    N  no flags    S C A R K T F M V P Z  the flag sets of FLAG_LETTERS    X  any other
+    U W  UDP without and with payload
+    I H  ICMP without and with payload; Q G the same for port unreachable
+    J B O L  SCTP with INIT, ABORT first, DATA, SHUTDOWN; several chunks give several letters
+    A E  ACK without and with payload; P D the same for PSH,ACK
+    N  no flags    S C R K T F M V Z  the flag sets of FLAG_LETTERS    X  any other
     """
+    loaded = yes(F.col("length") > 0)
+
+    def with_payload(empty, full):
+        return F.when(loaded, full).otherwise(empty)
+
     known = F.create_map(*[F.lit(x) for pair in FLAG_LETTERS.items() for x in pair])
-    by_flags = F.coalesce(F.try_element_at(known, F.array_join("flags", ",")), F.lit("X"))
+    flagged = F.col("_flagged")  # a column of its own, so that the lookup runs once per packet
+    by_flags = F.when(loaded & flagged.isin("A", "P"), F.translate(flagged, "AP", "ED")).otherwise(flagged)
+    chunks = F.concat(*[
+        F.when(test(), letter).otherwise("")
+        for test, letter in ((contains_init, "J"), (abort_first, "B"), (data_chunk, "O"), (shutdown_chunk, "L"))
+    ])
+    protocol = F.col("protocol")
     letter = (
-        F.when(F.col("protocol") == V.UDP, "U")
-        .when(F.col("protocol") == V.ICMP, F.when(port_unreachable(), "Q").otherwise("I"))
-        .when(contains_init(), F.when(abort_first(), "Y").otherwise("J"))
-        .when(abort_first(), "B")
+        F.when(protocol == V.UDP, with_payload("U", "W"))
+        .when(protocol == V.ICMP, F.when(port_unreachable(), with_payload("Q", "G")).otherwise(with_payload("I", "H")))
+        .when((protocol == V.SCTP) & (chunks != ""), chunks)
         .otherwise(by_flags)
     )
-    return F.when(F.col("direction") == V.OUTCOME, F.lower(letter)).otherwise(letter)
+    looked_up = packets.withColumn(
+        "_flagged", F.coalesce(F.try_element_at(known, F.array_join("flags", ",")), F.lit("X"))
+    )
+    return looked_up.withColumn(
+        "kind", F.when(F.col("direction") == V.OUTCOME, F.lower(letter)).otherwise(letter)
+    ).drop("_flagged")
 
 
 # --- keys and display text -------------------------------------------------

@@ -2,7 +2,7 @@
 
 A rule is SQL text over one flow row (`*_rule`), so that the verdict cascade can
 be put together as one CASE; the functions of the same name give it as a Column.
-Packet letters: see `functions.packet.kind`. Upper case is incoming.
+Packet letters: see `functions.packet.with_kind`. Upper case is incoming.
 """
 
 from __future__ import annotations
@@ -50,21 +50,21 @@ def _within(limit_us: int) -> str:
 
 
 BAD_CHECKSUM = "coalesce(last.checksum_correct, '') <> 'true'"
-INITIATED = either(every(TCP, first_is("s")), every(SCTP, first_is("jy")))
+INITIATED = either(every(TCP, first_is("s")), every(SCTP, "contains(first.kind, 'j')"))
 TCP_PROPER = every("saw_fin_in", "saw_fin_out")
 PROPERLY_CLOSED = f"(CASE WHEN {TCP} THEN {TCP_PROPER} WHEN {SCTP} THEN saw_shutdown ELSE true END)"
 TWO_CLOSED = every(TWO, "path IN ('Sr', 'Sk')")
-FOUR_CONNECT = every("n_packets = 4", "path IN ('ScAR', 'ScAK')")
+FOUR_CONNECT = every("n_packets = 4", "path IN ('ScAR', 'ScAK', 'ScER', 'ScEK')")
 UDP_CLOSED = (
-    f"(CASE WHEN first.kind = upper(first.kind) AND {last_is('q')} THEN true WHEN {last_is('u')} THEN false "
+    f"(CASE WHEN first.kind = upper(first.kind) AND {last_is('qg')} THEN true WHEN {last_is('uw')} THEN false "
     "ELSE n_packets > 2 AND pair_unreachable END)"
 )
-SCTP_CLOSED = every(TWO, first_is("JY"), last_is("byiq"))
+SCTP_CLOSED = every(TWO, "contains(first.kind, 'J')", "last.kind RLIKE '[bihqg]'")
 PORT_CLOSED = (
     f"(CASE WHEN {TCP} THEN pair_closed WHEN {SCTP} THEN {SCTP_CLOSED} WHEN {UDP} THEN {UDP_CLOSED} ELSE false END)"
 )
 DATA_SENT = (
-    f"(CASE WHEN {TCP} THEN saw_tcp_data AND upper(path) NOT IN ('SCAK', 'SK') "
+    f"(CASE WHEN {TCP} THEN saw_tcp_data AND upper(path) NOT IN ('SCAK', 'SCEK', 'SK') "
     f"WHEN {SCTP} THEN saw_data_chunk WHEN {UDP} THEN saw_in_payload ELSE false END)"
 )
 NULL_SCAN = every(TCP, "saw_no_flags")
@@ -87,7 +87,7 @@ def closed_rule(rules: Rules = Rules()) -> str:
 
 def suspicious_ack_win_rule(rules: Rules = Rules()) -> str:
     size = [TWO] if rules.two_packet_ack_win else []
-    return every(TCP, *size, first_is("A"), last_is("Rr"), _within(rules.max_gap_us))
+    return every(TCP, *size, first_is("AE"), last_is("Rr"), _within(rules.max_gap_us))
 
 
 def ack_win_rule(rules: Rules = Rules()) -> str:

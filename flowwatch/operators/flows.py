@@ -1,7 +1,7 @@
 """Flow assembly.
 
 A flow becomes one row of mergeable facts: counts, flags seen, first and last
-packet, and a short `path` of packet letters (see `functions.packet.kind`)
+packet, and a short `path` of packet letters (see `functions.packet.with_kind`)
 that the adjacency rules read. Facts of parts of a flow merge into facts of the
 whole, so a hot flow can be cut into slices and is never gathered in one place.
 """
@@ -20,18 +20,23 @@ from flowwatch.rules import Rules
 KEYS = ["flow_key", "l4_key", "pair_key"]
 ORDER = ["timestamp", "packet_id"]
 
-# name -> pattern over packet letters; both directions unless the case says so
-ADJACENT = {
-    "pair_closed": "S[rk]",                 # incoming SYN, then outgoing RST or RST,ACK
-    "pair_unreachable": "U[iq]",            # incoming UDP, then outgoing ICMP
+# what is true of a flow when its path matches; letters: `functions.packet.with_kind`
+SEEN = {
+    "saw_no_flags": "[Nn]",
+    "saw_reset": "[RrKkTt]",
+    "saw_fin_in": "M",
+    "saw_fin_out": "m",
+    "saw_shutdown": "[Ll]",
+    "saw_tcp_data": "[EeDd]",
+    "saw_data_chunk": "O",
+    "saw_in_payload": "[WHGED]",
+    "saw_incoming": "[A-Z]",
+    "pair_closed": "S[rk]",                    # incoming SYN, then outgoing RST or RST,ACK
+    "pair_unreachable": "[UW][ihqg]",          # incoming UDP, then outgoing ICMP
     "syn_reset": "[Ss][RrKk]",
     "syn_half_open": "[Ss][Cc][RrKk]",
-    "syn_connect": "[Ss][Cc][Aa][RrKk]",
+    "syn_connect": "[Ss][Cc][AaEe][RrKk]",
 }
-_SEEN = [
-    "saw_no_flags", "saw_reset", "saw_fin_in", "saw_fin_out", "saw_shutdown",
-    "saw_tcp_data", "saw_data_chunk", "saw_in_payload", "saw_incoming",
-]
 _KEEP = 4          # letters kept at both ends of a long path
 _CHUNK_BITS = 12   # rows per slice chunk of a hot flow: 4096
 
@@ -79,16 +84,6 @@ def positions(packets: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 # --- facts of a group ----------------------------------------------------------
 
 
-def _packet_struct() -> Column:
-    return F.struct(
-        *ORDER, "protocol", "kind", "seq", "ack", "win", "header_length", "checksum_correct", "length"
-    )
-
-
-def _end(address: str, port: str) -> Column:
-    return F.struct(*ORDER, "protocol", F.col(address).alias("address"), F.col(port).alias("port"))
-
-
 def _shorten(path: Column) -> Column:
     """Both ends of a long path; '~' matches no rule."""
     return F.when(F.length(path) <= 2 * _KEEP, path).otherwise(
@@ -96,49 +91,50 @@ def _shorten(path: Column) -> Column:
     )
 
 
-def _with_path(groups: DataFrame, merging: bool) -> DataFrame:
-    path = F.array_join(F.transform(F.array_sort("_letters"), lambda x: x["letters"]), "")
-    d = groups.withColumn("_path", path)
-    found = {
-        name: (F.col(name) | F.col("_path").rlike(pattern)) if merging else F.col("_path").rlike(pattern)
-        for name, pattern in ADJACENT.items()
-    }
-    return d.withColumns({**found, "path": _shorten(F.col("_path"))}).drop("_letters", "_path")
+def _joined(parts: str, letters: str) -> Column:
+    return F.array_join(F.transform(parts, lambda x: x[letters]), "")
 
 
 def group_facts(member_rows: DataFrame, by: list) -> DataFrame:
-    """One row of facts per group of packets."""
-    letter, flag = F.col("kind"), F.upper("kind")
-    incoming, payload = letter == flag, F.col("length") > 0
-    seen = {
-        "saw_no_flags": flag == "N",
-        "saw_reset": flag.isin("R", "K", "T"),
-        "saw_fin_in": letter == "M",
-        "saw_fin_out": letter == "m",
-        "saw_shutdown": P.shutdown_chunk(),
-        "saw_tcp_data": flag.isin("A", "P") & P.yes(payload),
-        "saw_data_chunk": P.data_chunk() & incoming,
-        "saw_in_payload": incoming & P.yes(payload),
-        "saw_incoming": incoming,
-    }
-    own = F.struct(*ORDER, "protocol", *[c for c in ("l4_key",) if c in member_rows.columns])
-    # the letter stands for protocol, direction and flags in every later rule
-    d = member_rows.withColumn("kind", P.kind())
-    groups = d.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_packets"),
-        F.min(F.when(~F.col("rekeyed"), own)).alias("own_first"),
-        F.min(_packet_struct()).alias("first"),
-        F.max(_packet_struct()).alias("last"),
-        F.min(F.when(incoming, _end("source_address", "destination_port"))).alias("first_in"),
-        F.min(F.when(~incoming, _end("destination_address", "source_port"))).alias("first_out"),
-        *[F.max(test).alias(name) for name, test in seen.items()],
-        F.collect_list(F.struct(*ORDER, F.col("kind").alias("letters"))).alias("_letters"),
+    """One row of facts per group of packets: the packets in order, then read off."""
+    incoming = P.is_incoming()
+    packet = F.struct(
+        *ORDER, "kind", "protocol", "rekeyed", "l4_key", "seq", "ack", "win", "header_length",
+        "checksum_correct", "length",
+        # the remote side and the host's port, whichever way the packet went
+        F.when(incoming, F.col("source_address")).otherwise(F.col("destination_address")).alias("address"),
+        F.when(incoming, F.col("destination_port")).otherwise(F.col("source_port")).alias("port"),
+    )
+    groups = (
+        P.with_kind(member_rows)
+        .groupBy(*by)
+        .agg(F.array_sort(F.collect_list(packet)).alias("_packets"))
+        .withColumn("_path", _joined("_packets", "kind"))
+    )
+
+    def first(test):
+        return F.try_element_at(F.filter("_packets", test), F.lit(1))
+
+    plain = [c for c in groups.columns if not c.startswith("_") or c in by]
+    return groups.select(
+        *plain,
+        F.size("_packets").cast("long").alias("n_packets"),
+        first(lambda x: ~x["rekeyed"]).alias("own_first"),
+        F.try_element_at("_packets", F.lit(1)).alias("first"),
+        F.try_element_at("_packets", F.lit(-1)).alias("last"),
+        first(lambda x: x["kind"] == F.upper(x["kind"])).alias("first_in"),
+        first(lambda x: x["kind"] != F.upper(x["kind"])).alias("first_out"),
+        *[F.col("_path").rlike(pattern).alias(name) for name, pattern in SEEN.items()],
+        _shorten(F.col("_path")).alias("path"),
     )
-    return _with_path(groups, merging=False)
 
 
 def merge_facts(parts: DataFrame, by: list) -> DataFrame:
-    """Facts of whole groups from facts of consecutive parts."""
+    """Facts of whole groups from facts of consecutive parts.
+
+    What a part has seen stays seen; runs across the border of two parts show in
+    the joined paths.
+    """
     groups = parts.groupBy(*by).agg(
         F.sum("n_packets").alias("n_packets"),
         F.min("own_first").alias("own_first"),
@@ -146,15 +142,16 @@ def merge_facts(parts: DataFrame, by: list) -> DataFrame:
         F.max("last").alias("last"),
         F.min("first_in").alias("first_in"),
         F.min("first_out").alias("first_out"),
-        *[F.max(name).alias(name) for name in [*_SEEN, *ADJACENT]],
-        F.collect_list(
-            F.struct(
-                F.col("first.timestamp").alias("timestamp"), F.col("first.packet_id").alias("packet_id"),
-                F.col("path").alias("letters"),
-            )
-        ).alias("_letters"),
+        *[F.max(name).alias(name) for name in SEEN],
+        F.array_sort(F.collect_list(F.struct(
+            F.col("first.timestamp").alias("timestamp"), F.col("first.packet_id").alias("packet_id"), "path"
+        ))).alias("_parts"),
     )
-    return _with_path(groups, merging=True)
+    d = groups.withColumn("_path", _joined("_parts", "path"))
+    return d.withColumns({
+        **{name: F.col(name) | F.col("_path").rlike(pattern) for name, pattern in SEEN.items()},
+        "path": _shorten(F.col("_path")),
+    }).drop("_path", "_parts")
 
 
 def sliced_facts(member_rows: DataFrame, by: list[str], partitions: int | None = None) -> DataFrame:
@@ -268,7 +265,7 @@ def sliding(packets: DataFrame, n: int, keys: list[str] = KEYS) -> DataFrame:
     Positions make a run an equi-group: packet p belongs to the runs that start
     at p, p-1, … p-n+1, so no flow is gathered in one task.
     """
-    rows = positions(P.with_tcp_fields(packets).withColumn("letter", P.kind()), keys)
+    rows = positions(P.with_kind(packets).withColumnRenamed("kind", "letter"), keys)
     return (
         rows.select(*keys, "pos", "letter")
         .withColumn("start", F.explode(F.sequence(F.col("pos") - (n - 1), F.col("pos"))))

@@ -89,12 +89,13 @@ m AS (
     lead(flags) OVER w AS flags2, lead(flags, 2) OVER w AS flags3, lead(flags, 3) OVER w AS flags4,
     lead(direction) OVER w AS dir2, lead(protocol) OVER w AS proto2,
     direction = 'INCOME' AS inc, direction = 'OUTCOME' AS out,
-    CASE WHEN protocol = 'UDP' THEN 'U' WHEN flags LIKE 'DESTINATION_UNREACHABLE,%,3' THEN 'Q'
-         WHEN protocol = 'ICMP' THEN 'I' WHEN flags = 'SYN' THEN 'S'
-         WHEN flags = 'SYN,ACK' THEN 'C' WHEN flags = 'ACK' THEN 'A' WHEN flags = 'RST' THEN 'R'
+    CASE WHEN protocol = 'UDP' THEN CASE WHEN length > 0 THEN 'W' ELSE 'U' END
+         WHEN flags LIKE 'DESTINATION_UNREACHABLE,%,3' THEN CASE WHEN length > 0 THEN 'G' ELSE 'Q' END
+         WHEN protocol = 'ICMP' THEN CASE WHEN length > 0 THEN 'H' ELSE 'I' END WHEN flags = 'SYN' THEN 'S'
+         WHEN flags = 'SYN,ACK' THEN 'C' WHEN flags = 'ACK' THEN CASE WHEN length > 0 THEN 'E' ELSE 'A' END WHEN flags = 'RST' THEN 'R'
          WHEN flags = 'RST,ACK' THEN 'K' WHEN flags = '' THEN 'N' WHEN flags = 'FIN' THEN 'F'
-         WHEN flags = 'FIN,ACK' THEN 'M' WHEN flags = 'PSH,ACK' THEN 'P' WHEN flags = 'FIN,PSH,URG' THEN 'Z'
-         WHEN flags = 'INIT' THEN 'J' WHEN flags = 'ABORT' THEN 'B' ELSE 'X' END AS sym
+         WHEN flags = 'FIN,ACK' THEN 'M' WHEN flags = 'PSH,ACK' THEN CASE WHEN length > 0 THEN 'D' ELSE 'P' END WHEN flags = 'FIN,PSH,URG' THEN 'Z'
+         WHEN flags = 'INIT' THEN 'J' WHEN flags = 'ABORT' THEN 'B' WHEN flags = 'DATA' THEN 'O' ELSE 'X' END AS sym
   FROM m0 WINDOW w AS (PARTITION BY {_KEYS} ORDER BY timestamp, packet_id)),
 f0 AS (
   SELECT {_KEYS}, remote AS true_remote, count(*) AS n,
