@@ -57,6 +57,11 @@ def verdicts(spark, d, rules: Rules = Rules(), honeypot: DataFrame | None = None
     return VD.classify(flows(spark, d, rules), rules, honeypot)
 
 
+def stored_verdicts(spark, d) -> DataFrame:
+    """Verdict rows as a table, for queries that read them more than once."""
+    return written(verdicts(spark, d), "verdicts")
+
+
 def history(spark, d, rules: Rules = Rules()) -> DataFrame:
     return VD.history(verdicts(spark, d, rules))
 
@@ -69,11 +74,11 @@ def joined_text(column: str) -> Column:
     return F.array_join(F.transform(F.col(column), lambda x: x.cast("string")), ",").alias(column)
 
 
-def sure_alerts(spark, d) -> DataFrame:
+def sure_alerts(verdict_rows: DataFrame) -> DataFrame:
     """Direct alerts, and every PortClosed or DidNotSendData flow as if scored 100."""
     verdict = F.col("verdict")
     kind = F.when(verdict.isin(V.PORT_CLOSED, V.NO_DATA), V.PORT_SCAN_ALERT).otherwise(verdict)
-    return AL.raise_alerts(verdicts(spark, d).withColumns({"outcome": kind, "chance": F.lit(100)}))
+    return AL.raise_alerts(verdict_rows.withColumns({"outcome": kind, "chance": F.lit(100)}))
 
 
 def written(rows: DataFrame, name: str, **options) -> DataFrame:
@@ -150,7 +155,7 @@ def _(spark, d):
 
 @query("snk4")
 def _(spark, d):
-    stored = written(sure_alerts(spark, d), "alerts")
+    stored = written(sure_alerts(verdicts(spark, d)), "alerts")
     return stored.groupBy("scan_type", "attack_type").agg(F.count(F.lit(1)).alias("n"), F.max("time").alias("latest"))
 
 
@@ -169,7 +174,7 @@ def _(spark, d):
 
 @query("snk5_alert")
 def _(spark, d):
-    return IO.as_json(sure_alerts(spark, d).select("attacker", "scan_type", "attack_type", "tools", "port"))
+    return IO.as_json(sure_alerts(verdicts(spark, d)).select("attacker", "scan_type", "attack_type", "tools", "port"))
 
 
 # --- normalisation ----------------------------------------------------------------
@@ -304,12 +309,12 @@ def _(spark, d):
 
 @query("flt13")
 def _(spark, d):
-    return SE.alerts_of(sure_alerts(spark, d), ONE_SOURCE, V.PORT_SCAN, "TCP SYN").select("attacker", "flow_key", "port")
+    return SE.alerts_of(sure_alerts(verdicts(spark, d)), ONE_SOURCE, V.PORT_SCAN, "TCP SYN").select("attacker", "flow_key", "port")
 
 
 @query("flt14")
 def _(spark, d):
-    return SE.alerts_after(sure_alerts(spark, d), AFTER).select("attacker", "flow_key", "time")
+    return SE.alerts_after(sure_alerts(verdicts(spark, d)), AFTER).select("attacker", "flow_key", "time")
 
 
 # --- packet predicates --------------------------------------------------------------
@@ -515,7 +520,7 @@ def _(spark, d):
 
 @query("fea10")
 def _(spark, d):
-    return FE.as_of(history(spark, d)).select("source", "flow_key", "verdict", *rounded_features())
+    return FE.as_of(VD.history(stored_verdicts(spark, d))).select("source", "flow_key", "verdict", *rounded_features())
 
 
 # --- model ----------------------------------------------------------------------------------
@@ -528,7 +533,8 @@ def labelled_features(spark, d) -> DataFrame:
 @lru_cache(maxsize=8)
 def _trained(app_id: str, d: str):
     spark = SparkSession.getActiveSession()
-    train_rows, _ = MO.split(labelled_features(spark, d))
+    # the forest passes over its rows several times
+    train_rows, _ = MO.split(written(labelled_features(spark, d), "training"))
     return MO.train(train_rows)
 
 
@@ -536,10 +542,10 @@ def trained(spark, d):
     return _trained(spark.sparkContext.applicationId, d)
 
 
-def plain_prediction(spark, d) -> DataFrame:
+def plain_prediction(history_rows: DataFrame) -> DataFrame:
     """Sources with a prediction that plain SQL can state; null where nothing was closed."""
     closed = F.col("closed_ports")
-    return FE.snapshot(history(spark, d)).withColumn(
+    return FE.snapshot(history_rows).withColumn(
         "prediction", F.when(closed > 0, closed.cast("double") / 8)
     )
 
@@ -552,7 +558,7 @@ def _(spark, d):
 
 @query("mod2")
 def _(spark, d):
-    train_rows, held_out = MO.split(labelled_features(spark, d))
+    train_rows, held_out = MO.split(written(labelled_features(spark, d), "labelled"))
     rows = [
         (name, metric, value)
         for name, part in (("train", train_rows), ("held_out", held_out))
@@ -568,20 +574,21 @@ def _(spark, d):
 
 @query("mod4")
 def _(spark, d):
-    rows = plain_prediction(spark, d).where("prediction IS NOT NULL")
+    rows = plain_prediction(history(spark, d)).where("prediction IS NOT NULL")
     return rows.select("source", SC.percentage(F.col("prediction")).alias("score"))
 
 
 @query("mod5")
 def _(spark, d):
     score = SC.score_or_zero(SC.percentage(F.col("prediction")))
-    return plain_prediction(spark, d).select("source", score.alias("score"))
+    return plain_prediction(history(spark, d)).select("source", score.alias("score"))
 
 
 def plainly_decided(spark, d) -> DataFrame:
     score = SC.score_or_zero(SC.percentage(F.col("prediction")))
-    scores = plain_prediction(spark, d).select("source", score.alias("score"))
-    return MO.decide(FE.onto_verdicts(verdicts(spark, d), scores))
+    v = stored_verdicts(spark, d)
+    scores = plain_prediction(VD.history(v)).select("source", score.alias("score"))
+    return MO.decide(FE.onto_verdicts(v, scores))
 
 
 @query("mod6")
@@ -616,7 +623,7 @@ def _(spark, d):
 
 @query("alr2")
 def _(spark, d):
-    return _shown_alerts(sure_alerts(spark, d).where(~F.col("attack_type").isin(list(V.DIRECT_ATTACK_TYPE.values()))))
+    return _shown_alerts(sure_alerts(verdicts(spark, d)).where(~F.col("attack_type").isin(list(V.DIRECT_ATTACK_TYPE.values()))))
 
 
 @query("alr2_scored")
@@ -667,7 +674,8 @@ def _(spark, d):
 
 @query("alr9")
 def _(spark, d):
-    return AL.build(sure_alerts(spark, d), history(spark, d)).select(
+    v = stored_verdicts(spark, d)
+    return AL.build(sure_alerts(v), VD.history(v)).select(
         "time", "scan_type", "attack_type", "attacker", "description", joined_text("tools"),
         joined_text("scanned_ports"), "chance", "read",
     )
@@ -680,7 +688,8 @@ def _(spark, d):
 
 @query("hpt2")
 def _(spark, d):
-    found = AL.honeypot_flows(history(spark, d), T.honeypot_sources(spark, d), T.packets(spark, d))
+    marked = written(history(spark, d), "history")
+    found = AL.honeypot_flows(marked, T.honeypot_sources(spark, d), T.packets(spark, d))
     return _shown_alerts(AL.network_scan(found))
 
 
@@ -688,7 +697,8 @@ def _(spark, d):
 
 
 def rolled(spark, d, rules: Rules = Rules()) -> DataFrame:
-    return RP.roll_up(sure_alerts(spark, d), rules, AL.scanned_ports(history(spark, d)))
+    v = stored_verdicts(spark, d)
+    return RP.roll_up(sure_alerts(v), rules, AL.scanned_ports(VD.history(v)))
 
 
 @query("rpt1")
@@ -711,7 +721,7 @@ def _(spark, d):
 
 @query("rpt3")
 def _(spark, d):
-    alerts = sure_alerts(spark, d)
+    alerts = sure_alerts(verdicts(spark, d))
     asked = T.honeypot_sources(spark, d).distinct().select(
         F.lit("TCP SYN, TCP CONNECT").alias("attack_types"), F.col("source").alias("attacker"),
         F.lit(V.PORT_SCAN).alias("scan_type"),
@@ -721,12 +731,12 @@ def _(spark, d):
 
 @query("rpt4")
 def _(spark, d):
-    return RP.remove_by_attack(sure_alerts(spark, d), ONE_SOURCE, "TCP SYN").select("attacker", "attack_type", "flow_key")
+    return RP.remove_by_attack(sure_alerts(verdicts(spark, d)), ONE_SOURCE, "TCP SYN").select("attacker", "attack_type", "flow_key")
 
 
 @query("rpt5")
 def _(spark, d):
-    alerts = sure_alerts(spark, d).withColumn("read", F.lit(False))
+    alerts = sure_alerts(verdicts(spark, d)).withColumn("read", F.lit(False))
     return RP.mark_read(alerts, F.col("time") < READ_BEFORE).select("attacker", "flow_key", "read")
 
 

@@ -61,6 +61,8 @@ def compare(spark, db, name: str, sf_dir: str, sql: str) -> str:
 
 
 def main() -> int:
+    import faulthandler
+    faulthandler.enable()
     from flowwatch.session import local_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
