@@ -115,7 +115,7 @@ def group_facts(member_rows: DataFrame, by: list) -> DataFrame:
     def first(test):
         return F.try_element_at(F.filter("_packets", test), F.lit(1))
 
-    plain = [c for c in groups.columns if not c.startswith("_") or c in by]
+    plain = [c for c in groups.columns if c not in ("_packets", "_path")]
     return groups.select(
         *plain,
         F.size("_packets").cast("long").alias("n_packets"),
