@@ -87,6 +87,11 @@ def written(rows: DataFrame, name: str, **options) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def stored_alerts(spark, d) -> DataFrame:
+    """Alerts as the table that lookups and removals work on."""
+    return written(sure_alerts(stored_verdicts(spark, d)), "alerts")
+
+
 # --- sources and sinks ---------------------------------------------------------
 
 
@@ -155,7 +160,7 @@ def _(spark, d):
 
 @query("snk4")
 def _(spark, d):
-    stored = written(sure_alerts(verdicts(spark, d)), "alerts")
+    stored = stored_alerts(spark, d)
     return stored.groupBy("scan_type", "attack_type").agg(F.count(F.lit(1)).alias("n"), F.max("time").alias("latest"))
 
 
@@ -174,7 +179,7 @@ def _(spark, d):
 
 @query("snk5_alert")
 def _(spark, d):
-    return IO.as_json(sure_alerts(verdicts(spark, d)).select("attacker", "scan_type", "attack_type", "tools", "port"))
+    return IO.as_json(sure_alerts(stored_verdicts(spark, d)).select("attacker", "scan_type", "attack_type", "tools", "port"))
 
 
 # --- normalisation ----------------------------------------------------------------
@@ -309,12 +314,12 @@ def _(spark, d):
 
 @query("flt13")
 def _(spark, d):
-    return SE.alerts_of(sure_alerts(verdicts(spark, d)), ONE_SOURCE, V.PORT_SCAN, "TCP SYN").select("attacker", "flow_key", "port")
+    return SE.alerts_of(stored_alerts(spark, d), ONE_SOURCE, V.PORT_SCAN, "TCP SYN").select("attacker", "flow_key", "port")
 
 
 @query("flt14")
 def _(spark, d):
-    return SE.alerts_after(sure_alerts(verdicts(spark, d)), AFTER).select("attacker", "flow_key", "time")
+    return SE.alerts_after(stored_alerts(spark, d), AFTER).select("attacker", "flow_key", "time")
 
 
 # --- packet predicates --------------------------------------------------------------
@@ -618,12 +623,12 @@ def _shown_alerts(rows: DataFrame) -> DataFrame:
 
 @query("alr1")
 def _(spark, d):
-    return _shown_alerts(AL.direct(verdicts(spark, d)))
+    return _shown_alerts(AL.direct(stored_verdicts(spark, d)))
 
 
 @query("alr2")
 def _(spark, d):
-    return _shown_alerts(sure_alerts(verdicts(spark, d)).where(~F.col("attack_type").isin(list(V.DIRECT_ATTACK_TYPE.values()))))
+    return _shown_alerts(sure_alerts(stored_verdicts(spark, d)).where(~F.col("attack_type").isin(list(V.DIRECT_ATTACK_TYPE.values()))))
 
 
 @query("alr2_scored")
@@ -633,7 +638,7 @@ def _(spark, d):
 
 
 def _honeypot_alerts(spark, d) -> DataFrame:
-    v = verdicts(spark, d, honeypot=T.honeypot_sources(spark, d))
+    v = written(verdicts(spark, d, honeypot=T.honeypot_sources(spark, d)), "verdicts")
     return AL.network_scan(v.where(F.col("verdict") == V.NETWORK_ALERT))
 
 
@@ -661,7 +666,7 @@ def _(spark, d):
 
 @query("alr7")
 def _(spark, d):
-    rows = AL.direct(verdicts(spark, d)).withColumn("tools", AL.attack_tools(F.col("attack_type")))
+    rows = AL.direct(stored_verdicts(spark, d)).withColumn("tools", AL.attack_tools(F.col("attack_type")))
     return rows.groupBy("attack_type", joined_text("tools")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -683,7 +688,7 @@ def _(spark, d):
 
 @query("hpt1")
 def _(spark, d):
-    return AL.seen_by_honeypot(history(spark, d), T.honeypot_sources(spark, d)).select("source", "flow_key", "verdict")
+    return AL.seen_by_honeypot(written(history(spark, d), "history"), T.honeypot_sources(spark, d)).select("source", "flow_key", "verdict")
 
 
 @query("hpt2")
@@ -721,7 +726,7 @@ def _(spark, d):
 
 @query("rpt3")
 def _(spark, d):
-    alerts = sure_alerts(verdicts(spark, d))
+    alerts = stored_alerts(spark, d)
     asked = T.honeypot_sources(spark, d).distinct().select(
         F.lit("TCP SYN, TCP CONNECT").alias("attack_types"), F.col("source").alias("attacker"),
         F.lit(V.PORT_SCAN).alias("scan_type"),
@@ -731,12 +736,12 @@ def _(spark, d):
 
 @query("rpt4")
 def _(spark, d):
-    return RP.remove_by_attack(sure_alerts(verdicts(spark, d)), ONE_SOURCE, "TCP SYN").select("attacker", "attack_type", "flow_key")
+    return RP.remove_by_attack(stored_alerts(spark, d), ONE_SOURCE, "TCP SYN").select("attacker", "attack_type", "flow_key")
 
 
 @query("rpt5")
 def _(spark, d):
-    alerts = sure_alerts(verdicts(spark, d)).withColumn("read", F.lit(False))
+    alerts = stored_alerts(spark, d).withColumn("read", F.lit(False))
     return RP.mark_read(alerts, F.col("time") < READ_BEFORE).select("attacker", "flow_key", "read")
 
 
