@@ -518,7 +518,7 @@ def _(spark, d):
 def _(spark, d):
     from pyspark.ml.functions import vector_to_array
     numbers = vector_to_array("features")
-    return MO.vectors(FE.snapshot(history(spark, d))).select(
+    return MO.vectors(FE.snapshot(written(history(spark, d), "history"))).select(
         "source", *[F.round(numbers[i], 9).alias(c) for i, c in enumerate(FEATURES)]
     )
 
@@ -579,14 +579,14 @@ def _(spark, d):
 
 @query("mod4")
 def _(spark, d):
-    rows = plain_prediction(history(spark, d)).where("prediction IS NOT NULL")
+    rows = plain_prediction(written(history(spark, d), "history")).where("prediction IS NOT NULL")
     return rows.select("source", SC.percentage(F.col("prediction")).alias("score"))
 
 
 @query("mod5")
 def _(spark, d):
     score = SC.score_or_zero(SC.percentage(F.col("prediction")))
-    return plain_prediction(history(spark, d)).select("source", score.alias("score"))
+    return plain_prediction(written(history(spark, d), "history")).select("source", score.alias("score"))
 
 
 def plainly_decided(spark, d) -> DataFrame:

@@ -74,7 +74,9 @@ def detect(
 
 def closed_port_probers(packets: DataFrame, rules: Rules = Rules(), hot: str = "auto") -> DataFrame:
     """Which remote hosts probed closed ports, how many, and is that beyond the threshold?"""
-    history = VD.history(verdicts(packets, rules, hot=hot))
+    path = scratch_path(packets.sparkSession, "history")
+    VD.history(verdicts(packets, rules, hot=hot)).write.parquet(path)
+    history = packets.sparkSession.read.parquet(path)
     return FE.snapshot(history, rules).where("closed_ports > 0").select(
         "source", "closed_ports", "threshold_class", F.round("closed_port_score", 9).alias("closed_port_score")
     )
