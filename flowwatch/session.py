@@ -31,13 +31,19 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, `spark.checkpoint.dir`.
+    """The cluster's shared folder: `spark.checkpoint.dir`, else the context's checkpoint folder.
 
-    Only where the session names none (tests on one machine) is a local folder
-    created and set, once per session.
+    Only a local master may run without one; then a local folder is created and set,
+    once per session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = of_context.get() if of_context.isDefined() else None
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="flowwatch-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
