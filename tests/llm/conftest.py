@@ -1,0 +1,17 @@
+import os
+import sys
+
+import pytest
+
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(os.path.dirname(HERE)))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from flowwatch.session import local_session
+
+    session = local_session(4, shuffle_partitions=4, memory="4g")
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
