@@ -23,19 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this subpackage's modules to the Python workers, once per application."""
+    """Send the package's modules to the Python workers, once per application."""
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
-    here = os.path.dirname(os.path.abspath(__file__))
-    handle, archive = tempfile.mkstemp(prefix="flowwatch-llm-", suffix=".zip")
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    handle, archive = tempfile.mkstemp(prefix="flowwatch-", suffix=".zip")
     os.close(handle)
     with zipfile.ZipFile(archive, "w") as out:
-        out.write(os.path.join(os.path.dirname(here), "__init__.py"), "flowwatch/__init__.py")
-        out.write(os.path.join(os.path.dirname(here), "session.py"), "flowwatch/session.py")
-        for name in sorted(os.listdir(here)):
-            if name.endswith(".py"):
-                out.write(os.path.join(here, name), f"flowwatch/llm/{name}")
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
     context.addPyFile(archive)
     _SHIPPED.add(context.applicationId)
 
