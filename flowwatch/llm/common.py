@@ -68,9 +68,11 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of `df`, used only to choose a number of buckets."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def buckets_for(df: DataFrame, each: int = 4) -> int:
+    """A number of hash buckets that follows the input: `each` per input partition, which
+    spark.sql.files.maxPartitionBytes bounds, and no fewer than the shuffle partitions."""
+    spark = df.sparkSession
+    return max(24, int(spark.conf.get("spark.sql.shuffle.partitions")), each * df.rdd.getNumPartitions())
 
 
 def components(links: DataFrame, left: str, right: str, name: str = "components") -> DataFrame:

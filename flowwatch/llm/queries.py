@@ -66,3 +66,28 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowwatch.llm.benchmark import contamination, digest
 
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op7_substring_dedup", """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+win AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS win
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+least_doc AS (SELECT win, min(doc_id) AS low FROM win GROUP BY win HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS p
+  FROM win JOIN least_doc USING (win) WHERE low < doc_id),
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowwatch.llm.substrings import digest, removals
+
+    return digest(removals(table(spark, sf_dir, "documents")))
