@@ -91,3 +91,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowwatch.llm.substrings import digest, removals
 
     return digest(removals(table(spark, sf_dir, "documents")))
+
+
+@query("op5_source_mix")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowwatch.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
