@@ -98,3 +98,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowwatch.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
+
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowwatch.llm.credentials import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
