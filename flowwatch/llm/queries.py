@@ -105,3 +105,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowwatch.llm.credentials import digest, scan
 
     return digest(scan(table(spark, sf_dir, "documents")))
+
+
+@query("op10_main_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowwatch.llm.wrappers import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
