@@ -112,3 +112,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowwatch.llm.wrappers import main_texts
 
     return main_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op9_minhash_neardup", """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT r, doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+rare AS MATERIALIZED (  -- the ceil(n / 4) rarest shingles of one of two linked sets hold one of the other's
+  SELECT r, s, p, n FROM (
+    SELECT r, s, n, row_number() OVER (PARTITION BY r ORDER BY c, s) AS p
+    FROM s JOIN n USING (r) JOIN (SELECT s, count(*) AS c FROM s GROUP BY s) USING (s))
+  WHERE p <= n - ceil(0.75 * n) + 1),
+pairs AS (
+  SELECT DISTINCT a.r AS a, b.r AS b FROM rare a JOIN rare b USING (s)
+  WHERE a.r < b.r AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
+links AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT a, b, count(*) AS shared FROM pairs JOIN s x ON x.r = a JOIN s y ON y.r = b AND y.s = x.s GROUP BY a, b)
+  JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+edges AS MATERIALIZED (
+  SELECT x.doc_id AS u, y.doc_id AS v FROM links JOIN d x ON x.r = a JOIN d y ON y.r = b
+  UNION SELECT y.doc_id, x.doc_id FROM links JOIN d x ON x.r = a JOIN d y ON y.r = b),
+walk AS (
+  SELECT u, u AS c FROM edges UNION SELECT e.u, walk.c FROM walk JOIN edges e ON e.v = walk.u WHERE walk.c < e.u),
+comp AS (SELECT u, min(c) AS c FROM walk GROUP BY u)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least(c, doc_id), doc_id) AS component_id,
+  doc_id = coalesce(least(c, doc_id), doc_id) AS kept
+FROM d LEFT JOIN n USING (r) LEFT JOIN comp ON u = doc_id
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowwatch.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
