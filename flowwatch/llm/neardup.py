@@ -10,10 +10,11 @@ that most classes hold and still meet every partner in the inverted list of anot
 Lists are not expanded into pairs. First a list names one leader, every member is compared
 with it, and what is linked becomes one component; lists whose members are all in one
 component are done, which large groups of copies are by then. In what remains only
-members of different components are compared: pair by pair in lists of at most SHORT
-members, else in blocks of BLOCK members, sketches against sketches inside a task, which
-has no cap and brings out only pairs that pass.
-Every candidate pair passes the estimate of the union's sketch, then exact Jaccard on the
+members of different components are compared. Lists of at most SHORT members give pairs.
+Members of longer lists are dealt to blocks of about BLOCK by their longest list, and two
+blocks that meet in any list are compared once, full sets against full sets, by a product
+of membership matrices inside a task; that has no cap and brings out links only.
+A candidate pair passes the estimate of the union's sketch, then exact Jaccard on the
 full sets. All of this works on classes; documents come back by one join.
 
 Defined cases: null or empty texts have an empty set and link with nothing; fewer than
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from flowwatch.llm.common import arrow_map, components, keep, ship
 from flowwatch.llm.substrings import codes, window_hashes
 
-K, NEED, SHORT, BLOCK = 64, 28, 32, 1024
+K, NEED, SHORT, BLOCK = 64, 28, 32, 2048
 PERCENT = 75
 
 
@@ -116,10 +117,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(joined, run, "a long, b long")
 
 
-def full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, hashes) of the classes that occur in pairs."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = wanted.join(classes.select("rep", "sig"), "rep")
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep")))
+
+
+def full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(rep, hashes) of some classes, from the texts of their smallest documents."""
+    wanted = reps.distinct().join(classes.select("rep", "sig"), "rep")
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep")
 
     def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
@@ -135,14 +139,16 @@ def full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     return arrow_map(rows.select("rep", "text", "sig"), run, "rep long, hashes binary")
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -> np.ndarray:
-    """Number of common values of every left and every right sketch."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], step: int = 2048) -> np.ndarray:
+    """Number of common values of every left and every right set."""
     own = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
     values = [np.concatenate(x) for x in (left, right)]
     common = np.intersect1d(*values)
     out = np.zeros((len(left), len(right)), np.float32)
-    place = [np.minimum(np.searchsorted(common, v), max(0, len(common) - 1)) for v in values]
-    hit = [common[p] == v if len(common) else np.zeros(len(v), bool) for p, v in zip(place, values, strict=True)]
+    if not len(common):
+        return out
+    place = [np.minimum(np.searchsorted(common, v), len(common) - 1) for v in values]
+    hit = [common[p] == v for p, v in zip(place, values, strict=True)]
     for at in range(0, len(common), step):
         sides = []
         for p, h, o, n in zip(place, hit, own, (len(left), len(right)), strict=True):
@@ -155,48 +161,57 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096)
 
 
 def in_blocks(group: pa.Table) -> pa.Table:
-    """Pairs of two blocks of a list: different components, enough common sketch values."""
-    lists = group.column("sketch").to_pylist()
-    rep, comp, need = (group.column(c).to_numpy() for c in ("rep", "comp", "need"))
-    first = group.column("first").to_numpy(zero_copy_only=False).astype(bool)
-    second = group.column("second").to_numpy(zero_copy_only=False).astype(bool)
-    i, j = np.flatnonzero(first), np.flatnonzero(second)
-    if not len(i) or not len(j):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    sketch = [np.array(x, np.int64) for x in lists]
-    common = overlaps([sketch[k] for k in i], [sketch[k] for k in j])
-    good = (common >= np.maximum(need[i][:, None], need[j][None, :])) & (comp[i][:, None] != comp[j][None, :])
-    x, y = np.nonzero(good)
+    """Links between two blocks, or in one: different components, exact Jaccard."""
+    rep, comp = group.column("rep").to_numpy(), group.column("comp").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    i, j = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False).astype(bool)) for c in ("first", "second"))
+    x = y = np.empty(0, int)
+    if len(i) and len(j):
+        common = overlaps([sets[k] for k in i], [sets[k] for k in j])
+        union = size[i][:, None] + size[j][None, :] - common
+        x, y = np.nonzero((100 * common >= PERCENT * union) & (comp[i][:, None] != comp[j][None, :]))
     a, b = rep[i[x]], rep[j[y]]
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def rest_pairs(entries: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a list, passed on to verification."""
+def rest(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """(v, rep, comp, size) of the lists whose members are not yet one component."""
     member = entries.join(found, F.col("rep") == F.col("node"), "left").select(
         "v", "rep", F.coalesce("component", "rep").alias("comp")
     )
     lists = member.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-    left = keep(member.join(lists.where("low < high").select("v", "size"), "v"), "neardup-rest")
+    return keep(member.join(lists.where("low < high").select("v", "size"), "v"), "neardup-rest")
+
+
+def short_pairs(left: DataFrame) -> DataFrame:
     short = left.where(F.col("size") <= SHORT)
     other = short.select("v", F.col("rep").alias("b"), F.col("comp").alias("other"))
-    pairs = short.withColumnRenamed("rep", "a").join(other, "v").where("a < b and comp != other").select("a", "b").distinct()
-    pairs = estimated(pairs, classes)
-
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    long = (
-        left.where(F.col("size") > SHORT)
-        .withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(classes.select("rep", "sketch", needed().alias("need")), "rep")
-        .select(
-            "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "need", "sketch",
-            (F.col("own") <= F.col("other")).alias("first"), (F.col("own") >= F.col("other")).alias("second"),
-        )
+    return short.withColumnRenamed("rep", "a").join(other, "v").where("a < b and comp != other").select("a", "b").distinct()
+
+
+def long_links(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of different components that meet in a long list."""
+    long = left.where(F.col("size") > SHORT)
+    home = long.groupBy("rep").agg(F.max("comp").alias("comp"), F.max(F.struct("size", "v")).alias("home"))
+    count = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("cells"))
+    block = keep(
+        home.join(count, "home").select(
+            "rep", "comp", F.col("home.v").alias("h"), F.pmod(F.xxhash64("rep"), F.col("cells")).alias("cell")
+        ).select("rep", "comp", F.struct("h", "cell").alias("block")),
+        "neardup-blocks",
+    )
+    present = long.select("v", "rep").join(block.select("rep", "block"), "rep").select("v", "block").distinct()
+    met = (
+        present.withColumnRenamed("block", "i").join(present.withColumnRenamed("block", "j"), "v")
+        .where("i <= j").select("i", "j").distinct()
+    )
+    turns = met.select("i", "j", F.col("i").alias("block"), F.lit(True).alias("first"), (F.col("i") == F.col("j")).alias("second")).union(
+        met.where("i != j").select("i", "j", "j", F.lit(False), F.lit(True))
     )
-    ship(entries.sparkSession)
-    met = long.groupBy("v", "i", "j").applyInArrow(in_blocks, "a long, b long").distinct()
-    return pairs.union(met).distinct()
+    dealt = turns.join(block, "block").join(sets, "rep").select("i", "j", "rep", "comp", "first", "second", "hashes")
+    ship(left.sparkSession)
+    return dealt.groupBy("i", "j").applyInArrow(in_blocks, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,13 +226,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
     entries = keep(prefixes(classes), "neardup-entries")
     leaders = entries.groupBy("v").agg(F.min("rep").alias("lead"))
     led = entries.join(leaders, "v").where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = None
-    for step in range(2):
-        pairs = led if step == 0 else rest_pairs(entries, components(links, "a", "b"), classes)
-        pairs = keep(estimated(pairs, classes) if step == 0 else pairs, "neardup-pairs")
-        sets = keep(full_sets(docs, classes, pairs, width, id_col, text_col), "neardup-sets")
-        new = keep(verified(pairs, sets), "neardup-links")
-        links = new if links is None else links.union(new)
+    pairs = keep(estimated(led, classes), "neardup-pairs")
+    sets = keep(full_sets(docs, classes, ends(pairs), width, id_col, text_col), "neardup-sets")
+    links = keep(verified(pairs, sets), "neardup-links")
+    left = rest(entries, components(links, "a", "b"))
+    pairs = keep(estimated(short_pairs(left), classes), "neardup-pairs")
+    several = left.where(F.col("size") > SHORT).select("rep")
+    sets = keep(full_sets(docs, classes, ends(pairs).union(several), width, id_col, text_col), "neardup-sets")
+    links = links.union(keep(verified(pairs, sets), "neardup-links")).union(keep(long_links(left, sets), "neardup-links"))
     member = keep(
         rows.join(classes.select("sig", "rep"), "sig", "left").select("doc", "n", "rep"), "neardup-members"
     )

@@ -56,7 +56,7 @@ def corpus():
     return rows + [(None, docs[3]), (None, docs[3]), (12, docs[2]), (13, docs[2]), (9, docs[0])]
 
 
-@pytest.mark.parametrize("short, block", [(32, 1024), (2, 5)])
+@pytest.mark.parametrize("short, block", [(32, 2048), (2, 5)])
 def test_brute_force(spark, monkeypatch, short, block):
     monkeypatch.setattr(N, "SHORT", short)
     monkeypatch.setattr(N, "BLOCK", block)
