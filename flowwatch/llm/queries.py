@@ -149,3 +149,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowwatch.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_embedding_neardup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+walk AS (SELECT a, a AS c FROM links UNION SELECT l.a, w.c FROM walk w JOIN links l ON l.b = w.a WHERE w.c < l.a),
+comp AS (SELECT a, least(a, min(c)) AS c FROM walk GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c, vec_id) AS component_id,
+  coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN comp ON comp.a = vec_id
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowwatch.llm.nndescent import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
