@@ -170,3 +170,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowwatch.llm.nndescent import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowwatch.llm.quality import digest, judged
+
+    return digest(judged(table(spark, sf_dir, "documents")))
