@@ -7,7 +7,7 @@ texts, equal (window, document) pairs collapse and a window that several documen
 batch hold goes out once, for the smallest id; the others are known to be repeats and
 pass through buckets of their own. A window thus reaches its bucket at most once per
 batch, however many documents share it. A bucket finds the smallest id per window and
-returns the windows that have one below their own, by document. Those meet the text
+returns the windows that have one below their own, dealt by document. Those meet the text
 again, where covered words merge into maximal removal intervals.
 
 Defined cases: null or short texts have no window; a null id counts as larger than any
@@ -70,6 +70,7 @@ def window_hashes(code: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
+    """Bits mixed in place."""
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(29)
@@ -87,6 +88,26 @@ def split(texts: pa.Array) -> Iterator[list[bytes]]:
         yield raw.split() if raw else []
 
 
+def planes(values: np.ndarray) -> bytes:
+    """An integer array byte plane by byte plane, compressed: planes that vary little cost little."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def unplaned(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = pa.decompress(data, n * size, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    """Hashes of one row: differences of neighbours, which are small where they ascend."""
+    return planes(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unplaned(data, n, np.uint64), dtype=np.uint64)
+
+
 def pair_rows(
     first: np.ndarray, bucket: np.ndarray, doc: np.ndarray, ids: np.ndarray, buckets: int
 ) -> pa.RecordBatch:
@@ -111,12 +132,12 @@ def pair_rows(
         cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.empty(0, int)
         for i, j in zip(cut, np.append(cut, len(b))[1:], strict=True):
             used, local = np.unique(d[i:j], return_inverse=True)
-            local = local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
-            rows.append((int(b[i]), known, h[i:j].tobytes(), local.tobytes(), local.itemsize, ids[used].tobytes()))
+            local = local.astype(np.uint32)
+            rows.append((int(b[i]), known, packed(h[i:j]), planes(local), j - i, ids[used].tobytes()))
     return pa.RecordBatch.from_arrays(
         [pa.array([r[k] for r in rows], t) for k, t in enumerate(
             (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.binary()))],
-        names=["bucket", "known", "hashes", "docs", "wide", "ids"],
+        names=["bucket", "known", "hashes", "docs", "n", "ids"],
     )
 
 
@@ -142,35 +163,49 @@ def repeats(width: int, buckets: int):
     return run
 
 
-def judge(table: pa.Table) -> pa.Table:
-    """Of one bucket: the windows of each document that a smaller document also holds."""
-    h, d = [], []
-    out_h, out_d = [], []
-    for known, hashes, docs, wide, ids in zip(
-        *(table.column(c).to_pylist() for c in ("known", "hashes", "docs", "wide", "ids")), strict=True
-    ):
-        hs = np.frombuffer(hashes, np.uint64)
-        ds = np.frombuffer(ids, np.int64)[np.frombuffer(docs, np.uint16 if wide == 2 else np.uint32)]
-        if known:
-            out_h.append(hs)
-            out_d.append(ds)
-        else:
-            h.append(hs)
-            d.append(ds)
-    if h:
-        hs, ds = np.concatenate(h), np.concatenate(d)
-        order = np.argsort(hs)
-        hs, ds = hs[order], ds[order]
-        start = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
-        least = np.minimum.reduceat(ds, start)
-        size = np.diff(np.r_[start, len(hs)])
-        worse = ds > np.repeat(least, size)
-        out_h.append(hs[worse])
-        out_d.append(ds[worse])
-    hs, ds = np.concatenate(out_h), np.concatenate(out_d)
-    order = np.argsort(ds, kind="stable")
+def judge(buckets: int):
+    """applyInArrow function of one bucket: the windows of each document that a smaller
+    document also holds, as rows (place, docs, hashes, n), a place being a bucket of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, d, out_h, out_d = [], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for known, hashes, docs, n, ids in zip(
+            *(table.column(c).to_pylist() for c in ("known", "hashes", "docs", "n", "ids")), strict=True
+        ):
+            ds = np.frombuffer(ids, np.int64)[unplaned(docs, n, np.uint32)]
+            (out_h if known else h).append(unpacked(hashes, n))
+            (out_d if known else d).append(ds)
+        if h:
+            hs, ds = np.concatenate(h), np.concatenate(d)
+            order = np.argsort(hs)
+            hs, ds = hs[order], ds[order]
+            start = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
+            least = np.minimum.reduceat(ds, start)
+            worse = ds > np.repeat(least, np.diff(np.r_[start, len(hs)]))
+            out_h.append(hs[worse])
+            out_d.append(ds[worse])
+        hs, ds = np.concatenate(out_h), np.concatenate(out_d)
+        place = (mixed(ds.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((hs, place))
+        hs, ds, place = hs[order], ds[order], place[order]
+        start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(ds) else np.empty(0, int)
+        rows = list(zip(start, np.append(start, len(ds))[1:], strict=True))
+        return pa.table({
+            "place": pa.array(place[start], pa.int32()), "docs": pa.array([planes(ds[i:j]) for i, j in rows], pa.binary()),
+            "hashes": pa.array([packed(hs[i:j]) for i, j in rows], pa.binary()), "n": pa.array([j - i for i, j in rows], pa.int32()),
+        })
+
+    return run
+
+
+def gathered(table: pa.Table) -> pa.Table:
+    """Of one place: the repeated windows of each document, (doc, repeated)."""
+    cells = list(zip(*(table.column(c).to_pylist() for c in ("docs", "hashes", "n")), strict=True))
+    ds = np.concatenate([unplaned(d, n, np.int64) for d, _, n in cells])
+    hs = np.concatenate([unpacked(h, n) for _, h, n in cells])
+    order = np.lexsort((hs, ds))
     hs, ds = hs[order], ds[order]
-    start = np.flatnonzero(np.r_[True, ds[1:] != ds[:-1]]) if len(ds) else np.empty(0, int)
+    start = np.flatnonzero(np.r_[True, ds[1:] != ds[:-1]])
     end = np.append(start, len(ds))[1:]
     return pa.table({
         "doc": pa.array(ds[start], pa.int64()),
@@ -189,11 +224,11 @@ def removals(
     if buckets is None:
         buckets = buckets_for(rows)
     pairs = arrow_map(
-        rows, repeats(width, buckets), "bucket int, known boolean, hashes binary, docs binary, wide int, ids binary"
+        rows, repeats(width, buckets), "bucket int, known boolean, hashes binary, docs binary, n int, ids binary"
     )
     found = (
-        pairs.groupBy("bucket").applyInArrow(judge, "doc long, repeated binary")
-        .groupBy("doc").agg(F.collect_list("repeated").alias("repeated"))
+        pairs.groupBy("bucket").applyInArrow(judge(buckets), "place int, docs binary, hashes binary, n int")
+        .groupBy("place").applyInArrow(gathered, "doc long, repeated binary")
     )
     joined = (
         rows.withColumn("key", F.coalesce("doc", F.lit(int(LAST)))).join(
@@ -218,7 +253,7 @@ def cut_out(width: int):
                 intervals.append([])
                 kept.append(b" ".join(words))
                 continue
-            bad = np.frombuffer(b"".join(parts), np.uint64)
+            bad = np.frombuffer(parts, np.uint64)
             hit = np.isin(window_hashes(codes(words), width)[0], bad)
             step = np.zeros(len(words) + 1, np.int64)
             at = np.flatnonzero(hit)
