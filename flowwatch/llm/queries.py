@@ -177,3 +177,39 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowwatch.llm.quality import digest, judged
 
     return digest(judged(table(spark, sf_dir, "documents")))
+
+
+@query("op6_preference_format", """
+WITH t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS tie
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+last AS (SELECT conv_id, max({'turn': turn, 'tie': tie}) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+r AS (
+  SELECT conv_id, turn, role, CASE WHEN {'turn': turn, 'tie': tie} = last THEN array_to_string(
+    string_split(text, ' ')[1:greatest(1, len(string_split(text, ' ')) // 2)], ' ') ELSE text END AS text
+  FROM t JOIN last USING (conv_id)),
+rt AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS tie FROM (SELECT DISTINCT * FROM r)),
+a AS (
+  SELECT coalesce(t.conv_id, rt.conv_id) AS conv_id, coalesce(t.turn, rt.turn) AS turn, coalesce(t.tie, rt.tie) AS tie,
+    t.role AS c_role, t.text AS c_text, rt.role AS r_role, rt.text AS r_text
+  FROM t FULL JOIN rt ON t.conv_id = rt.conv_id AND t.turn = rt.turn AND t.tie = rt.tie),
+split AS (
+  SELECT conv_id, min({'turn': turn, 'tie': tie}) AS split FROM a
+  WHERE c_role IS DISTINCT FROM r_role OR c_text IS DISTINCT FROM r_text GROUP BY conv_id),
+parts AS (
+  SELECT conv_id, 'prompt' AS part, turn, tie, c_role AS role, c_text AS text FROM a JOIN split USING (conv_id)
+  WHERE {'turn': turn, 'tie': tie} < split
+  UNION ALL SELECT conv_id, 'chosen', turn, tie, c_role, c_text FROM a JOIN split USING (conv_id)
+  WHERE {'turn': turn, 'tie': tie} >= split AND c_role IS NOT NULL
+  UNION ALL SELECT conv_id, 'rejected', turn, tie, r_role, r_text FROM a JOIN split USING (conv_id)
+  WHERE {'turn': turn, 'tie': tie} >= split AND r_role IS NOT NULL)
+SELECT conv_id, part, turn, CAST(tie AS INTEGER) AS tie, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
+  CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(role) + 5 ELSE 0 END AS INTEGER) AS mask_start,
+  CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(role) + 5 + length(text) + 8 ELSE 0 END AS INTEGER) AS mask_end
+FROM parts WHERE conv_id IN (SELECT conv_id FROM last)
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowwatch.llm.preferences import cut_replies, preferences
+
+    conversations = table(spark, sf_dir, "conversations")
+    return preferences(conversations, cut_replies(conversations))
