@@ -89,10 +89,11 @@ def listed(spans: Column) -> Column:
 
 
 def scan(
-    docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text_col: str = "text", versions: bool = False
 ) -> DataFrame:
-    """(id, base, linked) of every text: arrays of (start, kind, end, value), kind being
-    the place in KINDS. `linked` are the weak parts that complementary parts confirm."""
+    """(id, base, linked) of every text, with `versions` also the hash that tells texts of
+    one id apart. Spans are (start, kind, end, value), kind being the place in KINDS;
+    `linked` are the weak parts that complementary parts confirm."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     assign = F.filter(matches(text, ASSIGN, 2), lambda s: F.length(s["value"]) >= 6)
     base = F.concat(tagged(assign, "assign"), tagged(matches(text, ACCESS), "access"), tagged(matches(text, HEX), "hex"))
@@ -118,7 +119,7 @@ def scan(
     return (
         found.join(back, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("version") == F.col("l_version")), "left")
         .select(
-            F.col("id").alias(id_col), "base",
+            F.col("id").alias(id_col), *(["version"] if versions else []), "base",
             F.coalesce("linked", F.array().cast("array<struct<start:long,kind:int,end:long,value:string>>")).alias("linked"),
         )
     )
@@ -161,3 +162,33 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         listed(F.concat("base", "linked")).alias("spans"),
         F.size("linked").cast("long").alias("n_linked"),
     )
+
+
+def redacted(
+    docs: DataFrame, scope: int = 200, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """`docs` with a mark in the place of every span, base or linked; overlapping spans
+    give one mark. Other columns stay as they are."""
+    spans = keep(
+        scan(docs.select(id_col, text_col), scope, id_col, text_col, versions=True)
+        .withColumn("spans", F.array_sort(F.concat("base", "linked"))).where(F.size("spans") > 0)
+        .select(F.col(id_col).alias("_s_id"), F.col("version").alias("_s_version"), F.col("spans").alias("_s_spans")).distinct(),
+        "secret-spans",
+    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    cut = F.aggregate(
+        "_s_spans", start,
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
+                acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)
+            )).alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))),
+    )
+    names = docs.columns
+    joined = docs.withColumn("_version", F.xxhash64(text, F.char_length(text))).join(
+        spans, F.col(id_col).eqNullSafe(F.col("_s_id")) & (F.col("_version") == F.col("_s_version")), "left"
+    )
+    return joined.withColumn(text_col, F.when(F.col("_s_spans").isNull(), F.col(text_col)).otherwise(cut)).select(*names)
