@@ -55,8 +55,8 @@ def main() -> None:
         rows.write.format("noop").mode("overwrite").save()
 
     def stream():
-        rows = ST.session_verdicts(ST.packet_stream(spark, landing, files_per_trigger=100))
-        ST.run_to_table(rows.select("flow_key", "verdict"), scratch_path(spark, "streamed")).awaitTermination()
+        store = ST.FlowStore(scratch_path(spark, "flow-store"))
+        ST.record(ST.packet_stream(spark, landing, files_per_trigger=4), store, scratch_path(spark, "offsets")).awaitTermination()
 
     steps = {
         "flow_assembly": lambda: run(FL.assemble(packets)),

@@ -53,8 +53,8 @@ BAD_CHECKSUM = "coalesce(last.checksum_correct, '') <> 'true'"
 INITIATED = either(every(TCP, first_is("s")), every(SCTP, "contains(first.kind, 'j')"))
 TCP_PROPER = every("saw_fin_in", "saw_fin_out")
 PROPERLY_CLOSED = f"(CASE WHEN {TCP} THEN {TCP_PROPER} WHEN {SCTP} THEN saw_shutdown ELSE true END)"
-TWO_CLOSED = every(TWO, "path IN ('Sr', 'Sk')")
-FOUR_CONNECT = every("n_packets = 4", "path IN ('ScAR', 'ScAK', 'ScER', 'ScEK')")
+TWO_CLOSED = every(TWO, "short_path IN ('Sr', 'Sk')")
+FOUR_CONNECT = every("n_packets = 4", "short_path IN ('ScAR', 'ScAK', 'ScER', 'ScEK')")
 UDP_CLOSED = (
     f"(CASE WHEN first.kind = upper(first.kind) AND {last_is('qg')} THEN true WHEN {last_is('uw')} THEN false "
     "ELSE n_packets > 2 AND pair_unreachable END)"
@@ -64,7 +64,7 @@ PORT_CLOSED = (
     f"(CASE WHEN {TCP} THEN pair_closed WHEN {SCTP} THEN {SCTP_CLOSED} WHEN {UDP} THEN {UDP_CLOSED} ELSE false END)"
 )
 DATA_SENT = (
-    f"(CASE WHEN {TCP} THEN saw_tcp_data AND upper(path) NOT IN ('SCAK', 'SCEK', 'SK') "
+    f"(CASE WHEN {TCP} THEN saw_tcp_data AND coalesce(upper(short_path), '') NOT IN ('SCAK', 'SCEK', 'SK') "
     f"WHEN {SCTP} THEN saw_data_chunk WHEN {UDP} THEN saw_in_payload ELSE false END)"
 )
 NULL_SCAN = every(TCP, "saw_no_flags")

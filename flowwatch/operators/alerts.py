@@ -170,7 +170,7 @@ def scanned_ports(history: DataFrame) -> DataFrame:
 def build(alert_rows: DataFrame, history: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Complete alerts, with the port list of their source."""
     ports = scanned_ports(history).withColumnRenamed("source", "attacker")
-    joined = skew.salted_lookup(alert_rows, ports, ["attacker"], spread=["flow_key"], how="left")
+    joined = skew.lookup(alert_rows, ports, ["attacker"], how="left")
     listed = F.when(F.col("attack_type") == "UDP", F.col("scan_and_data_ports")).otherwise(F.col("scan_ports"))
     listed = F.coalesce(listed, F.array().cast("array<int>"))
     own = F.array(F.col("port"))
@@ -190,13 +190,13 @@ def build(alert_rows: DataFrame, history: DataFrame, rules: Rules = Rules()) ->
 def seen_by_honeypot(history: DataFrame, honeypot: DataFrame) -> DataFrame:
     """History rows whose source the honeypot has recorded."""
     listed = honeypot.select("source").distinct()
-    return skew.salted_lookup(history, listed, ["source"], spread=["flow_key"], how="left_semi")
+    return skew.lookup(history, listed, ["source"], how="left_semi")
 
 
 def honeypot_flows(history: DataFrame, honeypot: DataFrame, packets: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Flows of suspicious network scans whose source is in the honeypot's log."""
     marked = seen_by_honeypot(history.where(F.col("verdict") == V.SUSPICIOUS_NETWORK), honeypot)
     wanted = marked.select(*FL.KEYS).distinct()
-    stored = skew.salted_lookup(packets, wanted, FL.KEYS, spread=["packet_id"], how="left_semi")
+    stored = skew.lookup(packets, wanted, FL.KEYS, how="left_semi")
     rows = P.with_tcp_fields(stored).withColumn("rekeyed", F.lit(False))
     return FL.finish(FL.facts(rows))

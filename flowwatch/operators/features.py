@@ -149,7 +149,7 @@ def as_of(history: DataFrame, rules: Rules = Rules(), partitions: int | None = N
     steps["open_packets"] = F.when(_is(V.OPEN_PORT_LABELS), F.col("n_packets")).otherwise(0)
     running = skew.prefix_sums(marked, ["source"], _WHEN, steps, partitions).drop(*[f"d_{k}" for k in _COUNTS[:4]])
     scored = running.where(_is(SCORED))
-    joined = skew.salted_lookup(scored, firsts, ["source"], spread=_WHEN)
+    joined = skew.lookup(scored, firsts, ["source"])
     happened = {
         name: F.coalesce(F.col(f"_{name}") <= _moment(), F.lit(False))
         for name in ("initiated", "sent", "not_sent", "after_open")
@@ -162,6 +162,6 @@ def as_of(history: DataFrame, rules: Rules = Rules(), partitions: int | None = N
 def onto_verdicts(verdict_rows: DataFrame, features: DataFrame) -> DataFrame:
     """Scored verdict rows with the snapshot features of their remote address."""
     waiting = verdict_rows.where(_is(SCORED))
-    return skew.salted_lookup(
-        waiting, features.withColumnRenamed("source", "remote"), ["remote"], spread=["flow_key", "last_ts"]
+    return skew.lookup(
+        waiting, features.withColumnRenamed("source", "remote"), ["remote"]
     )

@@ -1,9 +1,11 @@
 """Flow assembly.
 
 A flow becomes one row of mergeable facts: counts, flags seen, first and last
-packet, and a short `path` of packet letters (see `functions.packet.with_kind`)
-that the adjacency rules read. Facts of parts of a flow merge into facts of the
-whole, so a hot flow can be cut into slices and is never gathered in one place.
+packet, and the letters at both ends (see `functions.packet.with_kind`), which are
+merge state and no column of a flow: runs across the border of two parts show in
+them. Facts of parts of a flow merge into facts of the whole, so a hot flow can be
+cut into slices and is never gathered in one place. The order of all packets of a
+flow is in `positions`.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def members(packets: DataFrame, rules: Rules = Rules()) -> DataFrame:
     def pulled(from_protocol: str, into_protocol: str) -> DataFrame:
         targets = d.where(P.is_protocol(into_protocol)).select(*KEYS).distinct()
         guests = d.where(P.is_protocol(from_protocol)).drop("l4_key")
-        joined = skew.salted_lookup(guests, targets, link, spread=["packet_id"])
+        joined = skew.lookup(guests, targets, link)
         return joined.withColumn("rekeyed", F.lit(True))
 
     result = own.unionByName(pulled(V.ICMP, V.UDP))
@@ -211,14 +213,16 @@ def facts(
 
 
 def finish(fact_rows: DataFrame) -> DataFrame:
-    """Named flow columns on top of the facts."""
+    """Named flow columns on top of the facts. `short_path` holds the letters of a flow of
+    at most four packets and is null for longer ones."""
     return fact_rows.withColumns({
         "protocol": F.col("own_first.protocol"),
         "remote": F.coalesce("first_in.address", "first_out.address"),
         "host_port": F.coalesce("first_in.port", "first_out.port"),
         "first_ts": F.col("first.timestamp"),
         "last_ts": F.col("last.timestamp"),
-    })
+        "short_path": F.when(F.col("n_packets") <= _KEEP, F.col("path")),
+    }).drop("path")
 
 
 def assemble(

@@ -93,7 +93,7 @@ def remove_alerts(alerts: DataFrame, requests: DataFrame) -> DataFrame:
     named = requests.select(
         F.explode(F.split("attack_types", ",")).alias("attack_type"), "attacker", "scan_type"
     ).withColumn("attack_type", F.trim("attack_type")).distinct()
-    return skew.salted_lookup(alerts, named, _GROUP, spread=["time"], how="left_anti")
+    return skew.lookup(alerts, named, _GROUP, how="left_anti")
 
 
 def remove_by_attack(alerts: DataFrame, attacker: str, attack_type: str) -> DataFrame:
@@ -115,14 +115,9 @@ def packet_counts(captured: DataFrame, analysed: DataFrame) -> DataFrame:
     )
 
 
-def cleared(rows: DataFrame) -> DataFrame:
-    """The empty table that replaces a cleared store."""
-    return rows.limit(0)
-
-
 def without_flows(packets: DataFrame, flow_keys: DataFrame, keys: list[str]) -> DataFrame:
     """Packets without those of the listed flows."""
-    return skew.salted_lookup(packets, flow_keys.select(*keys).distinct(), keys, spread=["packet_id"], how="left_anti")
+    return skew.lookup(packets, flow_keys.select(*keys).distinct(), keys, how="left_anti")
 
 
 def without_ids(packets: DataFrame, ids: DataFrame) -> DataFrame:

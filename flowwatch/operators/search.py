@@ -25,8 +25,8 @@ def not_ignored(packets: DataFrame, ignored: list[str] | DataFrame) -> DataFrame
     addresses = ignored.toDF("address").distinct()
     kept = packets
     for side in ("source_address", "destination_address"):
-        kept = skew.salted_lookup(
-            kept, addresses.withColumnRenamed("address", side), [side], spread=["packet_id"], how="left_anti"
+        kept = skew.lookup(
+            kept, addresses.withColumnRenamed("address", side), [side], how="left_anti"
         )
     return kept
 
@@ -97,8 +97,8 @@ def of_flow_and_protocol(packets: DataFrame, flow_key: int, protocol: str) -> Da
 
 def of_flows(packets: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Packets of many flows at once."""
-    return skew.salted_lookup(
-        packets, wanted.select(*keys).distinct(), keys, spread=["packet_id"], how="left_semi"
+    return skew.lookup(
+        packets, wanted.select(*keys).distinct(), keys, how="left_semi"
     )
 
 

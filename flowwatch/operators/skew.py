@@ -1,7 +1,7 @@
 """Helpers that keep one hot key from landing in one task.
 
 `heavy_groups`   finds the groups above a row bound, at a bounded size.
-`salted_lookup`  joins a fact table to a per-key dimension with hot keys spread.
+`lookup`         joins a fact table to a per-key dimension.
 `prefix_sums`    running sums per key, split over range partitions.
 """
 
@@ -31,18 +31,14 @@ def heavy_groups(df: DataFrame, keys: list[str], bound: int, limit: int = MAX_HE
     return None if len(rows) > limit else rows
 
 
-def salted_lookup(
-    facts: DataFrame, dim: DataFrame, on: list[str], spread: list[str], how: str = "inner", salts: int = 8
-) -> DataFrame:
-    """Join on `on` with every key of `facts` spread over `salts` tasks.
+def lookup(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a fact table to few rows per key (inner, left, left_semi or left_anti).
 
-    `dim` holds few rows per key and is repeated once per salt; `spread` names
-    fact columns that differ between the rows of a hot key. Works for inner,
-    left, left_semi and left_anti joins; the result equals the plain join.
+    Left plain: adaptive execution splits the fact side of a hot key by its measured
+    size and broadcasts `dim` where it is measured to be small, which a fixed number
+    of salts can do no better and pays for without skew.
     """
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_facts.join(salted_dim, [*on, "_salt"], how).drop("_salt")
+    return facts.join(dim, on, how)
 
 
 def prefix_sums(

@@ -77,7 +77,7 @@ def flag_honeypot(flow_rows: DataFrame, honeypot: DataFrame | None) -> DataFrame
     if honeypot is None:
         return flow_rows.withColumn("in_honeypot", F.lit(False))
     listed = honeypot.select(F.col("source").alias("remote")).distinct().withColumn("_listed", F.lit(True))
-    joined = skew.salted_lookup(flow_rows, listed, ["remote"], spread=["flow_key"], how="left")
+    joined = skew.lookup(flow_rows, listed, ["remote"], how="left")
     return joined.withColumn("in_honeypot", F.coalesce("_listed", F.lit(False))).drop("_listed")
 
 
@@ -114,7 +114,7 @@ def quiet_period(verdict_rows: DataFrame, packets: DataFrame, rules: Rules = Rul
     """
     suspicious = verdict_rows.where(F.col("verdict").isin(V.SUSPICIOUS_FLAGS))
     waits = suspicious.select(*FL.KEYS, F.col("last_ts").alias("_until"))
-    later = skew.salted_lookup(packets.select(*FL.KEYS, *FL.ORDER), waits, FL.KEYS, spread=["packet_id"])
+    later = skew.lookup(packets.select(*FL.KEYS, *FL.ORDER), waits, FL.KEYS)
     if rules.quiet_counts_later_only:
         wait = F.col("timestamp") - F.col("_until")
         later = later.where((wait > 0) & (wait <= rules.quiet_us))

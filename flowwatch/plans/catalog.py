@@ -353,7 +353,7 @@ for _name, _tests in _PREDICATES.items():
 def _(spark, d):
     return flows(spark, d).select(
         *FL.KEYS, "n_packets", "first_ts", "last_ts", F.col("first.packet_id").alias("first_id"),
-        F.col("last.packet_id").alias("last_id"), "path",
+        F.col("last.packet_id").alias("last_id"), "short_path",
     )
 
 
@@ -387,7 +387,7 @@ def _(spark, d):
 def _(spark, d):
     pk = T.packets(spark, d)
     both = FL.combine(pk.where(P.is_incoming()), pk.where(P.is_outgoing()))
-    return FL.assemble(both).select("flow_key", "l4_key", "n_packets", "path")
+    return FL.assemble(both).select("flow_key", "l4_key", "n_packets", "short_path")
 
 
 @query("flw7")
@@ -760,7 +760,13 @@ def _(spark, d):
 
 @query("rpt8")
 def _(spark, d):
-    return RP.cleared(history(spark, d)).select("source", "flow_key", "verdict")
+    """Stores a history, clears the store and reads it back."""
+    path = scratch_path(spark, "cleared")
+    IO.append(history(spark, d), path)
+    if spark.read.parquet(path).isEmpty():
+        raise ValueError("there was nothing to clear")
+    IO.clear(spark, path)
+    return spark.read.parquet(path).select("source", "flow_key", "verdict")
 
 
 @query("rpt9")
@@ -803,57 +809,51 @@ def stream(spark, d) -> DataFrame:
     return ST.packet_stream(spark, landed(spark, d))
 
 
-def _streamed(spark, rows: DataFrame) -> DataFrame:
-    path = scratch_path(spark, "streamed")
-    ST.run_to_table(rows, path).awaitTermination()
-    return spark.read.parquet(path)
+def _stored(spark, d, sink):
+    """Runs a sink over the landing folder, a file or a few at a time."""
+    ST.record(stream(spark, d), sink, scratch_path(spark, "offsets")).awaitTermination()
+    return sink
+
+
+def streamed_flows(spark, d) -> DataFrame:
+    return _stored(spark, d, ST.FlowStore(scratch_path(spark, "flow-store"))).flows(spark)
 
 
 @query("str1")
 def _(spark, d):
-    rows = ST.session_verdicts(stream(spark, d)).select("verdict", "n_packets")
-    return _streamed(spark, rows).groupBy("verdict").agg(
+    return VD.classify(streamed_flows(spark, d)).groupBy("verdict").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_packets").alias("n_packets")
     )
 
 
 @query("str2")
 def _(spark, d):
-    rows = ST.session_flows(stream(spark, d)).select(*FL.KEYS, "n_packets", "path", "first_ts", "last_ts")
-    return _streamed(spark, rows)
+    return streamed_flows(spark, d).select(*FL.KEYS, "n_packets", "short_path", "first_ts", "last_ts")
 
 
 @query("str3")
 def _(spark, d):
-    rows = ST.session_flows(stream(spark, d)).select(*FL.KEYS, "n_packets")
-    return _streamed(spark, rows).groupBy(*FL.KEYS).agg(F.count(F.lit(1)).alias("n_sessions"))
+    return streamed_flows(spark, d).groupBy(*FL.KEYS).agg(F.count(F.lit(1)).alias("n_sessions"))
 
 
 def _recorded(spark, d):
-    folder = scratch_path(spark, "recorded")
-    recorder = ST.Recorder(folder, trained(spark, d))
-    ST.record(ST.session_flows(stream(spark, d)), recorder).awaitTermination()
-    return recorder
+    return _stored(spark, d, ST.Recorder(scratch_path(spark, "recorded"), trained(spark, d)))
 
 
 @query("str4")
 def _(spark, d):
-    stored = spark.read.parquet(_recorded(spark, d).history_path)
-    return stored.select("source", "flow_key", "l4_key", "port", "n_packets", "verdict")
+    return _recorded(spark, d).history(spark).select("source", "flow_key", "l4_key", "port", "n_packets", "verdict")
 
 
 @query("str4_alerts")
 def _(spark, d):
-    return spark.read.parquet(_recorded(spark, d).alert_path).groupBy("scan_type", "attack_type").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return _recorded(spark, d).alerts(spark).groupBy("scan_type", "attack_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("str5")
 def _(spark, d):
     sink = ST.HoneypotCorrelator(scratch_path(spark, "correlated"), T.honeypot_sources(spark, d))
-    ST.record(ST.session_flows(stream(spark, d)), sink).awaitTermination()
-    return _shown_alerts(spark.read.parquet(sink.path))
+    return _shown_alerts(_stored(spark, d, sink).alerts(spark))
 
 
 @query("detect_alerts")

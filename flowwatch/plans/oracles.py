@@ -354,14 +354,8 @@ rr AS (
     ON t.attacker = r.attacker AND t.scan_type = r.scan_type AND t.label = r.attack_type)
 """
 
-# sessions that the stream's watermark has closed: quiet 1 s, watermark delay 10 s
-STREAMED = """
-cl AS (SELECT max(timestamp) AS newest FROM p),
-sv AS (SELECT v.* FROM v, cl WHERE v.last_ts + 1000000 <= newest - 10000000)
-"""
-
-_ORDER = ["packets", "layered", "flows", "verdicts", "features", "as_of", "alerts", "rolled", "streamed"]
-_PARTS = dict(zip(_ORDER, [PACKETS, LAYERED, FLOWS, VERDICTS, FEATURES, AS_OF, ALERTS, ROLLED, STREAMED]))
+_ORDER = ["packets", "layered", "flows", "verdicts", "features", "as_of", "alerts", "rolled"]
+_PARTS = dict(zip(_ORDER, [PACKETS, LAYERED, FLOWS, VERDICTS, FEATURES, AS_OF, ALERTS, ROLLED]))
 
 
 def _with(select: str, *parts: str) -> str:
@@ -378,7 +372,7 @@ def oracles() -> dict[str, str]:
     fe = lambda s: _with(s, "flows", "verdicts", "features")
     al = lambda s: _with(s, "flows", "verdicts", "alerts")
     ro = lambda s: _with(s, "flows", "verdicts", "alerts", "rolled")
-    st = lambda s: _with(s, "flows", "verdicts", "streamed")
+    st = lambda s: _with(s, "flows", "verdicts")
 
     n_flags = "CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END"
     q["src1"] = pk(f"""SELECT CASE protocol WHEN 'ARP' THEN 'BAD' ELSE protocol END AS protocol, count(*) AS n,
@@ -482,7 +476,7 @@ def oracles() -> dict[str, str]:
         q[name] = pk("SELECT packet_id, " + ", ".join(f"{test} AS \"{c}\"" for c, test in columns.items()) + " FROM p")
 
     # flows
-    q["flw1"] = fl(f"SELECT {_KEYS}, n AS n_packets, first_ts, last_ts, f_id AS first_id, l_id AS last_id, path FROM f")
+    q["flw1"] = fl(f"SELECT {_KEYS}, n AS n_packets, first_ts, last_ts, f_id AS first_id, l_id AS last_id, CASE WHEN n <= 4 THEN path END AS short_path FROM f")
     q["flw1_positions"] = pk(f"""SELECT packet_id, row_number() OVER (PARTITION BY {_KEYS} ORDER BY timestamp, packet_id)
         AS pos FROM p""")
     q["flw2"] = pk("""SELECT flow_key, l4_key, count(*) AS n_packets, min(timestamp) AS first_ts, max(timestamp) AS last_ts
@@ -491,7 +485,7 @@ def oracles() -> dict[str, str]:
     q["flw4"] = fl("SELECT packet_id, l4_key FROM m0 WHERE guest")
     q["flw5"] = pk("""SELECT packet_id, 'ICMP' AS l4_key FROM p WHERE protocol = 'UDP' AND (flow_key, pair_key) IN
         (SELECT (flow_key, pair_key) FROM p WHERE protocol = 'ICMP')""")
-    q["flw6"] = fl("SELECT flow_key, l4_key, n AS n_packets, path FROM f")
+    q["flw6"] = fl("SELECT flow_key, l4_key, n AS n_packets, CASE WHEN n <= 4 THEN path END AS short_path FROM f")
     q["flw7"] = fl("SELECT flow_key, l4_key, remote FROM f")
     q["flw8"] = fl("SELECT flow_key, l4_key, host_port FROM f")
     q["flw9"] = fl("SELECT flow_key, l4_key, gap FROM f")
@@ -598,11 +592,11 @@ def oracles() -> dict[str, str]:
         WHERE closed_ports > 0""")
 
     # streams
-    q["str1"] = st("SELECT verdict, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_packets FROM sv GROUP BY verdict")
-    q["str2"] = st(f"SELECT {_KEYS}, n AS n_packets, path, first_ts, last_ts FROM sv")
-    q["str3"] = st(f"SELECT {_KEYS}, CAST(1 AS BIGINT) AS n_sessions FROM sv")
+    q["str1"] = st("SELECT verdict, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_packets FROM v GROUP BY verdict")
+    q["str2"] = st(f"SELECT {_KEYS}, n AS n_packets, CASE WHEN n <= 4 THEN path END AS short_path, first_ts, last_ts FROM v")
+    q["str3"] = st(f"SELECT {_KEYS}, CAST(1 AS BIGINT) AS n_sessions FROM v")
     q["str4"] = st(f"""SELECT remote AS source, flow_key, l4_key, host_port AS port, n AS n_packets, verdict
-        FROM sv WHERE verdict IN {_in(V.HISTORY_LABELS)}""")
-    q["str5"] = _with(f"""SELECT {shown} FROM net, cl WHERE q19 AND remote IN (SELECT source FROM pot)
-        AND time + 1000000 <= newest - 10000000""", "flows", "verdicts", "alerts", "streamed")
+        FROM v WHERE verdict IN {_in(V.HISTORY_LABELS)}""")
+    q["str5"] = _with(f"""SELECT {shown} FROM net WHERE q19 AND remote IN (SELECT source FROM pot)""",
+                     "flows", "verdicts", "alerts")
     return q

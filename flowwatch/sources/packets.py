@@ -36,11 +36,12 @@ def read_port_info(spark: SparkSession, path: str) -> DataFrame:
 
 
 def enrich_port(rows: DataFrame, port_info: DataFrame, port: str = "port") -> DataFrame:
-    """Adds what is known of a port. A port table has at most 65 536 rows."""
+    """Adds what is known of a port. Rows of the port table that are no port (0 to 65 535)
+    are left out, which bounds it; adaptive execution decides whether to broadcast."""
     known = port_info.select(*[
         F.col(c).alias(port if c == "port" else f"port_{c}") for c in port_info.columns
-    ]).dropDuplicates([port])
-    return rows.join(F.broadcast(known), port, "left")
+    ]).where(F.col(port).between(0, 65_535)).dropDuplicates([port])
+    return rows.join(known, port, "left")
 
 
 def as_json(rows: DataFrame) -> DataFrame:
@@ -56,6 +57,11 @@ def append(rows: DataFrame, path: str, partition_by: list[str] | None = None) ->
     writer.parquet(path)
 
 
+def clear(spark: SparkSession, path: str) -> None:
+    """Empties a stored table; what is read back has its columns and no row."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

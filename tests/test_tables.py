@@ -38,24 +38,55 @@ def test_verdict_counts(spark):
 def test_order_and_repeats_do_not_matter(spark):
     packets = T.packets(spark, SMALL)
     shuffled = packets.orderBy(F.rand(1)).repartition(5)
-    cols = [*FL.KEYS, "n_packets", "path", "verdict"]
+    cols = [*FL.KEYS, "n_packets", "short_path", "verdict"]
     rows = lambda p: sorted(map(tuple, VD.classify(FL.assemble(p)).select(*cols).collect()))
     assert rows(packets) == rows(shuffled)
 
 
-def test_stream_equals_batch(spark):
+def _landed(packets, path, files):
+    packets.repartition(files, "packet_id").write.parquet(path)
+
+
+@pytest.mark.parametrize("files, per_trigger", [(6, 1), (3, 100)])
+def test_stream_equals_batch(spark, tmp_path, files, per_trigger):
+    """Files hold packets of all times, so flows are spread over the batches."""
+    packets = T.packets(spark, SMALL)
+    landing, offsets = str(tmp_path / "landing"), str(tmp_path / "offsets")
+    _landed(packets, landing, files)
+    store = ST.FlowStore(str(tmp_path / "store"), buckets=4)
+    ST.record(ST.packet_stream(spark, landing, per_trigger), store, offsets).awaitTermination()
+    cols = [*FL.KEYS, "n_packets", "first_ts", "last_ts", "short_path"]
+    rows = lambda d: sorted(map(str, d.select(*cols).collect()))
+    assert rows(store.flows(spark)) == rows(FL.assemble(packets, gap_us=1_000_000))
+
+
+def test_stream_goes_on_after_a_stop_and_repeats_nothing(spark, tmp_path):
     packets = T.packets(spark, SMALL)
-    newest = packets.agg(F.max("timestamp")).first()[0]
-    batch = VD.classify(FL.assemble(packets, gap_us=1_000_000))
-    finished = batch.where(F.col("last_ts") + 1_000_000 <= newest - 10_000_000)
-    stream = C._streamed(spark, ST.session_verdicts(C.stream(spark, SMALL)).select("flow_key", "l4_key", "verdict"))
-    key = lambda d: sorted(map(tuple, d.select("flow_key", "l4_key", "verdict").collect()))
-    assert key(stream) == key(finished)
+    landing, offsets = str(tmp_path / "landing"), str(tmp_path / "offsets")
+    half = F.col("packet_id") % 2 == 0
+    packets.where(half).coalesce(1).write.parquet(landing)
+    store = ST.FlowStore(str(tmp_path / "store"), buckets=4)
+    ST.record(ST.packet_stream(spark, landing, 1), store, offsets).awaitTermination()
+    packets.where(~half).coalesce(1).write.mode("append").parquet(landing)
+    again = ST.FlowStore(str(tmp_path / "store"), buckets=4)
+    ST.record(ST.packet_stream(spark, landing, 1), again, offsets).awaitTermination()
+    again(packets.where(~half), 1)  # a replayed batch
+    assert counts(VD.classify(again.flows(spark))) == counts(VD.classify(FL.assemble(packets, gap_us=1_000_000)))
+
+
+def test_long_flow(spark):
+    """A flow that never pauses: its order is in `positions`, `short_path` is for short ones."""
+    one = T.packets(spark, SMALL).where("protocol = 'TCP'").limit(1)
+    flow = one.crossJoin(spark.range(40)).withColumns({
+        "packet_id": F.col("id"), "timestamp": F.col("timestamp") + F.col("id") * 1000}).drop("id")
+    row = FL.assemble(flow).first()
+    assert row["n_packets"] == 40 and row["short_path"] is None and "path" not in row
+    assert sorted(r["pos"] for r in FL.positions(flow).collect()) == list(range(1, 41))
 
 
 def test_session_form_on_a_table(spark):
     packets = T.packets(spark, SMALL)
-    assert counts(ST.session_verdicts(packets)) == DEFAULT
+    assert counts(ST.session_verdicts(packets, Rules(), "10 seconds")) == DEFAULT
 
 
 def test_port_file(spark, tmp_path):
