@@ -263,15 +263,20 @@ def gap_us(first: Column, last: Column) -> Column:
     return last["timestamp"] - first["timestamp"]
 
 
-def sliding(packets: DataFrame, n: int, keys: list[str] = KEYS) -> DataFrame:
-    """Every run of n consecutive packet letters of a flow, one row per run.
+def letters(packets: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, pos, letter) of every packet: what `sliding` reads, placed once."""
+    rows = P.with_kind(packets).withColumnRenamed("kind", "letter").select(*keys, *ORDER, "letter")
+    return positions(rows, keys).select(*keys, "pos", "letter")
+
+
+def sliding(placed: DataFrame, n: int, keys: list[str] = KEYS) -> DataFrame:
+    """Every run of n consecutive letters of a flow, one row per run.
 
     Positions make a run an equi-group: packet p belongs to the runs that start
     at p, p-1, … p-n+1, so no flow is gathered in one task.
     """
-    rows = positions(P.with_kind(packets).withColumnRenamed("kind", "letter"), keys)
     return (
-        rows.select(*keys, "pos", "letter")
+        placed.select(*keys, "pos", "letter")
         .withColumn("start", F.explode(F.sequence(F.col("pos") - (n - 1), F.col("pos"))))
         .where("start >= 1")
         .groupBy(*keys, "start")

@@ -530,6 +530,11 @@ def oracles() -> dict[str, str]:
     # model
     score = "CAST(trunc(closed_ports / 8.0 * 100) AS INTEGER)"
     sc = "coalesce(CASE WHEN closed_ports > 0 THEN " + score + " END, 0)"
+    labelled = f"(SELECT CAST(label AS DOUBLE) AS label FROM x JOIN (SELECT DISTINCT remote AS source, {label} AS label FROM conv) USING (source))"
+    q["mod1"] = fe(f"SELECT label, count(*) AS n, true AS right_side FROM {labelled} GROUP BY label")
+    q["mod2"] = fe("""SELECT part, metric, true AS within FROM (VALUES ('train'), ('held_out')) AS p(part),
+        (VALUES ('rmse'), ('mae'), ('r2')) AS m(metric)""")
+    q["mod3"] = fe(f"SELECT label, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS place FROM (SELECT DISTINCT label FROM {labelled})")
     q["mod4"] = fe(f"SELECT source, {score} AS score FROM x WHERE closed_ports > 0")
     q["mod5"] = fe(f"SELECT source, {sc} AS score FROM x")
     promoted = "CASE verdict " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in V.PROMOTION.items()) + " END"

@@ -49,12 +49,20 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def append(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Appends to a Parquet table: packets, verdict history or alerts."""
-    writer = rows.write.mode("append")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+def append(
+    rows: DataFrame, path: str, partition_by: list[str] | None = None, spread: str | None = None, files: int = 4
+) -> None:
+    """Appends to a Parquet table: packets, verdict history or alerts.
+
+    With `partition_by`, rows are first dealt by folder, and by `spread` (a column) to
+    `files` parts of each, so a folder gets a few files and not one from every task, and
+    a folder that holds most rows is not written by one task.
+    """
+    if not partition_by:
+        rows.write.mode("append").parquet(path)
+        return
+    dealt = [*map(F.col, partition_by), *([F.pmod(F.xxhash64(spread), F.lit(files))] if spread else [])]
+    rows.repartition(*dealt).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def clear(spark: SparkSession, path: str) -> None:

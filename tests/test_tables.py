@@ -101,8 +101,8 @@ def test_model_ranks_labels(spark):
     model = MO.train(MO.split(rows)[0], trees=20)
     means = {r["label"]: r["m"] for r in MO.score(rows, model).groupBy("label").agg(F.avg("score").alias("m")).collect()}
     assert means[0.0] < 50 <= means[1.0] and means[0.0] < means[0.5] < means[1.0]
-    points = {r["point"]: r["prediction"] for r in MO.smoke_points(model, spark).collect()}
-    assert points["benign"] < points["attack"] and points["potential"] < points["attack"]
+    points = {r["label"]: r["prediction"] for r in MO.smoke_points(model, rows).collect()}
+    assert points[0.0] < points[0.5] < points[1.0]
     gap = rows.limit(1).withColumn("open_port_factor", F.lit(None).cast("double"))
     assert MO.score(gap, model).first()["score"] == 0
 
