@@ -39,6 +39,8 @@ SEEN = {
     "syn_half_open": "[Ss][Cc][RrKk]",
     "syn_connect": "[Ss][Cc][AaEe][RrKk]",
 }
+# these look at neighbours; the others at single letters
+RUNS = ["pair_closed", "pair_unreachable", "syn_reset", "syn_half_open", "syn_connect"]
 _KEEP = 4          # letters kept at both ends of a long path
 _CHUNK_BITS = 12   # rows per slice chunk of a hot flow: 4096
 
@@ -98,7 +100,11 @@ def _joined(parts: str, letters: str) -> Column:
 
 
 def group_facts(member_rows: DataFrame, by: list) -> DataFrame:
-    """One row of facts per group of packets: the packets in order, then read off."""
+    """One row of facts per group of packets.
+
+    What does not depend on neighbours is a plain aggregate, combined before the shuffle;
+    only time, id and letter of each packet are listed, for the runs.
+    """
     incoming = P.is_incoming()
     packet = F.struct(
         *ORDER, "kind", "protocol", "rekeyed", "l4_key", "seq", "ack", "win", "header_length",
@@ -107,28 +113,23 @@ def group_facts(member_rows: DataFrame, by: list) -> DataFrame:
         F.when(incoming, F.col("source_address")).otherwise(F.col("destination_address")).alias("address"),
         F.when(incoming, F.col("destination_port")).otherwise(F.col("source_port")).alias("port"),
     )
-    groups = (
-        P.with_kind(member_rows)
-        .groupBy(*by)
-        .agg(F.array_sort(F.collect_list(packet)).alias("_packets"))
-        .withColumn("_path", _joined("_packets", "kind"))
-    )
-
-    def first(test):
-        return F.try_element_at(F.filter("_packets", test), F.lit(1))
-
-    plain = [c for c in groups.columns if c not in ("_packets", "_path")]
-    return groups.select(
-        *plain,
-        F.size("_packets").cast("long").alias("n_packets"),
-        first(lambda x: ~x["rekeyed"]).alias("own_first"),
-        F.try_element_at("_packets", F.lit(1)).alias("first"),
-        F.try_element_at("_packets", F.lit(-1)).alias("last"),
-        first(lambda x: x["kind"] == F.upper(x["kind"])).alias("first_in"),
-        first(lambda x: x["kind"] != F.upper(x["kind"])).alias("first_out"),
-        *[F.col("_path").rlike(pattern).alias(name) for name, pattern in SEEN.items()],
-        _shorten(F.col("_path")).alias("path"),
+    letter = F.col("kind")
+    upper = letter == F.upper(letter)
+    single = {name: pattern for name, pattern in SEEN.items() if name not in RUNS}
+    groups = P.with_kind(member_rows).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_packets"),
+        F.min(F.when(~F.col("rekeyed"), packet)).alias("own_first"),
+        F.min(packet).alias("first"),
+        F.max(packet).alias("last"),
+        F.min(F.when(upper, packet)).alias("first_in"),
+        F.min(F.when(~upper, packet)).alias("first_out"),
+        *[F.coalesce(F.max(letter.rlike(pattern)), F.lit(False)).alias(name) for name, pattern in single.items()],
+        F.array_sort(F.collect_list(F.struct(*ORDER, "kind"))).alias("_letters"),
     )
+    d = groups.withColumn("_path", _joined("_letters", "kind")).drop("_letters")
+    return d.withColumns({
+        **{name: F.col("_path").rlike(SEEN[name]) for name in RUNS}, "path": _shorten(F.col("_path")),
+    }).drop("_path")
 
 
 def merge_facts(parts: DataFrame, by: list) -> DataFrame:
@@ -151,7 +152,7 @@ def merge_facts(parts: DataFrame, by: list) -> DataFrame:
     )
     d = groups.withColumn("_path", _joined("_parts", "path"))
     return d.withColumns({
-        **{name: F.col(name) | F.col("_path").rlike(pattern) for name, pattern in SEEN.items()},
+        **{name: F.col(name) | F.col("_path").rlike(SEEN[name]) for name in RUNS},
         "path": _shorten(F.col("_path")),
     }).drop("_path", "_parts")
 
