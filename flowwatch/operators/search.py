@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowwatch import fixed_values as V
 from flowwatch.operators import skew
+from flowwatch.sources.packets import bucket_of
 
 PAGE_SIZE = 20
 _ORDER = ["timestamp", "packet_id"]
@@ -111,10 +112,16 @@ def with_more_packets(flow_keys: DataFrame, captured: DataFrame, keys: list[str]
     return flow_keys.join(rows.select(*keys).distinct(), keys, "left_semi")
 
 
+def _of_key(rows: DataFrame, column: str, key: str) -> Column:
+    """Equality with a key; in a store by key, also its partition, so others are not read."""
+    test = F.col(column) == key
+    return test & (F.col("bucket") == bucket_of(F.lit(key))) if "bucket" in rows.columns else test
+
+
 def history_of(history: DataFrame, source: str | None = None, verdict: str | None = None) -> DataFrame:
     test: Column = F.lit(True)
     if source is not None:
-        test = test & (F.col("source") == source)
+        test = test & _of_key(history, "source", source)
     if verdict is not None:
         test = test & (F.col("verdict") == verdict)
     return history.where(test)
@@ -122,7 +129,7 @@ def history_of(history: DataFrame, source: str | None = None, verdict: str | Non
 
 def alerts_of(alerts: DataFrame, attacker: str, scan_type: str, attack_type: str) -> DataFrame:
     return alerts.where(
-        (F.col("attacker") == attacker) & (F.col("scan_type") == scan_type) & (F.col("attack_type") == attack_type)
+        _of_key(alerts, "attacker", attacker) & (F.col("scan_type") == scan_type) & (F.col("attack_type") == attack_type)
     )
 
 

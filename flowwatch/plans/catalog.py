@@ -297,24 +297,34 @@ def _(spark, d):
     return SE.with_more_packets(asked, pk, ["flow_key"], V.ICMP)
 
 
+def history_store(spark, d) -> DataFrame:
+    """The verdict log as the table that lookups read: folders by verdict and source bucket."""
+    return written(IO.by_key(history(spark, d), "source"), "history-store", partition_by=["verdict", "bucket"])
+
+
+def alert_store(spark, d) -> DataFrame:
+    rows = sure_alerts(stored_verdicts(spark, d))
+    return written(IO.by_key(rows, "attacker"), "alert-store", partition_by=["bucket"])
+
+
 @query("flt10")
 def _(spark, d):
-    return SE.history_of(history(spark, d), source=ONE_SOURCE).select("source", "flow_key", "verdict")
+    return SE.history_of(history_store(spark, d), source=ONE_SOURCE).select("source", "flow_key", "verdict")
 
 
 @query("flt11")
 def _(spark, d):
-    return SE.history_of(history(spark, d), ONE_SOURCE, V.PORT_CLOSED).select("source", "flow_key", "verdict")
+    return SE.history_of(history_store(spark, d), ONE_SOURCE, V.PORT_CLOSED).select("source", "flow_key", "verdict")
 
 
 @query("flt12")
 def _(spark, d):
-    return SE.history_of(history(spark, d), verdict=V.SEND_DATA).select("source", "flow_key", "verdict")
+    return SE.history_of(history_store(spark, d), verdict=V.SEND_DATA).select("source", "flow_key", "verdict")
 
 
 @query("flt13")
 def _(spark, d):
-    return SE.alerts_of(stored_alerts(spark, d), ONE_SOURCE, V.PORT_SCAN, "TCP SYN").select("attacker", "flow_key", "port")
+    return SE.alerts_of(alert_store(spark, d), ONE_SOURCE, V.PORT_SCAN, "TCP SYN").select("attacker", "flow_key", "port")
 
 
 @query("flt14")

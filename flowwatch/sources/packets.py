@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,8 @@ from flowwatch.schema import PACKET, PORT_INFO, TRAINING
 
 BAD_RECORD = "_bad_record"
 
+BUCKETS = 16
+
 
 def read_packets(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Packets of any file format; text formats keep a bad record in `_bad_record`."""
@@ -65,6 +67,17 @@ def append(
     rows.repartition(*dealt).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    """Partition number of a key in the stores that answer by key."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def by_key(rows: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """Rows with the partition column `bucket`; `history_of` and `alerts_of` read only the
+    bucket of the key they ask for."""
+    return rows.withColumn("bucket", bucket_of(F.col(key), buckets))
+
+
 def clear(spark: SparkSession, path: str) -> None:
     """Empties a stored table; what is read back has its columns and no row."""
     spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)

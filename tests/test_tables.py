@@ -8,6 +8,7 @@ from flowwatch import Rules
 from flowwatch.operators import flows as FL
 from flowwatch.operators import model as MO
 from flowwatch.operators import reports as RP
+from flowwatch.operators import search as SE
 from flowwatch.operators import verdicts as VD
 from flowwatch.plans import catalog as C
 from flowwatch.sources import packets as IO
@@ -89,6 +90,14 @@ def test_session_form_on_a_table(spark):
     assert counts(ST.session_verdicts(packets, Rules(), "10 seconds")) == DEFAULT
 
 
+def test_lookup_reads_one_bucket(spark):
+    store = C.history_store(spark, SMALL)
+    plan = SE.history_of(store, C.ONE_SOURCE, "PortClosed")._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket" in filters and "verdict" in filters
+    assert SE.history_of(store, C.ONE_SOURCE).count() == store.where(F.col("source") == C.ONE_SOURCE).count()
+
+
 def test_port_file(spark, tmp_path):
     path = tmp_path / "ports.csv"
     path.write_text("22,true,true,true,shell, secure\n80,false,true,true,web\n")
