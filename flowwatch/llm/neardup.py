@@ -190,11 +190,14 @@ def short_pairs(left: DataFrame) -> DataFrame:
     return short.withColumnRenamed("rep", "a").join(other, "v").where("a < b and comp != other").select("a", "b").distinct()
 
 
-def long_links(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of different components that meet in a long list."""
+def long_links(left: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between members of different components that meet in a long list. Blocks are
+    smaller where sets are large: on average BLOCK sets of 512 shingles fill one."""
     long = left.where(F.col("size") > SHORT)
     home = long.groupBy("rep").agg(F.max("comp").alias("comp"), F.max(F.struct("size", "v")).alias("home"))
-    count = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("cells"))
+    home = home.join(classes.select("rep", "n"), "rep")
+    fill = F.greatest(F.count("*") / BLOCK, F.sum("n") / (BLOCK * 512))
+    count = home.groupBy("home").agg(F.ceil(fill).alias("cells"))
     block = keep(
         home.join(count, "home").select(
             "rep", "comp", F.col("home.v").alias("h"), F.pmod(F.xxhash64("rep"), F.col("cells")).alias("cell")
@@ -233,7 +236,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
     pairs = keep(estimated(short_pairs(left), classes), "neardup-pairs")
     several = left.where(F.col("size") > SHORT).select("rep")
     sets = keep(full_sets(docs, classes, ends(pairs).union(several), width, id_col, text_col), "neardup-sets")
-    links = links.union(keep(verified(pairs, sets), "neardup-links")).union(keep(long_links(left, sets), "neardup-links"))
+    links = links.union(keep(verified(pairs, sets), "neardup-links")).union(keep(long_links(left, sets, classes), "neardup-links"))
     member = keep(
         rows.join(classes.select("sig", "rep"), "sig", "left").select("doc", "n", "rep"), "neardup-members"
     )
