@@ -32,7 +32,7 @@ from flowwatch.llm.common import arrow_map, buckets_for, ship
 BASE, SIDE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 LAST = np.iinfo(np.int64).max
 _MASK = (1 << 64) - 1
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 
 
 class Codes(dict):
