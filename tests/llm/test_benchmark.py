@@ -7,7 +7,7 @@ import re
 import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-from rows import same_as_sql
+from llm_rows import same_as_sql
 
 from flowwatch.llm.benchmark import contamination, digest
 

@@ -8,7 +8,7 @@ import sys
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-from rows import same_as_sql
+from llm_rows import same_as_sql
 
 import flowwatch.llm.neardup as N
 from flowwatch.llm.neardup import near_duplicates

@@ -6,7 +6,7 @@ import sys
 import numpy as np
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-from rows import same_as_sql
+from llm_rows import same_as_sql
 
 from flowwatch.llm.nndescent import near_vectors
 

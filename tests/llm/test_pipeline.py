@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import test_benchmark
 import test_credentials
 import test_neardup
-from rows import SMALL
+from llm_rows import SMALL
 
 import corpus_pipeline as P
 from flowwatch.llm import quality

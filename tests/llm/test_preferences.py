@@ -5,7 +5,7 @@ import random
 import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-from rows import same_as_sql
+from llm_rows import same_as_sql
 
 from flowwatch.llm.preferences import FIRST, cut_replies, preferences
 
