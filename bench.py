@@ -15,9 +15,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F
 
-from flowwatch import fixed_values as V
 from flowwatch.operators import alerts as AL
 from flowwatch.operators import features as FE
 from flowwatch.operators import flows as FL
@@ -67,8 +65,8 @@ def main() -> None:
         "features_as_of": lambda: run(FE.as_of(history)),
         "scoring": lambda: run(DE.decide(verdicts, model).select(*FL.KEYS, "outcome", "chance")),
         "alert_roll_up": lambda: run(RP.roll_up(alerts, source_ports=AL.scanned_ports(history))),
-        "network_alerts": lambda: run(AL.direct(VD.classify(
-            FL.assemble(packets), honeypot=T.honeypot_sources(spark, sf_dir)).where(F.col("verdict") == V.NETWORK_ALERT))),
+        "network_alerts": lambda: run(AL.direct(
+            VD.network_alerts(FL.assemble(packets), T.honeypot_sources(spark, sf_dir)))),
         "packets_to_alerts": lambda: run(DE.detect(packets, model).alerts),
         "stream_available_now": stream,
     }

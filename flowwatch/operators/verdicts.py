@@ -90,6 +90,12 @@ def classify(
     return flag_honeypot(flow_rows, honeypot).withColumn("verdict", F.expr(cascade(rules)))
 
 
+def network_alerts(flow_rows: DataFrame, honeypot: DataFrame) -> DataFrame:
+    """Flows of remotes that the honeypot has seen, with their verdict. That is the first
+    rule of the cascade, so the rest of it is not computed only to be filtered out."""
+    return flag_honeypot(flow_rows, honeypot).where("in_honeypot").withColumn("verdict", F.lit(V.NETWORK_ALERT))
+
+
 def _label_map(position: int) -> Column:
     items = []
     for verdict, effects in FOLLOW_UP.items():

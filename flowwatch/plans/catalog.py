@@ -660,8 +660,8 @@ def _(spark, d):
 
 
 def _honeypot_alerts(spark, d) -> DataFrame:
-    v = written(verdicts(spark, d, honeypot=T.honeypot_sources(spark, d)), "verdicts")
-    return AL.network_scan(v.where(F.col("verdict") == V.NETWORK_ALERT))
+    """Straight from flows, without a stored verdict table."""
+    return AL.network_scan(VD.network_alerts(flows(spark, d), T.honeypot_sources(spark, d)))
 
 
 @query("alr3")
