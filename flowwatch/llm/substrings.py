@@ -100,7 +100,7 @@ def unplaned(data: bytes, n: int, kind: type) -> np.ndarray:
 
 
 def packed(hashes: np.ndarray) -> bytes:
-    """Hashes of one row: differences of neighbours, which are small where they ascend."""
+    """Numbers of one row: differences of neighbours, which are small where they ascend."""
     return planes(np.diff(hashes, prepend=np.uint64(0)))
 
 
@@ -111,7 +111,7 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
 def pair_rows(
     first: np.ndarray, bucket: np.ndarray, doc: np.ndarray, ids: np.ndarray, buckets: int
 ) -> pa.RecordBatch:
-    """Rows (bucket, known, hashes, docs, ids) of one batch's (window, document) pairs.
+    """Rows (bucket, known, hashes, docs, n, ids, n_ids) of one batch's (window, document) pairs.
 
     `doc` numbers `ids`, which ascends, so the smallest number of a window is its
     smallest id.
@@ -133,11 +133,11 @@ def pair_rows(
         for i, j in zip(cut, np.append(cut, len(b))[1:], strict=True):
             used, local = np.unique(d[i:j], return_inverse=True)
             local = local.astype(np.uint32)
-            rows.append((int(b[i]), known, packed(h[i:j]), planes(local), j - i, ids[used].tobytes()))
+            rows.append((int(b[i]), known, packed(h[i:j]), planes(local), j - i, packed(ids[used].view(np.uint64)), len(used)))
     return pa.RecordBatch.from_arrays(
         [pa.array([r[k] for r in rows], t) for k, t in enumerate(
-            (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.binary()))],
-        names=["bucket", "known", "hashes", "docs", "n", "ids"],
+            (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32()))],
+        names=["bucket", "known", "hashes", "docs", "n", "ids", "n_ids"],
     )
 
 
@@ -169,10 +169,10 @@ def judge(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         h, d, out_h, out_d = [], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for known, hashes, docs, n, ids in zip(
-            *(table.column(c).to_pylist() for c in ("known", "hashes", "docs", "n", "ids")), strict=True
+        for known, hashes, docs, n, ids, n_ids in zip(
+            *(table.column(c).to_pylist() for c in ("known", "hashes", "docs", "n", "ids", "n_ids")), strict=True
         ):
-            ds = np.frombuffer(ids, np.int64)[unplaned(docs, n, np.uint32)]
+            ds = unpacked(ids, n_ids).view(np.int64)[unplaned(docs, n, np.uint32)]
             (out_h if known else h).append(unpacked(hashes, n))
             (out_d if known else d).append(ds)
         if h:
@@ -224,7 +224,7 @@ def removals(
     if buckets is None:
         buckets = buckets_for(rows)
     pairs = arrow_map(
-        rows, repeats(width, buckets), "bucket int, known boolean, hashes binary, docs binary, n int, ids binary"
+        rows, repeats(width, buckets), "bucket int, known boolean, hashes binary, docs binary, n int, ids binary, n_ids int"
     )
     found = (
         pairs.groupBy("bucket").applyInArrow(judge(buckets), "place int, docs binary, hashes binary, n int")
