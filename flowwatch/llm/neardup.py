@@ -2,7 +2,7 @@
 
 A document's set holds its distinct five-word shingles (A-Z lower-cased). Documents of
 equal sets form a class first, however many they are; classes are what is compared. A
-class keeps the K smallest hashes of its set. Linked sets have at least NEED of K sketch
+class keeps the K smallest hashes of its set, as signed numbers like all that Spark sorts. Linked sets have at least NEED of K sketch
 values in common but with probability below 1e-8 (all of them that the threshold demands,
 where a set is smaller than K); so of its sketch a class can leave out the NEED - 1 values
 that most classes hold and still meet every partner in the inverted list of another value.
@@ -52,6 +52,12 @@ def shingles(raw: bytes | None, width: int) -> np.ndarray:
     return np.unique(window_hashes(code, width)[0])
 
 
+def smallest(found: np.ndarray) -> np.ndarray:
+    """The K smallest of sorted hashes as signed numbers, in the order in which Spark sorts them."""
+    at = np.searchsorted(found, np.uint64(1 << 63))
+    return np.concatenate([found[at : at + K], found[:at][:K]])[:K].view(np.int64)
+
+
 def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(doc, n, sig, sketch) of every document."""
 
@@ -61,7 +67,7 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
             found = shingles(value.as_py(), width)
             n.append(len(found))
             sig.append(xxhash.xxh3_128_digest(found.tobytes()))
-            sketch.append(found[:K].view(np.int64))
+            sketch.append(smallest(found))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))],
             names=["doc", "n", "sig", "sketch"],

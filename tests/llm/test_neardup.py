@@ -5,6 +5,7 @@ import random
 import re
 import sys
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -65,6 +66,25 @@ def test_brute_force(spark, monkeypatch, short, block):
     assert sorted(map(tuple, near_duplicates(table).collect()), key=str) == brute(docs)
 
 
+def test_estimate_keeps_links_of_unlike_sizes(spark):
+    """Pairs just above the threshold whose sets have 65 to 170 shingles: the sketch of the
+    smaller set reaches farther, and the estimate must cut both at the same place."""
+    rng = np.random.default_rng(5)
+    rows, want = [], set()
+    for inter, size, other in ((72, 72, 96), (80, 80, 106), (90, 90, 120), (100, 100, 133), (120, 120, 160), (110, 115, 141)):
+        assert 100 * inter >= 75 * (size + other - inter)
+        for _ in range(400):
+            values = rng.integers(0, 1 << 64, size + other - inter, np.uint64)
+            a, b = 2 * len(want), 2 * len(want) + 1
+            for rep, own in ((a, values[:size]), (b, values[size - inter :])):
+                rows.append((rep, len(own), N.smallest(np.unique(own)).tolist()))
+            want.add((a, b))
+    classes = spark.createDataFrame(rows, "rep long, n long, sketch array<long>")
+    got = N.estimated(spark.createDataFrame(sorted(want), "a long, b long"), classes)
+    assert want == {tuple(r) for r in got.collect()}
+    assert all(sorted(s) == s for _, _, s in rows)
+
+
 def test_empty(spark):
     table = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert sorted(map(tuple, near_duplicates(table).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
