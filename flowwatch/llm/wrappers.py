@@ -18,7 +18,8 @@ The wrapper table is broadcast only below a checked size, else joined by a shuff
 
 Defined cases: null or empty html gives an empty text; broken markup is closed as
 browsers do (an open p ends at a block, an unknown end is ignored, a cut end closes all);
-elements nested deeper than DEEPEST count as children of that level, no text is lost; a
+elements nested deeper than DEEPEST count as children of that level and their end tags
+close nothing else, no text is lost; a
 null url is a host of its own; repeated rows each give a row; an empty table gives an
 empty one; other columns stay unread.
 """
@@ -68,10 +69,11 @@ _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Element:
-    __slots__ = ("tag", "key", "kids")
+    __slots__ = ("tag", "key", "kids", "deep")
 
     def __init__(self, tag: str, key: str):
         self.tag, self.key, self.kids = tag, key, []
+        self.deep: dict[str, int] = {}  # open elements below the deepest level, by name
 
 
 def parse(page: str | None) -> Element:
@@ -92,6 +94,12 @@ def parse(page: str | None) -> Element:
             continue
         if m.group(2) or m.group(5):
             for i in range(len(stack) - 1, 0, -1):
+                if stack[i].deep.get(tag):
+                    del stack[i + 1 :]
+                    stack[i].deep[tag] -= 1
+                    if tag in BLOCK:  # the text that follows is another block
+                        stack[i].kids.append(Element(tag, tag))
+                    break
                 if stack[i].tag == tag:
                     del stack[i:]
                     break
@@ -125,8 +133,13 @@ def parse(page: str | None) -> Element:
                 key += "".join(f" {n}={re.sub(r'[0-9]+', '0', found[n])}" for n in sorted(found))
         node = Element(tag, key)
         stack[-1].kids.append(node)
-        if tag not in VOID and len(stack) <= DEEPEST:
+        if tag in VOID:
+            continue
+        # below the deepest level only what decides on main text holds its text, and not without end
+        if len(stack) <= DEEPEST or len(stack) <= DEEPEST + 8 and (tag in ("article", "main") or dropped(key, tag, False)):
             stack.append(node)
+        else:
+            stack[-1].deep[tag] = stack[-1].deep.get(tag, 0) + 1
     return root
 
 

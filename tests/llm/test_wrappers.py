@@ -43,6 +43,16 @@ def test_page_text(spark):
     assert main_texts(table.limit(0)).collect() == []
 
 
+def test_closed_deep_nesting():
+    def read(page):
+        return Reader(["", 0, 0, [], ""], 0).text(parse(page))
+
+    page = "<html><body><div><article>" + "<div>" * 65 + "{}" + "</div>" * 65 + "<p>rest</p></article></div><p>out</p>"
+    assert read(page.format("deep")) == "deep\nrest"
+    assert read(page.format("deep<nav><div>menu</div></nav><form>send</form>end")) == "deep\nend\nrest"
+    assert read("<div>" * 70 + "<article><p>in</article>" + "</div>" * 70 + "out") == "in"
+
+
 class Plain(HTMLParser):
     """Text of the article of a page without markup inside it but p, b and br."""
 
