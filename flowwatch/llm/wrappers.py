@@ -11,7 +11,9 @@ host's wrapper: what the wrapper's element path says is main text is taken.
 Main are the slots below `article`, in pages without one those below `main`, else all of
 the body but literal text (of hosts with several different pages), each time without
 navigation, page headers, footers, sidebars, adverts, notices, forms, comments, scripts
-and styles, told by element, role and the words of class and id. Character references are
+and styles, told by element, role and whole classes and ids. An element that holds most of
+the articles (or of main) is never passed over, nor is a form or a container told by class
+only, unless of comments, that holds most of the text. Character references are
 decoded, white space in a block is one space, blocks are joined by a line break.
 
 The wrapper table is broadcast only below a checked size, else joined by a shuffle.
@@ -30,6 +32,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -65,15 +68,18 @@ DROP_WORDS = frozenset(
     "pagination popup promo promoted related replies respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+#: What readers say may be longer than the text.
+TALK = frozenset("comment comments disqus replies respond".split())
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Element:
-    __slots__ = ("tag", "key", "kids", "deep")
+    __slots__ = ("tag", "key", "kids", "deep", "mass")
 
     def __init__(self, tag: str, key: str):
         self.tag, self.key, self.kids = tag, key, []
         self.deep: dict[str, int] = {}  # open elements below the deepest level, by name
+        self.mass = (0, 0, 0)  # characters of text: all, in articles, in main
 
 
 def parse(page: str | None) -> Element:
@@ -143,6 +149,19 @@ def parse(page: str | None) -> Element:
     return root
 
 
+def weigh(node: Element) -> tuple[int, int, int]:
+    """Sets the mass of an element and of all below it."""
+    size = article = main = 0
+    for kid in node.kids:
+        if isinstance(kid, str):
+            size += len(kid) - kid.count(" ")
+        else:
+            s, a, m = weigh(kid)
+            size, article, main = size + s, article + a, main + m
+    node.mass = (size, size if node.tag == "article" else article, size if node.tag == "main" or "role=main" in node.key else main)
+    return node.mass
+
+
 # A wrapper node: [key, optional, repeated, kids, literal]; text has the key "#", a group "(".
 
 
@@ -221,16 +240,33 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
+@lru_cache(1 << 14)
 def dropped(key: str, tag: str, inside: bool) -> bool:
-    """Whether an element of this key is no main text. Headers of an article are."""
+    """Whether an element of this key is no main text. Headers of an article are.
+
+    A class or id counts where all its words do: `sidebar` and `cookieNotice`, not
+    `has-sidebar` or `related-work`. A notice in an article may belong to it."""
     if tag in DROP_TAGS or tag == "header" and not inside:
         return True
-    parts = key.split(" ", 1)
-    if len(parts) == 1 or tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main"):
         return False
-    values = re.findall(r"(?:class|id|role)=((?:(?! class=| id=| role=).)*)", parts[1])
-    words = {w.lower() for v in values for w in _WORDS.findall(v)}
-    return bool(words & DROP_WORDS) or not inside and "header" in words
+    for words in tokens(key):
+        if words <= DROP_WORDS and not (inside and words <= {"notice", "notices"}) or not inside and words == {"header"}:
+            return True
+    return False
+
+
+def tokens(key: str) -> list[frozenset[str]]:
+    """The words of each class, id and role of a key; numbers count for nothing."""
+    values = re.findall(r"(?:class|id|role)=((?:(?! class=| id=| role=).)*)", key.partition(" ")[2])
+    found = [frozenset(w.lower() for w in _WORDS.findall(t)) for v in values for t in v.split()]
+    return [words for words in found if words]
+
+
+@lru_cache(1 << 14)
+def layout(key: str, tag: str) -> bool:
+    """Whether a dropped element may be a mere container, if most of the text is in it."""
+    return (tag == "form" or tag not in DROP_TAGS and tag != "header") and not any(w & TALK for w in tokens(key))
 
 
 def expression(node: list) -> str:
@@ -271,14 +307,16 @@ class Reader:
         return found
 
     def text(self, page: Element) -> str:
+        weigh(page)
         for place in ("article", "main", ""):
             blocks: list[str] = []
-            if self._walk(page, self.root, not place, place, blocks, [""]):
+            if self._walk(page, self.root, not place, place, blocks, [""], page):
                 break
         return "\n".join(blocks)
 
-    def _walk(self, page: Element, node: list, inside: bool, place: str, blocks: list[str], line: list[str]) -> bool:
-        """Blocks of main text in page order; whether the place was there at all."""
+    def _walk(self, page: Element, node: list, inside: bool, place: str, blocks: list[str], line: list[str], whole: Element) -> bool:
+        """Blocks of main text in page order; whether the place was there at all. `whole` is
+        the place, or the page outside of it."""
         below, found = self.below(node), inside
         for kid in page.kids:
             if isinstance(kid, str):
@@ -291,14 +329,14 @@ class Reader:
                 line[0] += " "
                 continue
             deeper, out_drop, in_drop, _ = below.get(kid.key) or [["", 0, 0, [], ""], dropped(kid.key, kid.tag, False), dropped(kid.key, kid.tag, True), False]
-            if in_drop if inside and place else out_drop:
+            if (in_drop if inside and place else out_drop) and not holds(kid, whole, inside, place):
                 if kid.tag in BLOCK:
                     flush(blocks, line)
                 continue
             opens = bool(place) and not inside and (kid.tag == place or place == "main" and "role=main" in kid.key)
             if kid.tag in BLOCK or opens:
                 flush(blocks, line)
-            found |= self._walk(kid, deeper, inside or opens, place, blocks, line)
+            found |= self._walk(kid, deeper, inside or opens, place, blocks, line, kid if opens else whole)
             if kid.tag in BLOCK or opens:
                 flush(blocks, line)
         if node is self.root:
@@ -306,6 +344,13 @@ class Reader:
         return found
 
 
+def holds(kid: Element, whole: Element, inside: bool, place: str) -> bool:
+    """Whether an element has most of what is sought: the text of the place, or, outside of
+    it, the places themselves. Such an element isn't dropped for its name."""
+    part = 0 if inside else 1 if place == "article" else 2
+    return 2 * kid.mass[part] > whole.mass[part] and (not inside or layout(kid.key, kid.tag))
+
+
 def flush(blocks: list[str], line: list[str]) -> None:
     text = " ".join(entities.unescape(line[0]).split())
     if text:

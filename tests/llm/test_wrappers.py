@@ -53,6 +53,20 @@ def test_closed_deep_nesting():
     assert read("<div>" * 70 + "<article><p>in</article>" + "</div>" * 70 + "out") == "in"
 
 
+def test_layout_containers_are_kept():
+    def read(page):
+        return Reader(["", 0, 0, [], ""], 0).text(parse(page))
+
+    for name in ("has-sidebar", "content no-sidebar", "header-fixed", "entry with-comments", "sidebar", "widget"):
+        assert read(f"<body><div id='page' class='{name}'><nav>m</nav><article><p>text</p></article></div></body>") == "text"
+        assert read(f"<body><section class='{name}'><main><p>text</p></main></section></body>") == "text"
+        assert read(f"<body><section class='{name}'><nav>m</nav><p>the text</p></section><p>end</p></body>") == "the text\nend"
+    inner = "<div class='related-work'><p>work</p></div><p class='notice'>note</p><div class='ad'>buy</div><section id='comments'><p>{}</p></section>"
+    assert read(f"<article><p>text</p>{inner.format('said ' * 50)}</article>") == "text\nwork\nnote"
+    assert read("<div class='sidebar'><article>tease</article></div><article>the long text</article>") == "the long text"
+    assert read("<body><form><p>the whole page</p></form><p>end</p></body>") == "the whole page\nend"
+
+
 class Plain(HTMLParser):
     """Text of the article of a page without markup inside it but p, b and br."""
 
