@@ -8,8 +8,11 @@ before any shuffle, the batches' wrappers in a salted round and then per host, s
 with a third of all pages sends one small wrapper per batch. Every page then walks its
 host's wrapper: what the wrapper's element path says is main text is taken.
 
-Main are the slots below `article`, in pages without one those below `main`, else all of
-the body but literal text (of hosts with several different pages), each time without
+Main are the headings and slots below `article`, in pages without one those below `main`,
+else the slots of the body. A literal counts as one that never changes, and is left out, if
+it stands on pages of SEVERAL different main texts and on half of the host's pages at least.
+Below article and main that takes MANY, as a few pages may be versions of one article, and
+only whole blocks are left out, no words are cut out of one. Main text is without
 navigation, page headers, footers, sidebars, adverts, notices, forms, comments, scripts
 and styles, told by element, role and whole classes and ids. An element that holds most of
 the articles (or of main) is never passed over, nor is a form or a container told by class
@@ -42,6 +45,9 @@ from pyspark.sql import functions as F
 from flowwatch.llm.common import arrow_map, keep, ship
 
 DEEPEST = 60
+SEVERAL, MANY = 3, 8  # different pages that hold a fixed text; the same below article and main
+EMPTY: list = ["", 0, 0, [], "", 0, []]
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LARGEST_GROUP = 4
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -162,20 +168,22 @@ def weigh(node: Element) -> tuple[int, int, int]:
     return node.mass
 
 
-# A wrapper node: [key, optional, repeated, kids, literal]; text has the key "#", a group "(".
+# A wrapper node: [key, optional, repeated, kids, literal, pages, prints]; text has the key
+# "#", a group "(". Of a literal, pages counts those that hold it, and prints are the smallest
+# MANY hashes of their main texts, so copies of one page count as one there.
 
 
-def wrapper(node: Element) -> list:
-    """Wrapper of one page's element."""
+def wrapper(node: Element, mark: str = "") -> list:
+    """Wrapper of one page's element; `mark` is the hash of the page's main text."""
     kids: list = []
     for kid in node.kids:
         if isinstance(kid, str):
             text = " ".join(kid.split())
             if text:
-                kids.append(["#", 0, 0, [], xxhash.xxh64_hexdigest(text)])
+                kids.append(["#", 0, 0, [], xxhash.xxh64_hexdigest(text), 1, [mark]])
         else:
-            kids.append(wrapper(kid))
-    return [node.key, 0, 0, fold(kids), ""]
+            kids.append(wrapper(kid, mark))
+    return [node.key, 0, 0, fold(kids), "", 0, []]
 
 
 def names(nodes: list) -> tuple:
@@ -193,34 +201,37 @@ def fold(nodes: list) -> list:
             for size in range(1, LARGEST_GROUP + 1):
                 if len(out) > size and out[-size - 1][0] == "(" and len(out[-size - 1][3]) == size and names(out[-size - 1][3]) == names(out[-size:]):
                     group = out[-size - 1]
-                    group[3] = [merge(a, b) for a, b in zip(group[3], out[-size:], strict=True)]
+                    group[3] = [merge(a, b, True) for a, b in zip(group[3], out[-size:], strict=True)]
                     del out[-size:]
                     again = True
                     break
                 if len(out) >= 2 * size and names(out[-size:]) == names(out[-2 * size : -size]):
-                    both = [merge(a, b) for a, b in zip(out[-2 * size : -size], out[-size:], strict=True)]
+                    both = [merge(a, b, True) for a, b in zip(out[-2 * size : -size], out[-size:], strict=True)]
                     del out[-2 * size :]
                     if size == 1:
                         both[0][2] = 1
                         out += both
                     else:
-                        out.append(["(", 0, 1, both, ""])
+                        out.append(["(", 0, 1, both, "", 0, []])
                     again = True
                     break
     return out
 
 
-def merge(a: list, b: list) -> list:
-    """The wrapper of two nodes of one key."""
-    literal = a[4] if a[4] == b[4] else ""
-    return [a[0], a[1] | b[1], a[2] | b[2], align(a[3], b[3]) if a[3] or b[3] else [], literal]
+def merge(a: list, b: list, same: bool = False) -> list:
+    """The wrapper of two nodes of one key; of the same pages, or of different ones."""
+    kids = align(a[3], b[3], same) if a[3] or b[3] else []
+    if not a[4] or a[4] != b[4]:
+        return [a[0], a[1] | b[1], a[2] | b[2], kids, "", 0, []]
+    pages = max(a[5], b[5]) if same else a[5] + b[5]
+    return [a[0], a[1] | b[1], a[2] | b[2], kids, a[4], pages, sorted({*a[6], *b[6]})[:MANY]]
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, same: bool = False) -> list:
     """Longest common subsequence of keys; what only one side has becomes optional."""
     x, y = names(a), names(b)
     if x == y:
-        return [merge(p, q) for p, q in zip(a, b, strict=True)]
+        return [merge(p, q, same) for p, q in zip(a, b, strict=True)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -229,7 +240,7 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and x[i] == y[j]:
-            out.append(merge(a[i], b[j]))
+            out.append(merge(a[i], b[j], same))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append([a[i][0], 1, *a[i][2:]])
@@ -286,49 +297,68 @@ class Reader:
     """Reads pages by the wrapper of their host."""
 
     def __init__(self, root: list, pages: int):
-        self.root, self.several = root, pages >= 3
+        self.root, self.pages = root, pages
         self.children: dict[int, dict] = {}
 
+    def fixed(self, slot: list, different: int) -> bool:
+        """Whether a text never changes on the host: it stands on so many different pages
+        and on half of all pages at least."""
+        return bool(slot[4]) and len(slot[6]) >= different and 2 * slot[5] >= self.pages
+
     def below(self, node: list) -> dict:
-        """Children of a wrapper node by key, groups opened; made once per node."""
+        """Children of a wrapper node by key, groups opened, those of one key as one; under
+        "#" the hashes of the texts fixed in a body, and under "" of those fixed below article
+        and main. Made once per node."""
         found = self.children.get(id(node))
         if found is None:
-            found = self.children[id(node)] = {}
+            found = self.children[id(node)] = {"#": set(), "": set()}
             todo = list(reversed(node[3]))
             while todo:
                 kid = todo.pop()
                 if kid[0] == "(":
                     todo += reversed(kid[3])
-                elif kid[0] not in found:
-                    inside = kid[0].split(" ", 1)[0] in ("article", "main")
-                    found[kid[0]] = [kid, dropped(kid[0], kid[0].split(" ", 1)[0], False), dropped(kid[0], kid[0].split(" ", 1)[0], True), inside]
-                elif kid[0] == "#" and found["#"][0][4] != kid[4]:
-                    found["#"] = [["#", 1, 1, [], ""], False, False, False]
+                elif kid[0] == "#":
+                    for name, different in (("#", SEVERAL), ("", MANY)):
+                        if self.fixed(kid, different):
+                            found[name].add(kid[4])
+                elif kid[0] in found:
+                    found[kid[0]] = [*kid[:3], found[kid[0]][3] + kid[3], *kid[4:]]
+                else:
+                    found[kid[0]] = kid
         return found
 
     def text(self, page: Element) -> str:
         weigh(page)
         for place in ("article", "main", ""):
             blocks: list[str] = []
-            if self._walk(page, self.root, not place, place, blocks, [""], page):
+            if self._walk(page, self.root, not place, place, blocks, ["", ""], page):
                 break
         return "\n".join(blocks)
 
-    def _walk(self, page: Element, node: list, inside: bool, place: str, blocks: list[str], line: list[str], whole: Element) -> bool:
+    def _walk(self, page: Element, node: list, inside: bool, place: str, blocks: list[str], line: list[str], whole: Element, head: bool = False) -> bool:
         """Blocks of main text in page order; whether the place was there at all. `whole` is
-        the place, or the page outside of it."""
+        the place, or the page outside of it; `head` is in a heading. In a line, the second
+        part waits for text that changes."""
         below, found = self.below(node), inside
+        texts = set() if place else below["#"]
         for kid in page.kids:
             if isinstance(kid, str):
                 if inside:
-                    slot = below.get("#")
-                    if place or not self.several or slot is None or not slot[0][4]:
-                        line[0] += kid
+                    fixed = texts and xxhash.xxh64_hexdigest(" ".join(kid.split())) in texts
+                    if fixed and place and not head:
+                        line[1] += kid  # shown only where its block has other text
+                    elif fixed and not place:
+                        continue
+                    elif kid.strip():
+                        line[0], line[1] = line[0] + line[1] + kid, ""
+                    else:
+                        line[1] += kid
                 continue
             if kid.tag == "br":
-                line[0] += " "
+                line[1] += " "
                 continue
-            deeper, out_drop, in_drop, _ = below.get(kid.key) or [["", 0, 0, [], ""], dropped(kid.key, kid.tag, False), dropped(kid.key, kid.tag, True), False]
+            deeper = below.get(kid.key) or EMPTY
+            in_drop, out_drop = dropped(kid.key, kid.tag, True), dropped(kid.key, kid.tag, False)
             if (in_drop if inside and place else out_drop) and not holds(kid, whole, inside, place):
                 if kid.tag in BLOCK:
                     flush(blocks, line)
@@ -336,7 +366,7 @@ class Reader:
             opens = bool(place) and not inside and (kid.tag == place or place == "main" and "role=main" in kid.key)
             if kid.tag in BLOCK or opens:
                 flush(blocks, line)
-            found |= self._walk(kid, deeper, inside or opens, place, blocks, line, kid if opens else whole)
+            found |= self._walk(kid, deeper, inside or opens, place, blocks, line, kid if opens else whole, head or kid.tag in HEADINGS)
             if kid.tag in BLOCK or opens:
                 flush(blocks, line)
         if node is self.root:
@@ -352,10 +382,11 @@ def holds(kid: Element, whole: Element, inside: bool, place: str) -> bool:
 
 
 def flush(blocks: list[str], line: list[str]) -> None:
-    text = " ".join(entities.unescape(line[0]).split())
+    # what follows the last text that changes is a part of its block
+    text = " ".join(entities.unescape(line[0] + line[1] if line[0] else "").split())
     if text:
         blocks.append(text)
-    line[0] = ""
+    line[0] = line[1] = ""
 
 
 def host(url: str) -> str:
@@ -369,8 +400,11 @@ def host_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
     def of_batch(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         found: dict[str, list] = {}
+        plain = Reader(EMPTY, 0)
         for url, page in zip(batch.column(0), batch.column(1), strict=True):
-            name, root = host(url.as_py()), wrapper(parse(page.as_py()))
+            tree = parse(page.as_py())
+            mark = xxhash.xxh64_hexdigest(plain.text(tree))
+            name, root = host(url.as_py()), wrapper(tree, mark)
             if name in found:
                 found[name] = [found[name][0] + 1, merge(found[name][1], root)]
             else:
@@ -418,7 +452,7 @@ def main_texts(
         for page, name, root, n in zip(*(batch.column(i) for i in (2, 3, 4, 5)), strict=True):
             key = name.as_py()
             if key not in readers:
-                readers[key] = Reader(json.loads(root.as_py() or '["", 0, 0, [], ""]'), n.as_py() or 0)
+                readers[key] = Reader(json.loads(root.as_py() or json.dumps(EMPTY)), n.as_py() or 0)
             texts.append(readers[key].text(parse(page.as_py())))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],

@@ -2,7 +2,7 @@
 
 from html.parser import HTMLParser
 
-from flowwatch.llm.wrappers import Reader, align, expression, host_wrappers, main_texts, merge, parse, wrapper
+from flowwatch.llm.wrappers import EMPTY, Reader, align, expression, host_wrappers, main_texts, merge, parse, wrapper
 
 PAGE = """<!DOCTYPE html><html><head><title>t &am</title><script>var a = "<p>no</p>";</script></head><body class="header-page">
 <header><h1>Site</h1></header><nav><ul><li><a>x</a></li><li><a>y</a></li></ul></nav><div class="ad-slot ad">buy</div>
@@ -45,7 +45,7 @@ def test_page_text(spark):
 
 def test_closed_deep_nesting():
     def read(page):
-        return Reader(["", 0, 0, [], ""], 0).text(parse(page))
+        return Reader(EMPTY, 0).text(parse(page))
 
     page = "<html><body><div><article>" + "<div>" * 65 + "{}" + "</div>" * 65 + "<p>rest</p></article></div><p>out</p>"
     assert read(page.format("deep")) == "deep\nrest"
@@ -55,7 +55,7 @@ def test_closed_deep_nesting():
 
 def test_layout_containers_are_kept():
     def read(page):
-        return Reader(["", 0, 0, [], ""], 0).text(parse(page))
+        return Reader(EMPTY, 0).text(parse(page))
 
     for name in ("has-sidebar", "content no-sidebar", "header-fixed", "entry with-comments", "sidebar", "widget"):
         assert read(f"<body><div id='page' class='{name}'><nav>m</nav><article><p>text</p></article></div></body>") == "text"
@@ -67,6 +67,22 @@ def test_layout_containers_are_kept():
     assert read("<body><form><p>the whole page</p></form><p>end</p></body>") == "the whole page\nend"
 
 
+def texts_of(spark, pages):
+    table = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(main_texts(table.repartition(3)).collect())]
+
+
+def test_only_texts_of_several_different_pages_are_fixed(spark):
+    body = "<body><h4>Fixed</h4>{}<div>Text {}</div></body>"
+    own = ["<blockquote>said once</blockquote>", "<table><tr><td>cell</table>", "<h3>head</h3>", "", ""]
+    got = texts_of(spark, [body.format(x, i) for i, x in enumerate(own)])
+    assert got == ["said once\nText 0", "cell\nText 1", "head\nText 2", "Text 3", "Text 4"]
+    assert texts_of(spark, [body.format("", 1)] * 5) == ["Fixed\nText 1"] * 5  # copies of one page
+    # an element of the key of a fixed one isn't fixed
+    two = [f"<body><div>Notice</div><p>P {i}</p><div>Text {i}</div></body>" for i in range(4)]
+    assert texts_of(spark, two) == [f"P {i}\nText {i}" for i in range(4)]
+
+
 class Plain(HTMLParser):
     """Text of the article of a page without markup inside it but p, b and br."""
 
