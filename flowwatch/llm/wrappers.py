@@ -340,7 +340,7 @@ class Reader:
         the place, or the page outside of it; `head` is in a heading. In a line, the second
         part waits for text that changes."""
         below, found = self.below(node), inside
-        texts = set() if place else below["#"]
+        texts = below["" if place else "#"]
         for kid in page.kids:
             if isinstance(kid, str):
                 if inside:

@@ -83,6 +83,17 @@ def test_only_texts_of_several_different_pages_are_fixed(spark):
     assert texts_of(spark, two) == [f"P {i}\nText {i}" for i in range(4)]
 
 
+def test_wrapper_chooses_below_article_and_main(spark):
+    for place in ("article", "main"):
+        page = f"<body><{place}><h2>Story</h2><div>Buy our paper</div><p>By <b>{{0}}</b> and {{0}}.</p>{{1}}</{place}></body>"
+        pages = [page.format(f"n{i}", "<p>once</p>" if i == 2 else "") for i in range(8)]
+        assert texts_of(spark, pages) == [f"Story\nBy n{i} and n{i}." + "\nonce" * (i == 2) for i in range(8)]
+        # copies of one page, and a few versions of it
+        whole = "Story\nBuy our paper\nBy n{0} and n{0}."
+        assert texts_of(spark, pages[:1] * 8) == [whole.format(0)] * 8
+        assert texts_of(spark, pages[3:]) == [whole.format(i) for i in range(3, 8)]
+
+
 class Plain(HTMLParser):
     """Text of the article of a page without markup inside it but p, b and br."""
 
