@@ -33,10 +33,14 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # runs are maximal, so this equals "runs, then 20 or more"
 HEX = r"[0-9a-f]{24,}"
-#: Weak parts: they may be anything on their own.
-IDENT = r"""(?:client_id|client|account|user|username|login|access_key|key_id)["']?\x20{0,3}[:=]\x20{0,3}["']?[A-Za-z0-9_.@-]{3,64}"""
-SECRET = r"[A-Za-z0-9+/_-]{16,}"  # whole runs; of 64 at most, with a digit and a letter
-ENDPOINT = r"(?:https?|jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{3,200}"
+#: Weak parts: they may be anything on their own. Names in either case, of ASCII only.
+WHO = "|".join(
+    "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name)
+    for name in "client_id client account user username login access_key key_id".split()
+)
+IDENT = rf"""(?:{WHO})["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{{3,}}"""
+SECRET = r"[A-Za-z0-9+/_-]{16,}"  # whole runs of any length, with a digit and a letter
+ENDPOINT = r"(?:https?|jdbc:[a-z]{2,}|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{3,}"
 
 
 def matches(text: Column, pattern: str, group: int | None = None) -> Column:
@@ -99,7 +103,7 @@ def scan(
     base = F.concat(tagged(assign, "assign"), tagged(matches(text, ACCESS), "access"), tagged(matches(text, HEX), "hex"))
     rest = F.col("rest")
     secret = F.filter(matches(rest, SECRET), lambda s: (
-        (F.length(s["value"]) <= 64) & s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
+        s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
     ))
     weak = F.concat(tagged(matches(rest, IDENT), "ident"), tagged(secret, "secret"), tagged(matches(rest, ENDPOINT), "endpoint"))
     found = keep(

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from flowwatch.llm.credentials import ENDPOINT, IDENT, KINDS, SECRET, digest, scan
+from flowwatch.llm.credentials import ENDPOINT, IDENT, KINDS, SECRET, digest, redacted, scan
 
 BASE = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
@@ -59,6 +59,18 @@ def test_brute_force(spark):
     assert digest(scan(docs.limit(0))).collect() == []
 
 
+def test_long_parts_are_linked_whole(spark):
+    key, url, name = "K3y/" * 22, "https://h.example/x?" + "a=1&" * 150 + "sig=zz", "n" * 90
+    texts = [
+        f"see client={name} {key} and {url} end", f"CLIENT_ID=shop-7 {key}", f"User: joe {key * 40}", f"login    :    joe {key}",
+        f"{key} alone", "client=abc " + "x" * 88, f"jdbc:{'server' * 5}://host/db client=abc {key}",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in sorted(redacted(docs).collect())]
+    s = "[secret]"
+    assert got == [f"see {s} {s} and {s} end", f"{s} {s}", f"{s} {s}", f"{s} {s}", texts[4], texts[5], f"{s} {s} {s}"]
+
+
 def test_query(spark):
     from flowwatch.llm.queries import QUERIES
 
