@@ -243,3 +243,52 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowwatch.llm.middles import digest, fill_in_middle
 
     return digest(fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op12_lm_scores")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from flowwatch.llm.attention import scored
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        return scored(table(spark, sf_dir, "documents"), lines.read())
+
+
+@query("op11_prefix_trie", """
+WITH crc AS (  -- table of the polynomial of crc32
+  SELECT list_transform(range(256), i -> list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], (c, z) -> xor(c >> 1, (c & 1) * 3988292384))) AS tab),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+    [4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT)),
+    (c, b) -> xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), crc),
+r AS (
+  SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = base WHERE pos < h
+  UNION ALL SELECT conv_id, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos >= h),
+p AS (
+  SELECT conv_id, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY pos) AS p, length(text) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY pos) = count(*) OVER (PARTITION BY conv_id) AS whole
+  FROM r
+  UNION ALL SELECT conv_id, [], 0, conv_id NOT IN (SELECT conv_id FROM r) FROM c),
+n AS (
+  SELECT p, len(p) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE whole), '')) AS ends
+  FROM p GROUP BY p),
+kids AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+up AS (
+  SELECT p[1:k] AS p, sum((n_convs - 1) * chars) AS saved, count(*) FILTER (WHERE p NOT IN (SELECT p FROM kids)) AS leaves
+  FROM (SELECT p, n_convs, chars, unnest(range(0, depth + 1)) AS k FROM n) GROUP BY ALL)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, n.n_convs,
+  CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN up USING (p) LEFT JOIN kids USING (p)
+LEFT JOIN n AS parent ON n.depth > 0 AND parent.p = n.p[1:n.depth - 1]
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowwatch.llm.tries import digest, prefix_trie
+
+    return digest(prefix_trie(table(spark, sf_dir, "conversations")))
