@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowwatch.llm.common import arrow_map, keep, ship
 
@@ -255,13 +256,12 @@ def _common(a: bytes, b: bytes) -> int:
 def swept(pending: DataFrame) -> DataFrame:
     """Nodes of all containers: `kind` as in `sweep`."""
     ship(pending.sparkSession)
-    schema = f"kind int, {NODE}"
+    schema = T.StructType.fromDDL(f"kind int, {NODE}")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        kinds = to_arrow_schema(StructType.fromDDL(schema))
+        kinds = to_arrow_schema(schema)
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
         out: list[tuple] = []
 
