@@ -257,15 +257,15 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op11_prefix_trie", """
 WITH crc AS (  -- table of the polynomial of crc32
-  SELECT list_transform(range(256), i -> list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], (c, z) -> xor(c >> 1, (c & 1) * 3988292384))) AS tab),
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384))) AS tab),
 t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
 c AS (
   SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
-    [4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT)),
-    (c, b) -> xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295) % 6 AS h
+    [4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295) % 6 AS h
   FROM (SELECT DISTINCT conv_id FROM t), crc),
 r AS (
   SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = base WHERE pos < h
