@@ -5,9 +5,9 @@ err, so expectation-maximisation over the counts of vote patterns (at most 3^7 r
 the driver, whatever the corpus) estimates how often each labeller votes what on either
 class, and with that the posterior of every pattern. Posteriors are the training labels of
 a linear scorer on hashed word shapes: letters count as upper or lower case, runs as one,
-and a word that repeats the one before has a bucket of its own. It is fitted on a sample
-of at most about `fit_rows` documents (by hash of the text, a documented bound; features
-only, one row of `WIDTH` shares each) and scores every whole text. Documents whose score
+and a word that repeats the one before has a bucket of its own. It is fitted on
+the `fit_rows` distinct texts of the smallest hashes (a documented bound; features only), weighted
+by how often each is there, and scores every whole text. Documents whose score
 is below one half are rejected. No labelled row is used; the labels table measures it.
 
 Defined cases: texts without a word, null included, get score 0 and are rejected; texts
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import operator
 import re
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -50,8 +51,10 @@ class Shapes(dict):
 
         if len(self) > self.most:
             self.clear()
-        shape = _RUNS.sub(rb"\1", word[:64].translate(_SHAPES))
-        found = self[word] = 1 + xxhash.xxh3_64_intdigest(shape) % (WIDTH - 1)
+        shape = _RUNS.sub(rb"\1", word.translate(_SHAPES))
+        found = 1 + xxhash.xxh3_64_intdigest(shape) % (WIDTH - 1)
+        if len(word) <= 64:  # longer ones aren't remembered, as they take room and seldom come back
+            self[word] = found
         return found
 
 
@@ -145,17 +148,44 @@ def expectation_maximisation(
     return dict(zip(patterns, before.tolist(), strict=True)), rate, float(share[0])
 
 
-def train(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 12) -> np.ndarray:
-    """Weights of a logistic regression on soft labels by Newton steps; the last is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    damp = np.full(x.shape[1], ridge * len(x))
+class Sparse:
+    """Rows of few features; products are made a slice of rows at a time, with a last column of ones."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int, step: int = 512):
+        self.size, self.width, self.step = len(rows), width + 1, step
+        self.edge = np.cumsum([0, *(len(at) for at, _ in rows)])
+        self.at = np.concatenate([at for at, _ in rows]) if rows else np.zeros(0, np.int32)
+        self.value = np.concatenate([v for _, v in rows]).astype(np.float32) if rows else np.zeros(0, np.float32)
+
+    def slices(self) -> Iterator[tuple[slice, np.ndarray]]:
+        for a in range(0, self.size, self.step):
+            b = min(a + self.step, self.size)
+            x = np.zeros((b - a, self.width), np.float32)
+            x[:, -1] = 1
+            part = slice(self.edge[a], self.edge[b])
+            x[np.repeat(np.arange(b - a), np.diff(self.edge[a:b + 1])), self.at[part]] = self.value[part]
+            yield slice(a, b), x
+
+
+def train(x: Sparse, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 12) -> np.ndarray:
+    """Weights of a logistic regression on soft labels by Newton steps; the last is the bias.
+
+    One square of the number of features and one slice of rows are held at a time.
+    """
+    weight = weight / weight.mean()
+    w = np.zeros(x.width)
+    damp = np.full(x.width, ridge * x.size)
     damp[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + damp * w
-        curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(damp)
-        w -= np.linalg.solve(curve, slope)
+        slope, curve = damp * w, np.diag(damp)
+        for rows, part in x.slices():
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope += ((p - y[rows]) * weight[rows]) @ part
+            curve += (part * ((p * (1 - p) + 1e-6) * weight[rows])[:, None].astype(np.float32)).T @ part
+        step = np.linalg.solve(curve, slope)
+        w -= step
+        if np.abs(step).max() < 1e-6 * max(1, np.abs(w).max()):
+            break
     return w
 
 
@@ -181,23 +211,23 @@ def sample_of(text: pa.Array) -> pa.Array:
 def fit(docs: DataFrame, text_col: str = "text", fit_rows: int = 8192) -> tuple[dict[int, float], np.ndarray | None]:
     """Posterior by vote pattern over all documents, and the scorer's weights."""
     ship(docs.sparkSession)
-    text = docs.select(F.col(text_col).alias("text"))
+    text = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit(23)).alias("h"))
     counts = {r.pattern: r["count"] for r in text.select(arrow_udf(pattern_of, "int")("text").alias("pattern")).groupBy("pattern").count().collect()}
     posterior, _, _ = expectation_maximisation(counts)
-    total = sum(counts.values())
-    if not total:
+    # the distinct texts of the smallest hashes, and how often each of them is there
+    some = text.where("text is not null")
+    drawn = {r.h: r["count"] for r in some.groupBy("h").count().orderBy("h").limit(fit_rows).collect()}
+    if not drawn:
         return posterior, None
-    share = min(1.0, fit_rows / total)
-    drawn = text.where(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    # copies of one text fall in together: the limit keeps the bound whatever they are
-    rows = drawn.where("text is not null").select(arrow_udf(sample_of, SAMPLE)("text").alias("x")).select("x.*").limit(2 * fit_rows).collect()
-    if not rows:
-        return posterior, None
-    x = np.zeros((len(rows), WIDTH))
-    for k, r in enumerate(rows):
-        x[k, r.at] = r.share
-    y = np.array([posterior[r.pattern] for r in rows])
-    return posterior, train(x, y)
+    sample = (
+        some.where(F.col("h") <= max(drawn)).select("h", arrow_udf(sample_of, SAMPLE)("text").alias("x"))
+        .groupBy("h").agg(F.any_value("x").alias("x")).orderBy("h").select("h", "x.*").toArrow()
+    )
+    at, share = sample.column("at").combine_chunks(), sample.column("share").combine_chunks()
+    rows = [(np.asarray(a.values), np.asarray(b.values)) for a, b in zip(at, share)]
+    y = np.array([posterior[p] for p in sample.column("pattern").to_pylist()])
+    weight = np.array([drawn[h] for h in sample.column("h").to_pylist()], np.float64)
+    return posterior, train(Sparse(rows, WIDTH), y, weight)
 
 
 def judged(docs: DataFrame, text_col: str = "text", fit_rows: int = 8192, name: str = "quality") -> DataFrame:

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 
-from flowwatch.llm.quality import LABELLERS, code, decode, digest, expectation_maximisation, judged, train, votes
+from pyspark.sql import functions as F
+
+from flowwatch.llm.quality import LABELLERS, Sparse, code, decode, digest, expectation_maximisation, judged, train, votes
 
 
 def test_votes_and_codes():
@@ -38,8 +40,32 @@ def test_em_recovers_accuracies():
 def test_scorer():
     rng = np.random.default_rng(1)
     x = rng.random((400, 6))
-    w = train(x, (x[:, 0] > x[:, 1]).astype(float))
+    every = np.arange(6)
+    y = (x[:, 0] > x[:, 1]).astype(float)
+    w = train(Sparse([(every, row) for row in x], 6, step=64), y, np.ones(400))
     assert (((x @ w[:-1] + w[-1]) > 0) == (x[:, 0] > x[:, 1])).mean() > 0.95
+    # a row that counts three times is three rows, and slices change nothing
+    # (weights are relative to their mean, 1.25 here, the ridge to the number of rows)
+    again = train(Sparse([(every, row) for row in [*x, *x[:50], *x[:50]]], 6), np.r_[y, y[:50], y[:50]], np.ones(500))
+    weighted = train(Sparse([(every, row) for row in x], 6, step=64), y, np.r_[np.full(50, 3.0), np.ones(350)])
+    assert np.abs(again - weighted).max() < 1e-2 * np.abs(again).max()
+
+
+def test_sample_is_the_same_however_rows_lie(spark):
+    rng = random.Random(4)
+    pool = [" ".join(rng.choices(["the", "river", "ran", "BUY!!", "so", "###", "quiet", "and"], k=rng.randrange(4, 60))) for _ in range(300)]
+    rows = [(k, rng.choice(pool)) for k in range(600)] + [(1000 + k, pool[0]) for k in range(400)]  # one text holds a large share
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r.doc_id, r.score, r.kept) for r in digest(judged(docs.repartition(n).orderBy(F.rand(n)), fit_rows=100)).collect()) for n in (1, 7)]
+    assert got[0] == got[1]
+
+
+def test_whole_words():
+    from flowwatch.llm.quality import Shapes
+
+    # words that differ after 64 bytes have shapes of their own
+    start = b"Ab1" * 30
+    assert Shapes()[start] != Shapes()[start + b"!!##$$"]
 
 
 def test_held_out_accuracy(spark):
