@@ -53,17 +53,22 @@ def combine(new: DataFrame, earlier: DataFrame) -> DataFrame:
     return new.unionByName(earlier, allowMissingColumns=True)
 
 
+def own_members(packets: DataFrame) -> DataFrame:
+    """Packets with the key of their own flow."""
+    return P.with_tcp_fields(packets).withColumns({
+        "l4_key": F.when(P.is_protocol(V.ICMP), V.ICMP_L4_KEY).otherwise(F.col("l4_key")), "rekeyed": F.lit(False),
+    })
+
+
 def members(packets: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Packets with the key of each flow they belong to.
 
     An ICMP packet belongs to its own flow and to every UDP flow of the same flow
     key and host pair; with `icmp_pulls_udp` also the other way round.
     """
-    d = P.with_tcp_fields(packets).withColumn(
-        "l4_key", F.when(P.is_protocol(V.ICMP), V.ICMP_L4_KEY).otherwise(F.col("l4_key"))
-    )
+    own = own_members(packets)
+    d = own.drop("rekeyed")
     link = ["flow_key", "pair_key"]
-    own = d.withColumn("rekeyed", F.lit(False))
 
     def pulled(from_protocol: str, into_protocol: str) -> DataFrame:
         targets = d.where(P.is_protocol(into_protocol)).select(*KEYS).distinct()
@@ -238,16 +243,31 @@ def assemble(
     rows = members(packets, rules)
     if gap_us is None:
         return finish(facts(rows, KEYS, hot=hot, bound=bound, counted=packets))
+    return finish(session_facts(rows, gap_us, hot=hot, bound=bound, counted=packets))
+
+
+def session_facts(
+    member_rows: DataFrame, gap_us: int, *, hot: str = "auto", bound: int = 100_000, counted: DataFrame | None = None
+) -> DataFrame:
+    """Facts of every session of a flow, numbered by `session`: the next packet is more than the gap away."""
     # packets of one bucket are closer than the gap, so a bucket never splits;
     # sessions are then found over one row per flow and bucket
-    bucketed = rows.withColumn("_bucket", F.floor(F.col("timestamp") / gap_us))
-    parts = facts(bucketed, [*KEYS, "_bucket"], hot=hot, bound=bound, counted=packets)
-    by_time = W.partitionBy(*KEYS).orderBy("_bucket")
-    starts = F.col("first.timestamp") - F.lag("last.timestamp").over(by_time) > gap_us
-    numbered = parts.withColumn("_starts", F.coalesce(starts, F.lit(False)).cast("int")).withColumn(
-        "session", F.sum("_starts").over(by_time.rowsBetween(W.unboundedPreceding, 0))
-    )
-    return finish(merge_facts(numbered, [*KEYS, "session"]))
+    bucketed = member_rows.withColumn("_bucket", F.floor(F.col("timestamp") / gap_us))
+    parts = facts(bucketed, [*KEYS, "_bucket"], hot=hot, bound=bound, counted=counted)
+    return merge_facts(in_sessions(parts, gap_us), [*KEYS, "session"])
+
+
+def in_sessions(parts: DataFrame, gap_us: int) -> DataFrame:
+    """Facts of parts of flows with the number of their session. Parts may lie within each other;
+    `tangled` marks those of a session in which one begins before another has ended."""
+    by_time = W.partitionBy(*KEYS).orderBy("first.timestamp", "first.packet_id")
+    before = F.max(F.struct("last.timestamp", "last.packet_id")).over(by_time.rowsBetween(W.unboundedPreceding, -1))
+    starts = F.col("first.timestamp") - before["timestamp"] > gap_us
+    early = F.struct("first.timestamp", "first.packet_id") <= before
+    numbered = parts.withColumns({
+        "_starts": F.coalesce(starts, F.lit(False)).cast("int"), "_early": F.coalesce(early, F.lit(False)),
+    }).withColumn("session", F.sum("_starts").over(by_time.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.withColumn("tangled", F.max("_early").over(W.partitionBy(*KEYS, "session"))).drop("_starts", "_early")
 
 
 def coarse_groups(packets: DataFrame) -> DataFrame:

@@ -565,6 +565,13 @@ def plain_prediction(history_rows: DataFrame) -> DataFrame:
     )
 
 
+class StatedModel:
+    """A scorer that SQL can state, in place of a forest: a quarter for each threshold class."""
+
+    def transform(self, features: DataFrame) -> DataFrame:
+        return features.withColumns({"features": F.lit(None), "prediction": F.col("threshold_class") / 4.0})
+
+
 @query("mod1")
 def _(spark, d):
     """Rows per label and whether their mean prediction lies on the label's side of one half."""
@@ -867,6 +874,27 @@ def _(spark, d):
     return _recorded(spark, d).history(spark).select("source", "flow_key", "l4_key", "port", "n_packets", "verdict")
 
 
+@query("str4_alerts_stated")
+def _(spark, d):
+    """Alerts of the stream under a scorer that SQL can state."""
+    sink = ST.Recorder(scratch_path(spark, "recorded"), StatedModel())
+    return _shown_alerts(_stored(spark, d, sink).alerts(spark))
+
+
+@query("detect_alerts_stated")
+def _(spark, d):
+    return _shown_alerts(DE.detect(T.packets(spark, d), StatedModel()).alerts)
+
+
+@query("str2_evicted")
+def _(spark, d):
+    """Flows and packets that are left in the store after fine flows were evicted."""
+    store = _stored(spark, d, ST.FlowStore(scratch_path(spark, "evicted")))
+    store.compact(spark)
+    left = store.read(spark, "packets").groupBy("flow_key").agg(F.count(F.lit(1)).alias("n_stored"))
+    return store.flows(spark).join(left, "flow_key", "left").select(*FL.KEYS, "n_packets", "n_stored")
+
+
 @query("str4_alerts")
 def _(spark, d):
     return _recorded(spark, d).alerts(spark).groupBy("scan_type", "attack_type").agg(F.count(F.lit(1)).alias("n"))

@@ -602,6 +602,23 @@ def oracles() -> dict[str, str]:
     q["str3"] = st(f"SELECT {_KEYS}, CAST(1 AS BIGINT) AS n_sessions FROM v")
     q["str4"] = st(f"""SELECT remote AS source, flow_key, l4_key, host_port AS port, n AS n_packets, verdict
         FROM v WHERE verdict IN {_in(V.HISTORY_LABELS)}""")
+    q["str2_evicted"] = st(f"""SELECT {_KEYS}, n AS n_packets, n_stored FROM v JOIN (
+          SELECT p.flow_key, count(*) AS n_stored FROM p JOIN v w ON p.flow_key = w.flow_key AND p.l4_key = w.l4_key
+          WHERE w.verdict NOT IN ('RemoveFinePackets', 'InitializingRemoveFinePackets') GROUP BY 1) USING (flow_key)
+        WHERE verdict NOT IN ('RemoveFinePackets', 'InitializingRemoveFinePackets')""")
+    by_class = "least(threshold_class * 25, 100)"
+    stated = _with(f"""SELECT {shown} FROM direct
+        UNION ALL SELECT {shown} FROM (
+          SELECT scan.* REPLACE (CAST({by_class} AS DOUBLE) AS chance) FROM scan
+          JOIN x ON x.source = scan.attacker WHERE {by_class} >= 50)
+        UNION ALL SELECT {shown} FROM (
+          SELECT last_ts AS time, 'PORT SCAN' AS scan_type, {named} AS attack_type, in_addr AS attacker, in_port AS port,
+            CAST(100 AS DOUBLE) AS chance, {_KEYS},
+            CASE WHEN verdict = 'SuspiciousFinScanAttack' THEN 'UNKNOWN' ELSE 'NMAP' END AS tools
+          FROM v JOIN x ON x.source = v.remote
+          WHERE verdict IN {_in(V.SUSPICIOUS_FLAGS)} AND {by_class} >= 50)""", "flows", "verdicts", "features", "alerts")
+    q["str4_alerts_stated"] = stated
+    q["detect_alerts_stated"] = stated
     q["str5"] = _with(f"""SELECT {shown} FROM net WHERE q19 AND remote IN (SELECT source FROM pot)""",
                      "flows", "verdicts", "alerts")
     return q
