@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from flowwatch import fixed_values as V
 from flowwatch.functions import packet as P
-from flowwatch.operators import skew
+from flowwatch.operators import guests, skew
 from flowwatch.rules import Rules
 
 KEYS = ["flow_key", "l4_key", "pair_key"]
@@ -60,20 +60,26 @@ def own_members(packets: DataFrame) -> DataFrame:
     })
 
 
-def members(packets: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def members(packets: DataFrame, rules: Rules = Rules(), crowded: DataFrame | None = None) -> DataFrame:
     """Packets with the key of each flow they belong to.
 
     An ICMP packet belongs to its own flow and to every UDP flow of the same flow
-    key and host pair; with `icmp_pulls_udp` also the other way round.
+    key and host pair; with `icmp_pulls_udp` also the other way round. A pair has one
+    ICMP flow, so that gives at most one more row per UDP packet. UDP flows of
+    `crowded` pairs are left out; `guests.guest_flows` makes their facts.
     """
     own = own_members(packets)
     d = own.drop("rekeyed")
     link = ["flow_key", "pair_key"]
+    if crowded is not None:
+        own = own.join(guests.targets(own, crowded), KEYS, "left_anti")
 
     def pulled(from_protocol: str, into_protocol: str) -> DataFrame:
         targets = d.where(P.is_protocol(into_protocol)).select(*KEYS).distinct()
-        guests = d.where(P.is_protocol(from_protocol)).drop("l4_key")
-        joined = skew.lookup(guests, targets, link)
+        if crowded is not None and into_protocol == V.UDP:
+            targets = targets.join(crowded, link, "left_anti")
+        pulled_in = d.where(P.is_protocol(from_protocol)).drop("l4_key")
+        joined = skew.lookup(pulled_in, targets, link)
         return joined.withColumn("rekeyed", F.lit(True))
 
     result = own.unionByName(pulled(V.ICMP, V.UDP))
@@ -233,17 +239,25 @@ def finish(fact_rows: DataFrame) -> DataFrame:
 
 def assemble(
     packets: DataFrame, rules: Rules = Rules(), *, gap_us: int | None = None, hot: str = "auto",
-    bound: int = 100_000,
+    bound: int = 100_000, product: int = 1_000_000,
 ) -> DataFrame:
     """Packets -> flows.
 
+    Pairs whose ICMP packets times UDP packets exceed `product` are found by a count and get
+    their UDP flows from `guests.guest_flows`; hot="none" does without, as no group is large.
+
     With `gap_us`, a flow ends where the next packet is more than the gap away,
-    as the streaming form does; `session` then numbers the flow's parts.
+    as the streaming form does; `session` then numbers the flow's parts. Every UDP flow
+    then has a session for each burst of ICMP packets of its pair, which is a product in itself.
     """
-    rows = members(packets, rules)
-    if gap_us is None:
-        return finish(facts(rows, KEYS, hot=hot, bound=bound, counted=packets))
-    return finish(session_facts(rows, gap_us, hot=hot, bound=bound, counted=packets))
+    if gap_us is not None:
+        return finish(session_facts(members(packets, rules), gap_us, hot=hot, bound=bound, counted=packets))
+    own = own_members(packets)
+    crowded = None if hot == "none" else guests.crowded_pairs(own, product)
+    made = facts(members(packets, rules, crowded), KEYS, hot=hot, bound=bound, counted=packets)
+    if crowded is not None:
+        made = made.unionByName(guests.guest_flows(own, crowded, hot=hot, bound=bound))
+    return finish(made)
 
 
 def session_facts(

@@ -387,6 +387,17 @@ def _(spark, d):
     return FL.members(T.packets(spark, d)).where("rekeyed").select("packet_id", "l4_key")
 
 
+@query("flw4_crowded")
+def _(spark, d):
+    """UDP flows when all packets of a host pair have one flow key: every pair with more than a few ICMP packets
+    takes the way without a product."""
+    found = FL.assemble(T.packets(spark, d).withColumn("flow_key", F.lit(0).cast("long")), product=0)
+    return found.where(F.col("protocol") == V.UDP).select(
+        "l4_key", "pair_key", "n_packets", F.col("first.packet_id").alias("first_id"),
+        F.col("last.packet_id").alias("last_id"), "pair_unreachable", "saw_in_payload",
+    )
+
+
 @query("flw5")
 def _(spark, d):
     rows = FL.members(T.packets(spark, d), Rules(icmp_pulls_udp=True))

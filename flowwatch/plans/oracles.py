@@ -483,6 +483,17 @@ def oracles() -> dict[str, str]:
         FROM p GROUP BY flow_key, l4_key""")
     q["flw3"] = fl("SELECT flow_key, l4_key, protocol FROM f")
     q["flw4"] = fl("SELECT packet_id, l4_key FROM m0 WHERE guest")
+    q["flw4_crowded"] = pk("""SELECT l4_key, pair_key, count(*) AS n_packets, arg_min(packet_id, (timestamp, packet_id)) AS first_id,
+        arg_max(packet_id, (timestamp, packet_id)) AS last_id,
+        coalesce(bool_or(income AND protocol = 'UDP' AND next_icmp), false) AS pair_unreachable,
+        bool_or(income AND length > 0 AND protocol IN ('UDP', 'ICMP', 'TCP')) AS saw_in_payload
+        FROM (SELECT *, direction = 'INCOME' AS income,
+            lead(protocol = 'ICMP' AND direction = 'OUTCOME') OVER (PARTITION BY l4_key, pair_key ORDER BY timestamp, packet_id) AS next_icmp,
+            first(protocol) OVER (PARTITION BY l4_key, pair_key ORDER BY guest, timestamp, packet_id) AS own_protocol
+          FROM (SELECT packet_id, timestamp, protocol, direction, length, l4_key, pair_key, false AS guest FROM p
+            UNION ALL SELECT packet_id, timestamp, protocol, direction, length, u.l4_key, p.pair_key, true AS guest FROM p
+            JOIN (SELECT DISTINCT l4_key, pair_key FROM p WHERE protocol = 'UDP') u ON p.pair_key = u.pair_key WHERE protocol = 'ICMP'))
+        WHERE own_protocol = 'UDP' GROUP BY l4_key, pair_key""")
     q["flw5"] = pk("""SELECT packet_id, 'ICMP' AS l4_key FROM p WHERE protocol = 'UDP' AND (flow_key, pair_key) IN
         (SELECT (flow_key, pair_key) FROM p WHERE protocol = 'ICMP')""")
     q["flw6"] = fl("SELECT flow_key, l4_key, n AS n_packets, CASE WHEN n <= 4 THEN path END AS short_path FROM f")
