@@ -31,6 +31,9 @@ MULTICAST = [
     "224.0.1.131", "224.0.1.132", "239.255.255.250", "239.255.255.253",
 ]
 
+# all multicast destinations: RFC 5771 and RFC 4291
+MULTICAST_NETWORKS = ["224.0.0.0/4", "ff00::/8"]
+
 # --- verdicts ----------------------------------------------------------------
 NETWORK_ALERT = "NetworkScanAlert"
 PORT_SCAN_ALERT = "PortScanAlert"

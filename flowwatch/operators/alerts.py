@@ -14,7 +14,7 @@ from flowwatch import fixed_values as V
 from flowwatch.functions import packet as P
 from flowwatch.functions import scores as SC
 from flowwatch.operators import flows as FL
-from flowwatch.operators import skew
+from flowwatch.operators import networks, skew
 from flowwatch.rules import Rules
 
 _NONE = "array<string>"
@@ -193,6 +193,12 @@ def seen_by_honeypot(history: DataFrame, honeypot: DataFrame) -> DataFrame:
     return skew.lookup(history, listed, ["source"], how="left_semi")
 
 
+def seen_in_networks(history: DataFrame, listed: DataFrame, column: str = "network") -> DataFrame:
+    """History rows whose source lies in a listed network, with the closest one as `network`."""
+    found = networks.longest_match(history, "source", listed, column).withColumnRenamed("address", "source")
+    return skew.lookup(history.drop("network"), found, ["source"])
+
+
 def honeypot_flows(history: DataFrame, honeypot: DataFrame, packets: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Flows of suspicious network scans whose source is in the honeypot's log."""
     marked = seen_by_honeypot(history.where(F.col("verdict") == V.SUSPICIOUS_NETWORK), honeypot)

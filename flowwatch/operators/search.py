@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowwatch import fixed_values as V
-from flowwatch.operators import skew
+from flowwatch.operators import networks, skew
 from flowwatch.sources.packets import bucket_of
 
 PAGE_SIZE = 20
@@ -32,6 +32,17 @@ def not_ignored(packets: DataFrame, ignored: list[str] | DataFrame) -> DataFrame
     return kept
 
 
+def outside(packets: DataFrame, ignored: list[str] | DataFrame) -> DataFrame:
+    """Drops packets from or to an ignored network, such as 10.0.0.0/8 or fe80::/10."""
+    if not isinstance(ignored, DataFrame):
+        sides = networks.within(F.col("source_address"), ignored) | networks.within(F.col("destination_address"), ignored)
+        return packets.where(~sides)
+    column = ignored.columns[0]
+    both = packets.select(F.explode(F.array("source_address", "destination_address")).alias("address"))
+    listed = networks.matches(both, "address", ignored, column).select("address").distinct()
+    return not_ignored(packets, listed)
+
+
 def _wanted(value) -> int | None:
     """A port or length; unset when missing, -1 or not a number."""
     try:

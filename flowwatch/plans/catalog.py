@@ -17,6 +17,7 @@ from flowwatch.operators import alerts as AL
 from flowwatch.operators import features as FE
 from flowwatch.operators import flows as FL
 from flowwatch.operators import model as MO
+from flowwatch.operators import networks as NW
 from flowwatch.operators import normalize as NO
 from flowwatch.operators import reports as RP
 from flowwatch.operators import search as SE
@@ -37,6 +38,7 @@ HOSTS = [T.HOST]
 SEARCH = {"protocols": "TCP,UDP", "source": r"^10\.0\.[0-3]\.", "destination_port": "80"}
 ONE_SOURCE = "10.0.0.5"
 AFTER = 946684800000000  # 2000-01-01
+QUIET_NETWORKS = ["10.0.1.0/28", "10.0.4.7/25", "10.0.5.9", "fe80::/10"]
 READ_BEFORE = 883612800000000  # 1998-01-01
 PORT_NAMES = [(22, True, True, True, "ssh"), (53, True, True, False, "dns"), (80, True, True, True, "http"),
               (443, True, True, True, "https"), (25, True, True, False, "smtp"), (23, True, True, False, "telnet")]
@@ -221,6 +223,11 @@ def _(spark, d):
     return T.layered(spark, d).where(F.col("ip4_destination").isin(V.MULTICAST)).select("packet_id")
 
 
+@query("nrm10_networks")
+def _(spark, d):
+    return T.layered(spark, d).where(NW.within(F.col("ip4_destination"), V.MULTICAST_NETWORKS)).select("packet_id")
+
+
 @query("nrm14")
 def _(spark, d):
     return T.packets(spark, d).select("packet_id", P.flag_text(F.col("flags")).alias("text"))
@@ -255,6 +262,18 @@ def _(spark, d):
     return SE.not_ignored(T.packets(spark, d), [ONE_SOURCE, "10.0.0.6"]).select("packet_id")
 
 
+@query("flt2_networks")
+def _(spark, d):
+    return SE.outside(T.packets(spark, d), QUIET_NETWORKS).select("packet_id")
+
+
+@query("flt2_network_table")
+def _(spark, d):
+    """Without the neighbourhood (/30) of every address that the honeypot has recorded."""
+    listed = T.honeypot_sources(spark, d).select(F.concat("source", F.lit("/30")).alias("network"))
+    return SE.outside(T.packets(spark, d), listed).select("packet_id")
+
+
 @query("flt3")
 def _(spark, d):
     return SE.find(T.packets(spark, d), **SEARCH).select("packet_id", "protocol", "source_address")
@@ -731,6 +750,17 @@ def _(spark, d):
     return AL.seen_by_honeypot(written(history(spark, d), "history"), T.honeypot_sources(spark, d)).select("source", "flow_key", "verdict")
 
 
+@query("hpt1_networks")
+def _(spark, d):
+    """History with the closest of the networks (/32, /29 and /24) of recorded addresses."""
+    source = F.col("source")
+    listed = T.honeypot_sources(spark, d).select(F.explode(F.array(
+        source, F.concat(source, F.lit("/29")), F.concat(F.substring_index(source, ".", 3), F.lit(".0/24")),
+    )).alias("network"))
+    found = AL.seen_in_networks(written(history(spark, d), "history"), listed)
+    return found.select("source", "flow_key", "verdict", "network")
+
+
 @query("hpt2")
 def _(spark, d):
     marked = written(history(spark, d), "history")

@@ -17,6 +17,16 @@ def _in(names) -> str:
 
 _MULTICAST = _in(V.MULTICAST)
 
+
+def _ip(a: int, b: int, c: int, d: int) -> int:
+    return ((a * 256 + b) * 256 + c) * 256 + d
+
+
+def _number(address: str) -> str:
+    """An IPv4 address as a number."""
+    part = [f"CAST(split_part({address}, '.', {i}) AS BIGINT)" for i in (1, 2, 3, 4)]
+    return f"((({part[0]} * 256 + {part[1]}) * 256 + {part[2]}) * 256 + {part[3]})"
+
 PACKETS = f"""
 conv AS (
   SELECT o_orderkey AS flow_key, o_custkey AS cust,
@@ -421,6 +431,7 @@ def oracles() -> dict[str, str]:
         FROM lk WHERE protocol = 'ARP'""")
     q["nrm9"] = ly("SELECT packet_id, src AS source_address, l4_key, length + 34 AS length FROM lk WHERE protocol = 'IPv4'")
     q["nrm10"] = ly(f"SELECT packet_id FROM lay0 WHERE dst IN {_MULTICAST} AND protocol <> 'ARP'")
+    q["nrm10_networks"] = ly("SELECT packet_id FROM lay0 WHERE CAST(split_part(dst, '.', 1) AS INTEGER) BETWEEN 224 AND 239 AND protocol <> 'ARP'")
     q["nrm11"] = ly("SELECT packet_id, l4_key FROM lk")
     q["nrm12"] = ly("SELECT packet_id, pair_key FROM lk")
     q["nrm13"] = ly(f"SELECT packet_id, {_KEYS} FROM lk")
@@ -434,6 +445,10 @@ def oracles() -> dict[str, str]:
     q["flt1"] = ly(f"SELECT packet_id FROM lk WHERE src = '{T.HOST}' OR dst = '{T.HOST}'")
     q["flt2"] = pk("SELECT packet_id FROM p WHERE remote NOT IN (SELECT source FROM pot)")
     q["flt2_list"] = pk(f"SELECT packet_id FROM p WHERE remote NOT IN ('{C.ONE_SOURCE}', '10.0.0.6')")
+    q["flt2_networks"] = pk(f"""SELECT packet_id FROM p WHERE {_number('remote')} NOT BETWEEN {_ip(10, 0, 1, 0)} AND {_ip(10, 0, 1, 15)}
+        AND {_number('remote')} NOT BETWEEN {_ip(10, 0, 4, 0)} AND {_ip(10, 0, 4, 127)} AND remote <> '10.0.5.9'""")
+    q["flt2_network_table"] = pk(f"""SELECT packet_id FROM p
+        WHERE {_number('remote')} // 4 NOT IN (SELECT {_number('source')} // 4 FROM pot)""")
     found = (f"FROM p WHERE protocol IN ('TCP', 'UDP') AND regexp_matches(source_address, '{C.SEARCH['source']}') "
              f"AND destination_port = {C.SEARCH['destination_port']}")
     q["flt3"] = pk(f"SELECT packet_id, protocol, source_address {found}")
@@ -583,6 +598,13 @@ def oracles() -> dict[str, str]:
               FROM a JOIN ports ON ports.source = a.attacker WHERE ports.scanned OR a.attack_type = 'UDP')
         GROUP BY time, scan_type, attack_type, attacker, tools, chance, flow_key""")
     q["hpt1"] = vd("SELECT source, flow_key, verdict FROM h WHERE source IN (SELECT source FROM pot)")
+    q["hpt1_networks"] = vd(f"""SELECT h.source, flow_key, verdict, arg_min(network, (-bits, network)) AS network
+        FROM (SELECT *, row_number() OVER () AS rn FROM h) h JOIN (
+            SELECT DISTINCT source AS network, 32 AS bits, source FROM pot
+            UNION ALL SELECT DISTINCT source || '/29', 29, source FROM pot
+            UNION ALL SELECT DISTINCT regexp_replace(source, '[.][0-9]+$', '.0/24'), 24, source FROM pot) w
+        ON {_number('h.source')} >> (32 - bits) = {_number('w.source')} >> (32 - bits)
+        GROUP BY h.source, flow_key, verdict, rn""")
     q["hpt2"] = al(f"SELECT {shown} FROM net WHERE q19 AND remote IN (SELECT source FROM pot)")
 
     # reports
