@@ -19,7 +19,10 @@ the articles (or of main) is never passed over, nor is a form or a container tol
 only, unless of comments, that holds most of the text. Character references are
 decoded, white space in a block is one space, blocks are joined by a line break.
 
-The wrapper table is broadcast only below a checked size, else joined by a shuffle.
+What pages of one template share names a wrapper's elements: ids that tell no kind of block and
+classes with numbers are no part of it, so headings with their own ids are one repeated
+group and a wrapper grows with the template, not with the pages. The wrappers are broadcast
+once to each worker only below a checked size, else joined by a shuffle.
 
 Defined cases: null or empty html gives an empty text; broken markup is closed as
 browsers do (an open p ends at a block, an unknown end is ignored, a cut end closes all);
@@ -34,6 +37,8 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -45,6 +50,7 @@ from pyspark.sql import functions as F
 from flowwatch.llm.common import arrow_map, keep, ship
 
 DEEPEST = 60
+TABLE, REACH = 250_000, 64  # cells of an alignment table; how far a partner may be without one
 SEVERAL, MANY = 3, 8  # different pages that hold a fixed text; the same below article and main
 EMPTY: list = ["", 0, 0, [], "", 0, []]
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -55,7 +61,8 @@ TOKEN = re.compile(
     r"|([^<]+)|(<[a-zA-Z/!?][^>]*\Z)|(<)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: One attribute after the other, so that no value is taken for an attribute.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|[\"'=/]")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 "
@@ -74,16 +81,28 @@ DROP_WORDS = frozenset(
     "pagination popup promo promoted related replies respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+#: What a block is, if it is the last word of its class (`post-comments`, `google-ad`), but for words of layout.
+HEADS = frozenset(
+    "ad ads advert adverts advertisement adslot breadcrumb breadcrumbs comment comments disqus footer masthead nav navbar navigation "
+    "newsletter pagination replies respond sidebar signup sponsor sponsored subscribe toolbar".split()
+)
+LAYOUT_WORDS = frozenset(
+    "area body bottom box block card col column container content group holder inner item items left list lists main outer panel "
+    "region right row section slot thread top unit wrap wrapper zone".split()
+)
+#: A class with one of these says what is around an element, not what it is: `has-sidebar`.
+AROUND = frozenset("has have no not non with without show hide enable enabled disable disabled allow allows".split())
 #: What readers say may be longer than the text.
 TALK = frozenset("comment comments disqus replies respond".split())
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Element:
-    __slots__ = ("tag", "key", "kids", "deep", "mass")
+    __slots__ = ("tag", "key", "name", "kids", "deep", "mass")
 
     def __init__(self, tag: str, key: str):
         self.tag, self.key, self.kids = tag, key, []
+        self.name = general(key)  # what pages of one template share
         self.deep: dict[str, int] = {}  # open elements below the deepest level, by name
         self.mass = (0, 0, 0)  # characters of text: all, in articles, in main
 
@@ -140,7 +159,8 @@ def parse(page: str | None) -> Element:
         if attributes := (m.group(4) or m.group(7)):
             found = {}
             for name, a, b, c in ATTRIBUTE.findall(attributes):
-                found.setdefault(name.lower(), a or b or c)
+                if name.lower() in ("class", "id", "role"):
+                    found.setdefault(name.lower(), a or b or c)
             if found:
                 key += "".join(f" {n}={re.sub(r'[0-9]+', '0', found[n])}" for n in sorted(found))
         node = Element(tag, key)
@@ -183,7 +203,22 @@ def wrapper(node: Element, mark: str = "") -> list:
                 kids.append(["#", 0, 0, [], xxhash.xxh64_hexdigest(text), 1, [mark]])
         else:
             kids.append(wrapper(kid, mark))
-    return [node.key, 0, 0, fold(kids), "", 0, []]
+    return [node.name, 0, 0, fold(kids), "", 0, []]
+
+
+@lru_cache(1 << 14)
+def general(key: str) -> str:
+    """A key without what differs from page to page of one template: ids that name no kind of
+    block, and classes with numbers."""
+    tag, _, rest = key.partition(" ")
+    out = tag
+    for name, value in re.findall(r"(class|id|role)=((?:(?! class=| id=| role=).)*)", rest, re.S):
+        kept = [t for t in value.split() if "0" not in t]
+        if name == "id":
+            kept = [t for t in kept if any(w in DROP_WORDS for w in spelled(t))]
+        if kept:
+            out += f" {name}={' '.join(kept)}"
+    return out
 
 
 def names(nodes: list) -> tuple:
@@ -232,23 +267,96 @@ def align(a: list, b: list, same: bool = False) -> list:
     x, y = names(a), names(b)
     if x == y:
         return [merge(p, q, same) for p, q in zip(a, b, strict=True)]
-    n, m = len(a), len(b)
+    out, i, j = [], 0, 0
+    for p, q in common(x, y):
+        out += [[k[0], 1, *k[2:]] for k in a[i:p] + b[j:q]]
+        out.append(merge(a[p], b[q], same))
+        i, j = p + 1, q + 1
+    return fold(out + [[k[0], 1, *k[2:]] for k in a[i:] + b[j:]])
+
+
+def common(x: tuple, y: tuple) -> list[tuple[int, int]]:
+    """Places of a common subsequence: the longest one for streams of up to TABLE cells, else
+    the longest one of what occurs once on either side, and between these again; a stretch
+    without such an anchor takes each token's next partner. Space and time stay near-linear."""
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and x[i] == y[j]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and x[n - 1] == y[m - 1]:
+            n, m = n - 1, m - 1
+            found.append((n, m))
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) <= TABLE:
+            found += longest(x, y, i, n, j, m)
+        elif anchors := unique_anchors(x, y, i, n, j, m):
+            for p, q in [*anchors, (n, m)]:
+                todo.append((i, p, j, q))
+                i, j = p + 1, q + 1
+            found += anchors
+        else:
+            found += next_partners(x, y, i, n, j, m)
+    return sorted(found)
+
+
+def next_partners(x: tuple, y: tuple, i: int, n: int, j: int, m: int) -> list[tuple[int, int]]:
+    where: dict = {}
+    for q in range(m - 1, j - 1, -1):
+        where.setdefault(y[q], []).append(q)
+    found = []
+    for p in range(i, n):
+        ahead = where.get(x[p], [])
+        while ahead and ahead[-1] < j:
+            ahead.pop()
+        if ahead and ahead[-1] - j <= REACH:  # a partner far away would cost all between
+            found.append((p, ahead[-1]))
+            j = ahead[-1] + 1
+    return found
+
+
+def unique_anchors(x: tuple, y: tuple, i: int, n: int, j: int, m: int) -> list[tuple[int, int]]:
+    """The longest rising run of tokens that occur once on either side."""
+    left, right = Counter(x[i:n]), Counter(y[j:m])
+    at = {y[q]: q for q in range(j, m) if right[y[q]] == 1}
+    pairs = [(p, at[x[p]]) for p in range(i, n) if left[x[p]] == 1 and x[p] in at]
+    ends: list[int] = []
+    tops: list[int] = []
+    back: list[int] = []
+    for k, (_, q) in enumerate(pairs):
+        place = bisect_left(ends, q)
+        back.append(tops[place - 1] if place else -1)
+        ends[place : place + 1] = [q]
+        tops[place : place + 1] = [k]
+    out = []
+    k = tops[-1] if tops else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
+def longest(x: tuple, y: tuple, i: int, n: int, j: int, m: int) -> list[tuple[int, int]]:
+    """The longest common subsequence of two short stretches."""
+    x, y, left, right = x[i:n], y[j:m], i, j
+    n, m = len(x), len(y)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and x[i] == y[j]:
-            out.append(merge(a[i], b[j], same))
+    found, i, j = [], 0, 0
+    while i < n and j < m:
+        if x[i] == y[j]:
+            found.append((left + i, right + j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], 1, *a[i][2:]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([b[j][0], 1, *b[j][2:]])
             j += 1
-    return fold(out)
+    return found
 
 
 @lru_cache(1 << 14)
@@ -256,28 +364,52 @@ def dropped(key: str, tag: str, inside: bool) -> bool:
     """Whether an element of this key is no main text. Headers of an article are.
 
     A class or id counts where all its words do: `sidebar` and `cookieNotice`, not
-    `has-sidebar` or `related-work`. A notice in an article may belong to it."""
+    `related-work`; that of a block also where its head does: `post-comments`, `google-ad`
+    and `comment-list`, not `has-sidebar`. A notice in an article may belong to it."""
     if tag in DROP_TAGS or tag == "header" and not inside:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    for words in tokens(key):
+    for ordered in tokens(key):
+        words = frozenset(ordered)
+        if tag in BLOCK and heads(ordered):
+            return True
         if words <= DROP_WORDS and not (inside and words <= {"notice", "notices"}) or not inside and words == {"header"}:
             return True
     return False
 
 
-def tokens(key: str) -> list[frozenset[str]]:
+def heads(words: tuple[str, ...]) -> bool:
+    """Whether the last word that is none of layout names what is no main text."""
+    if AROUND & {*words}:
+        return False
+    for word in reversed(words):
+        if word not in LAYOUT_WORDS:
+            return word in HEADS
+    return False
+
+
+@lru_cache(1 << 14)
+def spelled(token: str) -> tuple[str, ...]:
+    """The words of one class or id in small letters; `commentlist` is comment and list."""
+    out: list[str] = []
+    for word in _WORDS.findall(token):
+        word = word.lower()
+        cut = next((k for k in range(2, len(word) - 1) if word not in DROP_WORDS and word[:k] in HEADS and word[k:] in LAYOUT_WORDS), 0)
+        out += [word[:cut], word[cut:]] if cut else [word]
+    return tuple(out)
+
+
+def tokens(key: str) -> list[tuple[str, ...]]:
     """The words of each class, id and role of a key; numbers count for nothing."""
-    values = re.findall(r"(?:class|id|role)=((?:(?! class=| id=| role=).)*)", key.partition(" ")[2])
-    found = [frozenset(w.lower() for w in _WORDS.findall(t)) for v in values for t in v.split()]
-    return [words for words in found if words]
+    values = re.findall(r"(?:class|id|role)=((?:(?! class=| id=| role=).)*)", key.partition(" ")[2], re.S)
+    return [words for v in values for t in v.split() if (words := spelled(t))]
 
 
 @lru_cache(1 << 14)
 def layout(key: str, tag: str) -> bool:
     """Whether a dropped element may be a mere container, if most of the text is in it."""
-    return (tag == "form" or tag not in DROP_TAGS and tag != "header") and not any(w & TALK for w in tokens(key))
+    return (tag == "form" or tag not in DROP_TAGS and tag != "header") and not any(TALK & {*w} for w in tokens(key))
 
 
 def expression(node: list) -> str:
@@ -357,7 +489,7 @@ class Reader:
             if kid.tag == "br":
                 line[1] += " "
                 continue
-            deeper = below.get(kid.key) or EMPTY
+            deeper = below.get(kid.name) or EMPTY
             in_drop, out_drop = dropped(kid.key, kid.tag, True), dropped(kid.key, kid.tag, False)
             if (in_drop if inside and place else out_drop) and not holds(kid, whole, inside, place):
                 if kid.tag in BLOCK:
@@ -443,22 +575,32 @@ def main_texts(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
         F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"),
     )
-    joined = rows.join(F.broadcast(wrappers) if size <= bound else wrappers, "host", "left")
-    joined = joined.select("id", "url", "html", "host", "wrapper", F.col("pages").alias("n_pages"))
+    if size <= bound:  # every wrapper goes once to each worker
+        found = {r["host"]: (r["wrapper"], r["pages"]) for r in wrappers.collect()}
+        shared = pages.sparkSession.sparkContext.broadcast(found)
+        joined = rows.select("id", "url", "html", "host")
+    else:
+        shared = None
+        joined = rows.join(wrappers.select("host", "wrapper", F.col("pages").alias("n_pages")), "host", "left")
+        joined = joined.select("id", "url", "html", "host", "wrapper", "n_pages")
 
-    def read(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         readers: dict[str, Reader] = {}
-        texts = []
-        for page, name, root, n in zip(*(batch.column(i) for i in (2, 3, 4, 5)), strict=True):
-            key = name.as_py()
-            if key not in readers:
-                readers[key] = Reader(json.loads(root.as_py() or json.dumps(EMPTY)), n.as_py() or 0)
-            texts.append(readers[key].text(parse(page.as_py())))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
-            names=["id", "url", "text", "n_chars"],
-        )
+        for batch in batches:
+            texts = []
+            for i, (page, name) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                key = name.as_py()
+                if key not in readers:
+                    if len(readers) >= 256:  # wrappers that stay open
+                        readers.clear()
+                    root, n = shared.value.get(key, (None, 0)) if shared else (batch.column(4)[i].as_py(), batch.column(5)[i].as_py())
+                    readers[key] = Reader(json.loads(root or json.dumps(EMPTY)), n or 0)
+                texts.append(readers[key].text(parse(page.as_py())))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
+                names=["id", "url", "text", "n_chars"],
+            )
 
     kind = pages.schema[id_col].dataType.simpleString()
-    out = arrow_map(joined, read, f"id {kind}, url string, text string, n_chars long")
+    out = joined.mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

@@ -1,8 +1,12 @@
 """Wrappers on hand-made pages, and main texts against the standard library's parser."""
 
+import json
+import random
+import time
 from html.parser import HTMLParser
 
-from flowwatch.llm.wrappers import EMPTY, Reader, align, expression, host_wrappers, main_texts, merge, parse, wrapper
+from flowwatch.llm import wrappers
+from flowwatch.llm.wrappers import EMPTY, Reader, align, common, expression, host_wrappers, main_texts, merge, parse, wrapper
 
 PAGE = """<!DOCTYPE html><html><head><title>t &am</title><script>var a = "<p>no</p>";</script></head><body class="header-page">
 <header><h1>Site</h1></header><nav><ul><li><a>x</a></li><li><a>y</a></li></ul></nav><div class="ad-slot ad">buy</div>
@@ -136,3 +140,69 @@ def test_hot_host_keeps_one_wrapper(spark):
     found = host_wrappers(spark.createDataFrame(rows, "url string, html string").repartition(9)).collect()
     assert {(r.host, r.pages) for r in found} == {("h.example", 400), ("g.example", 1)}
     assert Reader  # used by the queries above
+
+
+def plain_text(page):
+    return Reader(EMPTY, 0).text(parse(page))
+
+
+def test_attributes_are_read_one_by_one():
+    page = """<article><p>one</p><p data-id="share">two</p><div data-role="dialog">three</div><p title="set class=ad here">four</p>
+    <p>five <a title="the id=sidebar trick">six</a></p><p title='x' class = "ad">no</p><p CLASS=ad>no</p><p class='a' class=ad>seven</p></article>"""
+    assert plain_text(page) == "one\ntwo\nthree\nfour\nfive six\nseven"
+
+
+def test_head_word_of_a_class_decides():
+    out = ["comment-list", "ad-1", "post-comments", "commentlist", "google-ad", "sidebar-left", "comment-body", "postComments", "site_footer"]
+    kept = ["has-sidebar", "no-sidebar", "related-work", "comments-open", "with-comments", "adapter", "advice", "job-search", "shareholder"]
+    for name in out:
+        assert plain_text(f"<article><p>the text</p><div class='{name}'><p>x</p></div></article>") == "the text", name
+    for name in kept:
+        assert plain_text(f"<article><p>the text</p><div class='{name}'><p>x</p></div></article>") == "the text\nx", name
+    # a heading within a line of code keeps its highlighted comment
+    assert plain_text("<article><pre>a <span class='hljs-comment'># why</span></pre></article>") == "a # why"
+    # comments may be longer than the text, a container of most of the text may bear any name but theirs
+    assert plain_text("<body><p>text</p><ol class='comment-list'><li>" + "said " * 50 + "</ol></body>") == "text"
+    assert plain_text("<body><div class='content-sidebar-wrap'><p>all of the text</p></div><p>end</p></body>") == "all of the text\nend"
+
+
+def test_wrapper_grows_with_the_template_not_the_pages():
+    def merged(n):
+        root = None
+        for i in range(n):
+            heads = "".join(f"<h2 id='about-{'abcdefghij'[k % 10] * (1 + k // 10)}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x{i}'>h{i} {k}</h2><p>p{i} {k}</p>" for k in range(20))
+            page = wrapper(parse(f"<body><article class='post-{i} text'>{heads}</article></body>"), str(i))
+            root = merge(root, page) if root else page
+        return len(json.dumps(root))
+
+    began = time.monotonic()
+    small = merged(50)
+    first = time.monotonic() - began
+    assert merged(2000) <= small + 400
+    assert time.monotonic() - began < 41 * first * 3 + 10
+
+
+def test_alignment():
+    rng = random.Random(6)
+    for _ in range(200):
+        x, y = (tuple(rng.choices("abcde", k=rng.randrange(12))) for _ in "xy")
+        exact = common(x, y)
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+        assert len(exact) == best[-1][-1]
+        for pairs in (exact, shortcut(x, y)):
+            assert all(x[p] == y[q] for p, q in pairs)
+            assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+    x = tuple(f"k{i}" for i in range(20_000))
+    assert len(common(x[::2] + ("z",) * 5, x)) == 10_000
+    assert shortcut(tuple("abab") * 5000, tuple("ba") * 10_000)
+
+
+def shortcut(x, y):
+    table, wrappers.TABLE = wrappers.TABLE, 0
+    try:
+        return common(x, y)
+    finally:
+        wrappers.TABLE = table
