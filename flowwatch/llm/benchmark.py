@@ -7,9 +7,11 @@ joined by single spaces, are scanned once; ends of matches become word numbers,
 numbers become places in the original text.
 
 The window table is broadcast while it is below `bound` bytes, which is checked (an automaton
-takes some 40 times that in a worker). Above
-that, windows are dealt by hash into shards below the bound; every document meets every
-shard (a stated query set against all rows, in blocks) and the hits are united per text.
+takes some 40 times that in a worker). Above that, windows are dealt by hash into shards below
+the bound, and every text meets every shard in tasks of that shard alone (a stated query set
+against all rows, in blocks): a worker goes through the shards one after the other and builds
+each automaton once. Only texts with a hit leave these tasks, as the hash of the text with
+its runs, once for all copies; the shards' runs are united and joined to the rows.
 
 Defined cases: null text has no word, no hit; an item without words has no window; items
 with equal text both count; an item without id marks words and is not listed; repeated
@@ -22,6 +24,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -137,15 +140,60 @@ def contamination(
         T.StructField("n_words", T.LongType()), T.StructField("runs", pair), T.StructField("spans", pair),
         T.StructField("items", T.ArrayType(T.StringType())),
     ])
-    others = [c for c in docs.columns if c != "hits"]
-    out = docs.select(*others)
-    for shard in range(shards):
-        part = table if shards == 1 else table.where(F.pmod(F.hash("win"), F.lit(shards)) == shard)
-        shared = spark.sparkContext.broadcast([(bytes(r.win), r.ids) for r in part.collect()])
-        hits = find(shared, f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex}", kind)(F.col(text_col))
-        out = out.withColumn("hits", unite(kind)(F.col("hits"), hits, F.col(text_col)) if shard else hits)
+    plain = docs.select(*[c for c in docs.columns if c != "hits"])
+    parts = [table if shards == 1 else table.where(F.pmod(F.hash("win"), F.lit(shards)) == n) for n in range(shards)]
+    shared = [spark.sparkContext.broadcast([(bytes(r.win), r.ids) for r in part.collect()]) for part in parts]
     table.unpersist()
-    return out
+    key = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    if shards == 1:
+        return plain.withColumn("hits", find(shared[0], key, kind)(F.col(text_col)))
+    sha = F.sha2(F.col(text_col).cast("binary"), 256)
+    texts = plain.where(F.col(text_col).isNotNull()).select(sha.alias("sha"), F.col(text_col).alias("text"))
+    runs = "array<struct<start:long,end:long>>"
+    found = [
+        texts.mapInArrow(hit_texts(part, f"{key}-{n}"), f"sha string, runs {runs}, items array<string>")
+        .groupBy("sha").agg(F.first("runs").alias("runs"), F.first("items").alias("items"))  # copies are hit alike
+        for n, part in enumerate(shared)
+    ]
+    united = (
+        reduce(DataFrame.unionByName, found).groupBy("sha")  # as many rows as shards at most
+        .agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+        .select(F.struct("sha", "runs", "items").alias("hits"))
+    )
+    joined = plain.join(united, sha == F.col("hits.sha"), "left")
+    return joined.withColumn("hits", whole(kind)(F.col(text_col), F.col("hits.runs"), F.col("hits.items")))
+
+
+def built_once(shared, key: str):
+    """The automaton of a broadcast window table; a worker keeps one or two."""
+    if key not in _AUTOMATA:
+        if len(_AUTOMATA) > 1:
+            _AUTOMATA.clear()
+        _AUTOMATA[key] = automaton(shared.value)
+    return _AUTOMATA[key]
+
+
+def hit_texts(shared, key: str):
+    """Arrow function: (sha, text) to (sha, runs, items) of the texts that the shard hits."""
+    pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        built = None
+        for batch in batches:
+            built = built or built_once(shared, key)
+            shas, runs, items = [], [], []
+            for sha, text in zip(batch.column(0), batch.column(1), strict=True):
+                _, at, ids = scan(built, text.as_py())
+                if at:
+                    shas.append(sha.as_py())
+                    runs.append([{"start": a, "end": b} for a, b in at])
+                    items.append(sorted(ids))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shas, pa.string()), pa.array(runs, pairs), pa.array(items, pa.list_(pa.string()))],
+                names=["sha", "runs", "items"],
+            )
+
+    return run
 
 
 def find(shared, key: str, kind: T.StructType):
@@ -154,11 +202,7 @@ def find(shared, key: str, kind: T.StructType):
 
     @arrow_udf(kind)
     def run(text: pa.Array) -> pa.Array:
-        built = _AUTOMATA.get(key)
-        if built is None:
-            if len(_AUTOMATA) > 1:
-                _AUTOMATA.clear()
-            built = _AUTOMATA[key] = automaton(shared.value)
+        built = built_once(shared, key)
         out = []
         for value in text:
             t = value.as_py()
@@ -173,24 +217,25 @@ def find(shared, key: str, kind: T.StructType):
     return run
 
 
-def unite(kind: T.StructType):
-    """Column function: the union of two hit structs of the same text."""
+def whole(kind: T.StructType):
+    """Column function: the hit struct of a text from all shards' runs and items."""
     store = to_arrow_type(kind)
 
     @arrow_udf(kind)
-    def run(left: pa.Array, right: pa.Array, text: pa.Array) -> pa.Array:
+    def run(text: pa.Array, found: pa.Array, items: pa.Array) -> pa.Array:
         out = []
-        for a, b, t in zip(left.to_pylist(), right.to_pylist(), text, strict=True):
+        for t, of_shards, ids in zip(text, found, items, strict=True):
             runs: list[tuple[int, int]] = []
-            for x in sorted((r["start"], r["end"]) for r in a["runs"] + b["runs"]):
+            for x in sorted((r["start"], r["end"]) for r in of_shards.as_py() or []):
                 if runs and x[0] <= runs[-1][1]:
                     runs[-1] = (runs[-1][0], max(runs[-1][1], x[1]))
                 else:
                     runs.append(x)
-            spans = places(t.as_py(), runs) if runs else []
+            t = t.as_py()
             out.append({
-                "n_words": a["n_words"], "runs": [{"start": s, "end": e} for s, e in runs],
-                "spans": [{"start": s, "end": e} for s, e in spans], "items": sorted({*a["items"], *b["items"]}),
+                "n_words": len(words(t)), "runs": [{"start": a, "end": b} for a, b in runs],
+                "spans": [{"start": a, "end": b} for a, b in places(t, runs)] if runs else [],
+                "items": sorted({*(ids.as_py() or [])}),
             })
         return pa.array(out, store)
 

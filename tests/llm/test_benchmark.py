@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from llm_rows import same_as_sql
 
 from flowwatch.llm.benchmark import contamination, digest
+from flowwatch.llm.benchmark import hit_texts as PLAIN_HIT_TEXTS
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -59,6 +60,40 @@ def test_brute_force(spark):
             assert len(WORD.findall(fold(r.text[s.start : s.end]))) == run.end - run.start
 
 
+def test_shards_are_built_once_per_worker(spark, tmp_path, monkeypatch):
+    """Five or more shards and batches of ten rows: no worker builds an automaton twice."""
+    from flowwatch.llm import benchmark
+
+    log = str(tmp_path)
+    docs, items = data()
+    d = spark.createDataFrame([(i, t) for i, t in docs * 6], "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(benchmark, "hit_texts", lambda shared, key: _logged(shared, key, log))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = sorted(map(tuple, digest(contamination(d, b, width=4, bound=400)).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(brute(docs, items, 4) * 6, key=str)
+    counts = {name: os.path.getsize(os.path.join(log, name)) for name in os.listdir(log)}
+    assert len({name.split("-")[1] for name in counts}) >= 5 and set(counts.values()) == {1}
+
+
+def _logged(shared, key, log):
+    """`hit_texts` that writes down which worker builds which shard."""
+    plain = PLAIN_HIT_TEXTS(shared, key)
+
+    def run(batches):
+        from flowwatch.llm import benchmark
+
+        if key not in benchmark._AUTOMATA:
+            with open(os.path.join(log, f"{os.getpid()}-{key[-12:].replace('-', '_')}"), "a") as f:
+                f.write("x")
+        yield from plain(batches)
+
+    return run
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
