@@ -141,15 +141,15 @@ def as_of(history: DataFrame, rules: Rules = Rules(), partitions: int | None = N
         F.count(F.when(F.col("m.kind") == kind, 1)).alias(f"d_{kind}") for kind in _COUNTS[:4]
     ])
     # a mark lies on exactly one verdict row: the one that made it
-    marked = history.join(
-        marks.select("source", *[F.col("at")[c].alias(c) for c in _WHEN], *[f"d_{k}" for k in _COUNTS[:4]]),
+    marked = skew.join_on(
+        history, marks.select("source", *[F.col("at")[c].alias(c) for c in _WHEN], *[f"d_{k}" for k in _COUNTS[:4]]),
         ["source", *_WHEN], "left",
     )
     steps = {k: F.coalesce(f"d_{k}", F.lit(0)) for k in _COUNTS[:4]}
     steps["open_packets"] = F.when(_is(V.OPEN_PORT_LABELS), F.col("n_packets")).otherwise(0)
     running = skew.prefix_sums(marked, ["source"], _WHEN, steps, partitions).drop(*[f"d_{k}" for k in _COUNTS[:4]])
     scored = running.where(_is(SCORED))
-    joined = skew.lookup(scored, firsts, ["source"])
+    joined = skew.join_on(scored, firsts, ["source"])
     happened = {
         name: F.coalesce(F.col(f"_{name}") <= _moment(), F.lit(False))
         for name in ("initiated", "sent", "not_sent", "after_open")

@@ -263,12 +263,21 @@ def assemble(
 def session_facts(
     member_rows: DataFrame, gap_us: int, *, hot: str = "auto", bound: int = 100_000, counted: DataFrame | None = None
 ) -> DataFrame:
-    """Facts of every session of a flow, numbered by `session`: the next packet is more than the gap away."""
+    """Facts of every session of a flow, numbered by `session`: the next packet is more than the gap away.
+
+    A flow has at most as many buckets as its pair has packets: where no pair has more
+    than `bound`, the sessions are one window per flow, else they are found in slices.
+    """
     # packets of one bucket are closer than the gap, so a bucket never splits;
     # sessions are then found over one row per flow and bucket
     bucketed = member_rows.withColumn("_bucket", F.floor(F.col("timestamp") / gap_us))
+    if hot == "auto" and skew.heavy_groups(member_rows if counted is None else counted, ["flow_key", "pair_key"], bound) == []:
+        hot = "none"
     parts = facts(bucketed, [*KEYS, "_bucket"], hot=hot, bound=bound, counted=counted)
-    return merge_facts(in_sessions(parts, gap_us), [*KEYS, "session"])
+    if hot == "none":
+        return merge_facts(in_sessions(parts, gap_us), [*KEYS, "session"])
+    slices = merge_facts(sliced_sessions(parts, gap_us), [*KEYS, "session", "_slice"])
+    return merge_facts(slices, [*KEYS, "session"])
 
 
 def in_sessions(parts: DataFrame, gap_us: int) -> DataFrame:
@@ -284,6 +293,30 @@ def in_sessions(parts: DataFrame, gap_us: int) -> DataFrame:
     return numbered.withColumn("tangled", F.max("_early").over(W.partitionBy(*KEYS, "session"))).drop("_starts", "_early")
 
 
+def sliced_sessions(parts: DataFrame, gap_us: int, partitions: int | None = None) -> DataFrame:
+    """Parts of flows with the number of their session and of their slice, for flows of any number of parts.
+
+    The parts are cut into ranges of flow and time. What a slice says to later ones is
+    associative: the latest packet it has seen, and how many sessions begin in it. Both are
+    carried over one row per flow and slice, so no window holds more than a slice.
+    """
+    placed = parts.withColumns({"_ts": F.col("first.timestamp"), "_id": F.col("first.packet_id")})
+    cut = skew.range_slices(placed, [*KEYS, "_ts", "_id"], partitions)
+    by = [*KEYS, "_slice"]
+    inside = W.partitionBy(*by).orderBy("_ts", "_id")
+    earlier = W.partitionBy(*KEYS).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    ends = cut.groupBy(*by).agg(F.max("last.timestamp").alias("_end"))
+    ends = ends.select(*by, F.max("_end").over(earlier).alias("_carried"))
+    before = F.greatest(F.max("last.timestamp").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.col("_carried"))
+    opened = skew.join_on(cut, ends, by).withColumn("_before", before).withColumn(
+        "_starts", F.coalesce(F.col("_ts") - F.col("_before") > gap_us, F.lit(False)).cast("int"))
+    sums = opened.groupBy(*by).agg(F.sum("_starts").alias("_opened"))
+    sums = sums.select(*by, F.coalesce(F.sum("_opened").over(earlier), F.lit(0)).alias("_offset"))
+    number = F.sum("_starts").over(inside.rowsBetween(W.unboundedPreceding, 0)) + F.col("_offset")
+    numbered = skew.join_on(opened, sums, by).withColumn("session", number)
+    return numbered.drop("_ts", "_id", "_carried", "_before", "_starts", "_offset")
+
+
 def coarse_groups(packets: DataFrame) -> DataFrame:
     """Groups by (flow_key, l4_key) only: packet count and time span."""
     return packets.groupBy("flow_key", "l4_key").agg(

@@ -2,6 +2,8 @@
 
 `heavy_groups`   finds the groups above a row bound, at a bounded size.
 `lookup`         joins a fact table to a per-key dimension.
+`join_on`        the same with null keys equal to each other.
+`range_slices`   a table cut into numbered ranges, kept, to be read several times.
 `prefix_sums`    running sums per key, split over range partitions.
 """
 
@@ -41,26 +43,40 @@ def lookup(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner")
     return facts.join(dim, on, how)
 
 
+def join_on(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join by key in which a null key equals a null key, as in a grouping."""
+    renamed = other.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    test = F.lit(True)
+    for c in on:
+        test = test & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return rows.join(renamed, test, how).drop(*[f"_on_{c}" for c in on])
+
+
+def range_slices(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
+    """The rows range-partitioned by `order`, with the number of their range in `_slice`.
+
+    A hot key is cut into many ranges if `order` goes on behind it. The ranges are
+    checkpointed, because a second reading must find the same numbers.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    ranged = df.repartitionByRange(partitions or shuffle_width(df), *order)
+    return ranged.withColumn("_slice", F.spark_partition_id()).checkpoint()
+
+
 def prefix_sums(
     df: DataFrame, part: list[str], order: list[str], sums: dict[str, Column], partitions: int | None = None
 ) -> DataFrame:
     """Inclusive running sums over `part` in the order of `order`, which must be
     unique per row within `part`.
 
-    The rows are range-partitioned by (part, order), so a hot key is cut into
-    many slices. The slices are checkpointed because their numbers are used
-    twice: for the sums inside a slice and for the sums of the slices before it.
+    The numbers of the slices are used twice: for the sums inside a slice and for
+    the sums of the slices before it. Null keys are a key of their own.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     values = df.withColumns({f"_v_{name}": c.cast("long") for name, c in sums.items()})
-    cut = (
-        values.repartitionByRange(partitions or shuffle_width(df), *part, *order)
-        .withColumn("_slice", F.spark_partition_id())
-        .checkpoint()
-    )
+    cut = range_slices(values, [*part, *order], partitions)
     here = W.partitionBy(*part, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*part) if part else W.partitionBy(F.lit(0))
     before = before.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
@@ -73,7 +89,7 @@ def prefix_sums(
             *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums],
         )
     )
-    joined = inside.join(offsets, [*part, "_slice"])
+    joined = join_on(inside, offsets, [*part, "_slice"])
     return joined.select(
         *[c for c in df.columns if c not in sums],
         *[(F.col(name) + F.col(f"_o_{name}")).alias(name) for name in sums],
