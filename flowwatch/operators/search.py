@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowwatch import fixed_values as V
-from flowwatch.operators import networks, skew
+from flowwatch.operators import layout, networks, skew
 from flowwatch.sources.packets import bucket_of
 
 PAGE_SIZE = 20
@@ -56,15 +56,18 @@ def find(
     packets: DataFrame, protocols: str | list[str] = "", source: str = "", destination: str = "",
     source_port=None, destination_port=None, length=None,
 ) -> DataFrame:
-    """Packets that match every given condition; addresses are regular expressions."""
+    """Packets that match every given condition; addresses are regular expressions.
+
+    What an anchored expression begins with is a test of its own, which skips files of a
+    table that `layout.write_clustered` wrote.
+    """
     names = protocols.split(",") if isinstance(protocols, str) else list(protocols)
     if names == [""]:
         names = V.PROTOCOLS
     test = F.col("protocol").isin(names)
-    if source:
-        test = test & F.col("source_address").rlike(source)
-    if destination:
-        test = test & F.col("destination_address").rlike(destination)
+    for column, pattern in [("source_address", source), ("destination_address", destination)]:
+        if pattern:
+            test = test & layout.starts(column, pattern) & F.col(column).rlike(pattern)
     for column, value in [("source_port", source_port), ("destination_port", destination_port), ("length", length)]:
         number = _wanted(value)
         if number is not None:

@@ -16,6 +16,7 @@ from flowwatch.functions import scores as SC
 from flowwatch.operators import alerts as AL
 from flowwatch.operators import features as FE
 from flowwatch.operators import flows as FL
+from flowwatch.operators import layout as LY
 from flowwatch.operators import model as MO
 from flowwatch.operators import networks as NW
 from flowwatch.operators import normalize as NO
@@ -279,6 +280,14 @@ def _(spark, d):
     return SE.find(T.packets(spark, d), **SEARCH).select("packet_id", "protocol", "source_address")
 
 
+@query("flt3_layout")
+def _(spark, d):
+    """The same search on a table whose files hold near rows."""
+    path = scratch_path(spark, "laid-out")
+    LY.write_clustered(T.packets(spark, d), path)
+    return SE.find(spark.read.parquet(path), **SEARCH).select("packet_id", "protocol", "source_address")
+
+
 @query("flt4")
 def _(spark, d):
     return SE.page(SE.find(T.packets(spark, d), **SEARCH), 3).select("packet_id", "timestamp")

@@ -452,6 +452,7 @@ def oracles() -> dict[str, str]:
     found = (f"FROM p WHERE protocol IN ('TCP', 'UDP') AND regexp_matches(source_address, '{C.SEARCH['source']}') "
              f"AND destination_port = {C.SEARCH['destination_port']}")
     q["flt3"] = pk(f"SELECT packet_id, protocol, source_address {found}")
+    q["flt3_layout"] = q["flt3"]
     q["flt4"] = pk(f"SELECT packet_id, timestamp {found} ORDER BY timestamp, packet_id LIMIT 20 OFFSET 40")
     q["flt5"] = pk(f"SELECT count(*) AS n_packets, CAST(ceil(count(*) / 20.0) AS BIGINT) AS n_pages {found}")
     q["flt6"] = vd("SELECT packet_id FROM p SEMI JOIN (SELECT * FROM v WHERE verdict = 'PortClosed') w "
