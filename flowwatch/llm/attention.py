@@ -131,7 +131,8 @@ def block_schema(id_type: T.DataType) -> T.StructType:
 def packed(ids: pa.Array, text: pa.Array, held: np.ndarray, vocabulary: Vocabulary, buckets: int) -> dict:
     """One block: word numbers of all texts (`at`), and by word, in the order of its bucket:
     hash, count in training texts, subword ids. `bound` has the first word of each bucket."""
-    words = pc.ascii_split_whitespace(pc.ascii_lower(text.cast(pa.large_binary()).fill_null(b"").cast(pa.large_string(), safe=False)))
+    # `text` is a slice: lowered before it is cast, as Arrow lowers the wrong bytes of a slice of a large type
+    words = pc.ascii_split_whitespace(pc.ascii_lower(text.fill_null("")).cast(pa.large_string()))
     flat = words.flatten()
     real = np.asarray(pc.greater(pc.binary_length(flat), 0))
     size = np.diff(np.asarray(words.offsets))

@@ -132,6 +132,19 @@ def test_defined_cases(spark, monkeypatch):
     assert alone and all(r.train_tokens == 0 and r.base_score == 0 and r.n_known == 0 for r in alone)
 
 
+def test_packed_slices():
+    """A slice of a batch without nulls gives what a copy of it gives."""
+    import pyarrow as pa
+
+    texts = ["First Text " * 3, "a Second one, LONGER", "and The third", "É last"]
+    words = A.Vocabulary.of(LINES)
+    for a in range(len(texts)):
+        ids, held = pa.array(range(len(texts) - a)), np.zeros(len(texts) - a, bool)
+        got = A.packed(ids, pa.array(texts, pa.string())[a:], held, words, 3)
+        assert got == A.packed(ids, pa.array(texts[a:], pa.string()), held, words, 3)
+        assert got["n_words"] == [len(words_of(t)) - 1 for t in texts[a:]]
+
+
 def test_query(spark):
     from flowwatch.llm.queries import QUERIES
 
