@@ -9,6 +9,7 @@ from flowwatch.operators import flows as FL
 from flowwatch.operators import search as SE
 from flowwatch.operators import skew
 from flowwatch.schema import HISTORY
+from conftest import SMALL
 from rows import packet, table
 
 COMPARED = [*FL.KEYS, "n_packets", "protocol", "remote", "host_port", "first_ts", "last_ts", "short_path", *FL.SEEN]
@@ -121,3 +122,14 @@ def test_features_by_hand(spark):
     for r in seen:
         until = [x for x in rows if x[0] == r["source"] and (x[7], x[1]) <= (r["verdict_ts"], r["flow_key"])]
         assert tuple(r[n] for n in NAMES) == _by_hand(until)
+
+
+def test_no_stage_is_left_to_the_interpreter(spark):
+    """HotSpot compiles no method above 8000 bytes; the rules of a packet make one of 40 000."""
+    from flowwatch.plans import catalog
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    for name in ("nrm8", "vrd1"):
+        rows = catalog.QUERIES[name](spark, SMALL)
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+        assert rows.count() > 0
