@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowwatch import fixed_values as V
 from flowwatch.operators import layout, networks, skew
+from flowwatch.session import scratch_path
 from flowwatch.sources.packets import bucket_of
 
 PAGE_SIZE = 20
@@ -26,9 +27,7 @@ def not_ignored(packets: DataFrame, ignored: list[str] | DataFrame) -> DataFrame
     addresses = ignored.toDF("address").distinct()
     kept = packets
     for side in ("source_address", "destination_address"):
-        kept = skew.lookup(
-            kept, addresses.withColumnRenamed("address", side), [side], how="left_anti"
-        )
+        kept = skew.lookup_spread(kept, addresses.withColumnRenamed("address", side), side, _ORDER, counted=packets)
     return kept
 
 
@@ -39,8 +38,9 @@ def outside(packets: DataFrame, ignored: list[str] | DataFrame) -> DataFrame:
         return packets.where(~sides)
     column = ignored.columns[0]
     both = packets.select(F.explode(F.array("source_address", "destination_address")).alias("address"))
-    listed = networks.matches(both, "address", ignored, column).select("address").distinct()
-    return not_ignored(packets, listed)
+    path = scratch_path(packets.sparkSession, "listed")  # read several times, and short beside the packets
+    networks.matches(both, "address", ignored, column).select("address").distinct().write.parquet(path)
+    return not_ignored(packets, packets.sparkSession.read.parquet(path))
 
 
 def _wanted(value) -> int | None:

@@ -1,6 +1,7 @@
 """Helpers that keep one hot key from landing in one task.
 
 `heavy_groups`   finds the groups above a row bound, at a bounded size.
+`lookup_spread`  drops the facts whose key is in a dimension, hot keys in even parts.
 `lookup`         joins a fact table to a per-key dimension.
 `join_on`        the same with null keys equal to each other.
 `range_slices`   a table cut into numbered ranges, kept, to be read several times.
@@ -43,6 +44,30 @@ def lookup(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner")
     return facts.join(dim, on, how)
 
 
+def lookup_spread(facts: DataFrame, dim: DataFrame, on: str, by: list[str], bound: int = 1_000_000, counted: DataFrame | None = None) -> DataFrame:
+    """Facts whose key is not in `dim`, in tasks of even size whatever keys are hot.
+
+    A count over the key column (of `counted`, if facts are costly) finds hot keys. Whether `dim` has them is looked up in a
+    broadcast table of MAX_HEAVY rows at most; their rows, and those without a key, meet
+    nothing in the join that is left and are dealt by the columns `by`, not by key.
+    """
+    heavy = heavy_groups(facts if counted is None else counted, [on], bound)
+    if not heavy:  # none, or so many that none has more than its share
+        return lookup(facts, dim, [on], "left_anti")
+    spark, kind = facts.sparkSession, facts.schema[on].dataType.simpleString()
+    keys = spark.createDataFrame([(r[on],) for r in heavy], f"{on} {kind}")
+    listed = {r[0] for r in lookup(keys, dim, [on], "left_semi").collect()}
+    marks = spark.createDataFrame([(r[on], r[on] in listed) for r in heavy], f"_key {kind}, _listed boolean")
+    marked = facts.join(F.broadcast(marks), F.col(on).eqNullSafe(F.col("_key")), "left").where("_listed is null or not _listed")
+    hot = F.col("_listed").isNotNull()
+    dealt = marked.withColumns({
+        "_cold": F.when(~hot, F.col(on)),
+        "_part": F.when(hot, F.xxhash64(*by)).otherwise(F.xxhash64(on)),
+    }).drop("_key", "_listed")
+    other = dim.select(F.col(on).alias("_cold"), F.xxhash64(on).alias("_part"))
+    return dealt.join(other, ["_cold", "_part"], "left_anti").select(*facts.columns)
+
+
 def join_on(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join by key in which a null key equals a null key, as in a grouping."""
     renamed = other.withColumnsRenamed({c: f"_on_{c}" for c in on})

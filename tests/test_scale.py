@@ -133,3 +133,21 @@ def test_no_stage_is_left_to_the_interpreter(spark):
         rows = catalog.QUERIES[name](spark, SMALL)
         assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
         assert rows.count() > 0
+
+
+def test_hot_addresses_are_dealt_evenly(spark):
+    rows = [(i, None if i % 10 == 0 else "host" if i % 10 < 6 else "listed" if i % 10 < 8 else f"a{i % 50}") for i in range(2000)]
+    facts = spark.createDataFrame(rows, "id long, address string").repartition(3)
+    dim = spark.createDataFrame([("listed",), ("a8",), ("a9",), (None,)], "address string").distinct()
+    want = sorted(i for i, a in rows if a not in ("listed", "a8", "a9"))
+    for bound in (50, 300, 10**6):
+        assert sorted(r["id"] for r in skew.lookup_spread(facts, dim, "address", ["id"], bound).collect()) == want
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = skew.lookup_spread(facts, dim, "address", ["id"], 100).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(r["count"] for r in parts) < 1000  # the host alone has 1000 rows
