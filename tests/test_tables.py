@@ -1,5 +1,7 @@
 """Flow counts, streams, files and models on the generated tables."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +134,30 @@ def test_catalog_against_sql(spark, name):
     import __spark_entry__ as entry
 
     assert oracle_check.compare(spark, oracle_check.connect(SMALL), name, SMALL, entry.oracle_sql()[name]) == ""
+
+
+def test_metrics_of_one_pass(spark):
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    class Half:
+        def transform(self, rows):
+            return rows.withColumn("prediction", F.col("x") / 2)
+
+    rows = spark.createDataFrame([(0.0, 0.1), (1.0, 1.5), (0.5, 0.9), (0.0, 0.4)], "label double, x double")
+    for part in (rows, rows.limit(1), rows.limit(0)):
+        got = MO.evaluate(Half(), part)
+        for metric, value in got.items():
+            want = RegressionEvaluator(labelCol="label", metricName=metric).evaluate(Half().transform(part)) if part.count() else math.nan
+            assert value == pytest.approx(want, nan_ok=True), metric
+
+
+def test_shared_features_are_made_once(spark, monkeypatch):
+    from flowwatch.plans import catalog
+
+    made, verdicts = [], []
+    features, stored = catalog.labelled_features, catalog.stored_verdicts
+    monkeypatch.setattr(catalog, "labelled_features", lambda s, d: made.append(d) or features(s, d))
+    monkeypatch.setattr(catalog, "stored_verdicts", lambda s, d: verdicts.append(d) or stored(s, d))
+    folder = SMALL + "/."  # no other test has trained on it under this name
+    assert catalog.QUERIES["mod2"](spark, folder).count() == 6 and len(made) == 1
+    assert catalog.QUERIES["rpt2"](spark, folder).count() > 0 and len(verdicts) == 1
