@@ -14,9 +14,9 @@ over all training documents give classes of ids. One layer of causal self-attent
 relative places and a residual ReLU layer predicts the next id's class and which of the
 frequent ids of the class it is; rarer ids share one entry of their class by their counts, so
 all ids of the vocabulary have a probability and the sum is one. It is written in numpy:
-every partition of training windows makes Adam steps from the same weights, and the weights
-are averaged, `rounds` times. Windows are drawn by seed and block from all of the training
-documents: one in TRAIN_SHARE, or LEAST_WINDOWS if that is more.
+every partition of blocks makes Adam steps from the same weights, and the weights are averaged,
+`rounds` times. It learns from all windows of all training documents: they are dealt to the
+rounds, as long as each round has LEAST_WINDOWS; of fewer, a round takes all.
 
 Scores. A text's ids are cut into windows of SCORED new ids behind CONTEXT ids that were
 scored before, so each id is scored once with CONTEXT to CONTEXT + SCORED - 1 ids before it
@@ -52,7 +52,7 @@ CONTEXT, SCORED = 8, 24
 WIDE = CONTEXT + SCORED
 CLASSES, HEADS = 32, 512
 DIM, HIDDEN, NEIGHBOURS = 16, 16, 24
-TRAIN_SHARE, LEAST_WINDOWS, BATCH, STEPS = 128, 32_768, 64, 100
+LEAST_WINDOWS, BATCH, STEPS = 32_768, 64, 100
 _PIECES = r"\x20[^\x20]{0,200}|[^\x20]{1,200}"
 #: Words that a process remembers.
 MOST = 100_000
@@ -437,12 +437,14 @@ def gradients(w: dict, classes: Classes, windows: np.ndarray) -> tuple[dict, flo
     return g, loss
 
 
-def local_steps(w: dict, classes: Classes, windows: np.ndarray, seed: int, rate: float) -> tuple[dict, int]:
-    """Adam over all windows of one partition, and again until STEPS are made."""
+def local_steps(w: dict, classes: Classes, windows: np.ndarray | Iterable[np.ndarray], seed: int, rate: float) -> tuple[dict, int]:
+    """Adam over all windows of one partition, one block after another; where they are few, again until STEPS are made."""
     w = {name: value.copy() for name, value in w.items()}
     first, second = ({name: np.zeros_like(v) for name, v in w.items()} for _ in range(2))
-    rng, done = np.random.default_rng(seed), 0
-    while done < STEPS or done * BATCH < len(windows):
+    rng, done, few, n = np.random.default_rng(seed), 0, [], 0
+
+    def over(windows: np.ndarray) -> None:
+        nonlocal done
         order = rng.permutation(len(windows))
         for a in range(0, len(order), BATCH):
             g, _ = gradients(w, classes, windows[order[a:a + BATCH]])
@@ -452,6 +454,14 @@ def local_steps(w: dict, classes: Classes, windows: np.ndarray, seed: int, rate:
                 second[name] += 0.01 * (value * value - second[name])
                 step = first[name] / (1 - 0.9 ** done) / (np.sqrt(second[name] / (1 - 0.99 ** done)) + 1e-8)
                 w[name] -= np.float32(rate) * step.astype(np.float32)
+
+    for part in [windows] if isinstance(windows, np.ndarray) else windows:
+        over(part)
+        if n < STEPS * BATCH:
+            few.append(part)
+            n += len(part)
+    while n and done < STEPS:
+        over(np.concatenate(few))
     return w, done
 
 
@@ -566,36 +576,41 @@ def opened(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.where(valid, ids, 0), valid, np.where(counts, target, 0), counts
 
 
-def drawn_windows(store: DataFrame, share: float, end: int) -> DataFrame:
-    """(block, windows): drawn windows of the training texts of each block."""
-
-    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in each(batches):
-            ids, begin = streams(r)
-            text, place = windows_of(begin)
-            lot = np.random.default_rng((17, r["block"])).random(len(text)) < share
-            lot &= ~np.array(r["held"], bool)[text]
-            if lot.any():
-                made = cut(ids, begin, text[lot], place[lot], end)
-                yield pa.record_batch([pa.array([r["block"]], pa.int64()), pa.array([made.tobytes()], pa.binary())], ["block", "windows"])
-
-    columns = ["block", "held", "n_words", "at", "pieces", "n_pieces"]
-    return store.select(*columns).mapInArrow(draw, "block long, windows binary")
-
-
-def averaged(windows: DataFrame, w: dict, classes: Classes, seed: int, rate: float, parts: int = 32) -> dict:
+def train_windows(row: dict, end: int, turn: int = 0, turns: int = 1) -> np.ndarray:
+    """Windows of the training texts of a block, one in `turns` of them."""
+    ids, begin = streams(row)
+    text, place = windows_of(begin)
+    mine = np.flatnonzero(~np.array(row["held"], bool)[text])[turn::turns]
+    return cut(ids, begin, text[mine], place[mine], end)
+
+
+def gathered(parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """Blocks' windows together, LEAST_WINDOWS or more at a time, so that steps mix texts of several blocks."""
+    some, n = [], 0
+    for part in parts:
+        some.append(part)
+        n += len(part)
+        if n >= LEAST_WINDOWS:
+            yield np.concatenate(some)
+            some, n = [], 0
+    if n:
+        yield np.concatenate(some)
+
+
+def averaged(
+    store: DataFrame, w: dict, classes: Classes, end: int, turn: int, turns: int, seed: int, rate: float, parts: int = 32
+) -> dict:
     """One round: local steps in every partition, weights averaged by steps in `parts` slices."""
-    spark = windows.sparkSession
+    spark = store.sparkSession
     shared = spark.sparkContext.broadcast((w, classes))  # sized by the vocabulary
 
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        mine = sorted((r["block"], r["windows"]) for b in batches for r in b.to_pylist())
-        if mine:
-            task = TaskContext.get().partitionId()
-            all_windows = array(b"".join(x for _, x in mine), np.uint16).reshape(-1, WIDE + SCORED)
-            made, steps = local_steps(*shared.value, all_windows, seed + task, rate)
+        task = TaskContext.get().partitionId()
+        windows = gathered(train_windows(r, end, turn, turns) for r in each(batches))
+        made, steps = local_steps(*shared.value, windows, seed + task, rate)
+        if steps:
             flat = np.concatenate([made[name].ravel() for name in sorted(made)]).astype(np.float64)
             for k, slice_ in enumerate(np.array_split(flat, parts)):
                 yield pa.record_batch([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([steps], pa.int64()), pa.array([slice_.tobytes()], pa.binary())],
@@ -608,7 +623,7 @@ def averaged(windows: DataFrame, w: dict, classes: Classes, seed: int, rate: flo
         return pa.table([pa.array([rows[0]["slice"]], pa.int32()), pa.array([value.tobytes()], pa.binary())], ["slice", "weights"])
 
     found = (
-        windows.mapInArrow(train, "slice int, task int, steps long, weights binary")
+        store.select("held", "n_words", "at", "pieces", "n_pieces").mapInArrow(train, "slice int, task int, steps long, weights binary")
         .groupBy("slice").applyInArrow(mean, "slice int, weights binary").collect()
     )
     shared.unpersist()
@@ -648,11 +663,11 @@ def trained(store: DataFrame, vocabulary: bytes, rounds: int) -> tuple[dict, Cla
     w = start_weights(classes)
     ids = int(count.sum())
     if ids:
-        n_windows = max(ids / SCORED / TRAIN_SHARE, LEAST_WINDOWS)
-        picked = keep(drawn_windows(store, min(1.0, n_windows * SCORED / ids), words.end), "lm-windows")
-        picked = picked.coalesce(max(1, int(n_windows / STEPS / BATCH)))  # STEPS or more for each task
+        turns = max(1, min(rounds, int(ids / SCORED / LEAST_WINDOWS)))
+        # STEPS or more for each task
+        dealt = store.coalesce(max(1, int(max(ids / SCORED / turns, LEAST_WINDOWS) / STEPS / BATCH)))
         for k in range(rounds):
-            w = averaged(picked, w, classes, 1000 * k, 0.02 / (1 + k))
+            w = averaged(dealt, w, classes, words.end, k % turns, turns, 1000 * k, 0.02 / (1 + k))
     return w, classes
 
 

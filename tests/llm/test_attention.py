@@ -145,6 +145,23 @@ def test_packed_slices():
         assert got["n_words"] == [len(words_of(t)) - 1 for t in texts[a:]]
 
 
+def test_learns_from_every_window(spark, monkeypatch):
+    """Every window of every training text is in one round, and none of the held-out ones."""
+    row, classes, windows, w, words = model_of(TEXTS)
+    row = {**row, "held": [False, False, True, False, False, True]}
+    text = A.windows_of(A.streams(row)[1])[0]
+    want = sorted(windows[~np.array(row["held"])[text]].tolist())
+    assert sorted(x for k in range(3) for x in A.train_windows(row, words.end, k, 3).tolist()) == want
+    # blocks one after another: as many steps as they need
+    seen = []
+    monkeypatch.setattr(A, "gradients", lambda w, c, part: (seen.append(len(part)), ({k: np.zeros_like(v) for k, v in w.items()}, 0.0))[1])
+    many = np.repeat(windows, 1000, 0)
+    A.local_steps(w, classes, iter([many, many[:10], many]), 1, 0.02)
+    assert sum(seen) == 2 * len(many) + 10
+    monkeypatch.setattr(A, "LEAST_WINDOWS", 4)
+    assert [len(x) for x in A.gathered(iter([windows[:1], windows[:0], windows[:5], windows[:2]]))] == [6, 2]
+
+
 def test_query(spark):
     from flowwatch.llm.queries import QUERIES
 
