@@ -151,3 +151,23 @@ def test_hot_addresses_are_dealt_evenly(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert max(r["count"] for r in parts) < 1000  # the host alone has 1000 rows
+
+
+def test_runs_over_the_borders_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(FL, "_CHUNK_BITS", 3)
+    monkeypatch.setattr(FL, "_REACH", 5)
+    flows = {0: "abcdefgh" * 5 + "xyz", 1: "a", 2: "abcdefgh", 3: "abcdefghi", None: "abcdefghijklmnopqr"}
+    rows = [(k, pos, letter) for k, text in flows.items() for pos, letter in enumerate(text, 1)]
+    placed = spark.createDataFrame(rows, "flow_key long, pos long, letter string").repartition(3)
+    every = None
+    for n in (1, 2, 3, 4, 9):
+        got = FL.sliding(placed, n, ["flow_key"])
+        want = [(k, i + 1, text[i:i + n]) for k, text in flows.items() for i in range(len(text) - n + 1)]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+        every = got if every is None else every.union(got) if n < 5 else every
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = every._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("ReusedExchange") == 2  # lengths 2 to 4, one shuffle of blocks
