@@ -56,14 +56,14 @@ def detect(
 
     The verdict rows feed the features, the scored rows and the direct alerts.
     They are written once, below the shared folder, so that flows are assembled
-    once and not three times.
+    once and not three times, without the packets that none of these reads.
 
     `later_packets` are packets that came in after this table was cut; suspicious
     verdicts of flows that went on are then left open.
     """
     spark = packets.sparkSession
     path = scratch_path(spark, "verdicts")
-    verdicts(packets, rules, honeypot, hot).write.parquet(path)
+    VD.narrow(verdicts(packets, rules, honeypot, hot)).write.parquet(path)
     verdict_rows = spark.read.parquet(path)
     if later_packets is not None:
         verdict_rows = VD.quiet_period(verdict_rows, later_packets, rules)
