@@ -54,8 +54,6 @@ CLASSES, HEADS = 32, 512
 DIM, HIDDEN, NEIGHBOURS = 16, 16, 24
 LEAST_WINDOWS, BATCH, STEPS = 32_768, 64, 100
 _PIECES = r"\x20[^\x20]{0,200}|[^\x20]{1,200}"
-#: Words that a process remembers.
-MOST = 100_000
 _VOCABULARIES: dict[str, "Vocabulary"] = {}
 
 
@@ -72,7 +70,6 @@ class Vocabulary:
         self.coder = tiktoken.Encoding("words", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
         self.begins = np.zeros(self.size, bool)
         self.begins[[i for piece, i in ranks.items() if piece[:1] == b" "]] = True
-        self.seen: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, lines: bytes) -> "Vocabulary":
@@ -84,23 +81,18 @@ class Vocabulary:
 
     def encode(self, words: list[bytes]) -> tuple[bytes, bytes, np.ndarray]:
         """Hashes of words, 16 bytes each, their ids in a row, two bytes each, and how many each
-        has. The empty word is the end of a text. Words seen before are looked up, up to MOST."""
+        has. The empty word is the end of a text."""
         import xxhash
 
-        if len(self.seen) > MOST:
-            self.seen.clear()
-        new = [w for w in words if w not in self.seen]
-        full = [w for w in new if w]
-        ids = np.array(self.coder.encode_ordinary((b" " + b" ".join(full)).decode(errors="replace")) if full else [], np.int64)
-        begin = np.flatnonzero(self.begins[ids]) * 2
-        raw = ids.astype(np.uint16).tobytes()
-        pieces = iter([raw[a:b] for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(raw)])])
-        end = np.array([self.end], np.uint16).tobytes()
-        for w in new:
-            self.seen[w] = xxhash.xxh3_128_digest(w) + (next(pieces) if w else end)
-        found = [self.seen[w] for w in words]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 2 - 8
-        return b"".join([f[:16] for f in found]), b"".join([f[16:] for f in found]), size
+        real = np.fromiter(map(len, words), np.int64, len(words)) > 0
+        full = words if real.all() else [w for w in words if w]
+        ids = self.coder.encode_to_numpy((b" " + b" ".join(full)).decode(errors="replace"), disallowed_special=()) if full else np.zeros(0, np.uint32)
+        begin = np.flatnonzero(self.begins[ids])
+        size = np.ones(len(words), np.int64)
+        size[real] = np.diff(begin, append=len(ids))
+        ends = np.cumsum(size)[~real] - 1
+        pieces = np.insert(ids.astype(np.uint16), ends - np.arange(len(ends)), self.end)
+        return b"".join(map(xxhash.xxh3_128_digest, words)), pieces.tobytes(), size
 
 
 def release() -> None:
@@ -109,6 +101,14 @@ def release() -> None:
     trim()
 
 
+def hold() -> None:
+    """Keeps freed memory of steps, as far as the C library can: each step needs the same again."""
+    call = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc has it
+    if call:
+        call(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        call(-1, 64 << 20)  # M_TRIM_THRESHOLD
+
+
 def trim() -> None:
     """Gives freed memory back to the system, as far as the C library can."""
     pa.default_memory_pool().release_unused()
@@ -140,7 +140,7 @@ def packed(ids: pa.Array, text: pa.Array, held: np.ndarray, vocabulary: Vocabula
     stops = np.cumsum(size)
     n_words = before[stops] - before[stops - size]
     coded = flat.filter(pa.array(real)).dictionary_encode()
-    names = [b"", *coded.dictionary.cast(pa.large_binary()).to_pylist()]
+    names = [b"", *coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()]
     at = np.zeros(n_words.sum() + len(ids), np.int64)  # the empty word stands for the end of each text
     ends = np.cumsum(n_words + 1) - 1
     inner = np.ones(len(at), bool)
@@ -331,6 +331,9 @@ class Classes:
         mass = count + 0.5
         self.mass = np.bincount(self.entry, mass, len(owner))
         self.share = (np.log(mass) - np.log(self.mass[self.entry])).astype(np.float32)
+        # of every id of two bytes, to look up places outside of a text as well
+        self.entry_or_first = np.r_[self.entry, np.zeros((1 << 16) - len(count), np.int64)].astype(np.uint16)
+        self.cells = np.arange(len(owner) * DIM).reshape(-1, DIM)  # numbers of an entry's embedding, row by row
 
 
 # --- the model ----------------------------------------------------------------------------
@@ -356,104 +359,160 @@ def start_weights(classes: Classes) -> dict[str, np.ndarray]:
 #: behind the end of a text need no mask of their own: only queries that don't count see them.
 _BACK = CONTEXT + np.arange(SCORED)[:, None] - np.arange(WIDE)[None, :]
 _UNSEEN = np.where(_BACK < 0, np.float32(-1e9), np.float32(0))
+_NEAR, _SEEN = np.maximum(_BACK, 0), (_BACK >= 0).ravel()
 
 
-def attend(w: dict, xq: np.ndarray, q: np.ndarray, k: np.ndarray, v: np.ndarray, bias: np.ndarray) -> tuple:
-    """Masked attention of the queries of each window over its keys, and the layer behind it.
+def exponentials(z: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:
+    """Makes logits exponentials in place, up to a factor of each row, and returns the rows' sums. Rows lie one after
+    another, each beginning at its place of `begin`, or are those of a matrix. They are shifted only if one is out of range."""
+    if z.size and (z.max() > 70 or z.min() < -50):
+        z -= z.max(1, keepdims=True) if begin is None else np.repeat(np.maximum.reduceat(z, begin), np.diff(begin, append=len(z)))
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], z.dtype) if begin is None else np.add.reduceat(z, begin) if len(begin) else z
 
-    `bias` holds mask and relative places. Scores are far from the range of float32, as are logits.
-    """
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s *= np.float32(DIM ** -0.5)
-    s += bias
-    np.minimum(s, np.float32(60), out=s)
-    np.exp(s, out=s)
-    total = s.sum(2, keepdims=True)
-    a = np.matmul(s, v)
-    a /= total
-    h1 = xq.reshape(-1, DIM) + a.reshape(-1, DIM) @ w["wo"]
-    r = np.maximum(h1 @ w["w1"] + w["b1"], 0)
-    return s, total, a, h1, r, h1 + r @ w["w2"]
+
+def with_row(table: np.ndarray, row: np.ndarray) -> np.ndarray:
+    out = np.empty((len(table) + 1, table.shape[1]), table.dtype)
+    out[:-1], out[-1] = table, row
+    return out
 
 
-def by_class(goal: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(class, rows) of a list of classes."""
-    order = np.argsort(goal, kind="stable")
-    edges = np.searchsorted(goal[order], np.arange(CLASSES + 1))
-    return [(c, order[edges[c]:edges[c + 1]]) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+def folded(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the matrices of queries and keys, and of values and what follows: with them, attention reads the
+    embeddings themselves as keys and values."""
+    return w["wq"] @ w["wk"].T * w["wq"].dtype.type(DIM ** -0.5), w["wv"] @ w["wo"]
 
 
 def gradients(w: dict, classes: Classes, windows: np.ndarray) -> tuple[dict, float]:
     """Of the mean cross-entropy of the targets' classes and of their entries in these."""
-    ids, valid, target, counts = opened(windows)
-    c = classes.entry[ids]
-    x = w["embed"][c]
-    xq = x[:, CONTEXT:]
-    q, k, v = xq @ w["wq"], x @ w["wk"], x @ w["wv"]
-    first = np.where(valid[:, None, :], np.float32(0), np.float32(-1e9))
-    first[:, :, CONTEXT:] = 0  # only what is missing in front of a text
-    s, total, a, h1, r, h = attend(w, xq, q, k, v, w["near"][np.maximum(_BACK, 0)] + _UNSEEN + first)
-    on = np.flatnonzero(counts.ravel())
-    goal_entry = classes.entry[target.ravel()[on]]
-    goal, n, hs = classes.of_entry[goal_entry], max(1, len(on)), h[on]
-
-    def step(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
-        e = np.exp(z - z.max(1, keepdims=True))
-        e /= e.sum(1, keepdims=True)
-        hit = e[np.arange(len(at)), at]
-        e[np.arange(len(at)), at] -= 1
-        e /= n
-        return e, float(-np.log(np.maximum(hit, 1e-30)).sum() / n)
-
-    d, loss = step(hs @ w["out"] + w["bias"], goal)
-    g = {"out": hs.T @ d, "bias": d.sum(0), "out_entry": np.zeros_like(w["out_entry"]), "bias_entry": np.zeros_like(w["bias_entry"])}
-    dhs = d @ w["out"].T
-    for kind, rows in by_class(goal):
-        low, high = classes.low[kind], classes.low[kind + 1]
-        d, more = step(hs[rows] @ w["out_entry"][:, low:high] + w["bias_entry"][low:high], goal_entry[rows] - low)
-        loss += more
-        g["out_entry"][:, low:high], g["bias_entry"][low:high] = hs[rows].T @ d, d.sum(0)
-        dhs[rows] += d @ w["out_entry"][:, low:high].T
-    dh = np.zeros_like(h)
-    dh[on] = dhs
-    dr = (dh @ w["w2"].T) * (r > 0)
-    g |= {"w2": r.T @ dh, "w1": h1.T @ dr, "b1": dr.sum(0)}
-    dh1 = dh + dr @ w["w1"].T
-    g["wo"] = a.reshape(-1, DIM).T @ dh1
-    dh1 = dh1.reshape(xq.shape)
-    da = dh1 @ w["wo"].T
-    p = s / total
-    dp = np.matmul(da, v.transpose(0, 2, 1))
-    dv = np.matmul(p.transpose(0, 2, 1), da)
-    ds = p * (dp - (dp * p).sum(2, keepdims=True))
-    g["near"] = np.bincount(np.maximum(_BACK, 0).ravel(), np.where(_BACK < 0, 0, ds.sum(0)).ravel(), WIDE).astype(np.float32)
-    ds *= np.float32(DIM ** -0.5)
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-    flat = lambda y: y.reshape(-1, DIM)
-    g |= {"wq": flat(xq).T @ flat(dq), "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv)}
-    dx = dk @ w["wk"].T + dv @ w["wv"].T
-    dx[:, CONTEXT:] += dh1 + dq @ w["wq"].T
-    g["embed"] = np.stack([np.bincount(c.ravel(), column, len(w["embed"])) for column in flat(dx).T], 1)
+    kind, look, shape = w["embed"].dtype, np.take(classes.entry_or_first, windows), (-1, WIDE, DIM)
+    c = look[:, :WIDE].ravel().astype(np.int64)
+    x = np.take(w["embed"], c, axis=0)
+    keys = x.reshape(shape)
+    turned = np.take(w["embed"].T.copy(), c, axis=1).reshape(DIM, -1, WIDE).transpose(1, 0, 2)
+    xq, (to_key, to_h) = keys[:, CONTEXT:].reshape(-1, DIM), folded(w)
+    # masked attention of the queries of each window over its keys
+    q = (xq @ to_key).reshape(-1, SCORED, DIM)
+    s = np.matmul(q, turned)
+    s += np.take(w["near"], _NEAR) + _UNSEEN
+    begins = np.flatnonzero(windows[:, 0] == OUTSIDE)
+    if len(begins):  # only what is missing in front of a text
+        s[begins, :, :CONTEXT] += np.where(windows[begins, None, :CONTEXT] == OUTSIDE, kind.type(-1e9), kind.type(0))
+    if s.max() > 60:
+        np.minimum(s, kind.type(60), out=s)
+    np.exp(s, out=s)
+    s *= (1 / (s.reshape(-1, WIDE) @ np.ones(WIDE, kind))).reshape(-1, SCORED, 1)
+    a = np.matmul(s, keys).reshape(-1, DIM)
+    h1 = a @ to_h
+    h1 += xq
+    r = h1 @ w["w1"]
+    r += w["b1"]
+    np.maximum(r, 0, out=r)
+    h = np.empty((len(r), DIM + 1), kind)  # a column of ones adds biases
+    h[:, DIM] = 1
+    np.add(r @ w["w2"], h1, out=h[:, :DIM])
+    # the rows that count, in the order of their entries and so of their classes
+    on, goal_entry = np.flatnonzero(windows[:, WIDE:].ravel() != OUTSIDE), look[:, WIDE:].ravel()
+    if len(on) < len(goal_entry):
+        goal_entry = goal_entry[on]
+    order = np.argsort(goal_entry, kind="stable")  # two bytes are sorted by digits
+    on, goal_entry, n = on[order], goal_entry[order].astype(np.int64), max(1, len(on))
+    hs = np.take(h, on, axis=0)
+    edges = np.searchsorted(goal_entry, classes.low)
+    size, wide = edges[1:] - edges[:-1], classes.low[1:] - classes.low[:-1]
+
+    def step(z: np.ndarray, begin: np.ndarray, at: np.ndarray, widths: np.ndarray | None) -> float:
+        """Makes logits the derivatives by them; the loss."""
+        total, flat, at = exponentials(z, None if widths is None else begin), z.reshape(-1), begin + at
+        share = np.take(flat, at) / total
+        factor = 1 / (n * total)
+        z *= factor[:, None] if widths is None else np.repeat(factor, widths)
+        flat[at] = (share - 1) / n
+        return float(-np.log(np.maximum(share, 1e-30)).sum() / n)
+
+    out = with_row(w["out"], w["bias"])
+    d = hs @ out
+    loss = step(d, np.arange(0, d.size, CLASSES), np.repeat(np.arange(CLASSES), size), None)
+    g_out, dhs = hs.T @ d, np.zeros((len(on) + 1, DIM), kind)  # one row more, for those that don't count
+    np.dot(d, w["out"].T, dhs[:-1])
+    # logits of the entries of each row's class, one row after another
+    by_entry = with_row(w["out_entry"], w["bias_entry"]).T.copy()
+    back, g_entry, dhs_entry = by_entry[:, :DIM].copy(), np.zeros_like(by_entry), np.empty((len(on), DIM), kind)
+    widths = np.repeat(wide, size)
+    begin = np.cumsum(widths)
+    flat = np.empty(begin[-1] if len(on) else 0, kind)
+    begin -= widths
+    parts, at, ends, low = [], 0, edges.tolist(), classes.low.tolist()
+    for a0, a1, low0, low1 in zip(ends, ends[1:], low, low[1:]):
+        if a0 < a1:
+            to = at + (a1 - a0) * (low1 - low0)
+            rows, z = hs[a0:a1], flat[at:to].reshape(a1 - a0, low1 - low0)
+            np.dot(rows, by_entry[low0:low1].T, z)
+            parts.append((rows, z, back[low0:low1], g_entry[low0:low1], dhs_entry[a0:a1]))
+            at = to
+    loss += step(flat, begin, goal_entry - np.repeat(classes.low[:-1], size), widths)
+    for rows, z, its, g_its, d_rows in parts:
+        np.dot(z.T, rows, g_its)
+        np.dot(z, its, d_rows)
+    dhs[:-1] += dhs_entry
+    g = {"out": g_out[:DIM], "bias": g_out[DIM], "out_entry": g_entry[:, :DIM].T, "bias_entry": g_entry[:, DIM]}
+    # the layer and the attention
+    row_of = np.full(len(h), len(on))
+    row_of[on] = np.arange(len(on))
+    dh = np.take(dhs, row_of, axis=0)
+    dr = dh @ w["w2"].T
+    dr *= r > 0
+    g |= {"w2": r.T @ dh, "w1": h1.T @ dr, "b1": np.ones(len(dr), kind) @ dr}
+    dh += dr @ w["w1"].T
+    by_h = a.T @ dh
+    da = dh @ to_h.T
+    inner = ((da * a) @ np.ones(DIM, kind)).reshape(-1, SCORED, 1)
+    da = da.reshape(q.shape)
+    ds = np.matmul(da, turned)
+    ds -= inner
+    ds *= s
+    dx = np.matmul(s.transpose(0, 2, 1), da)
+    dx += np.matmul(ds.transpose(0, 2, 1), q)
+    dq = np.matmul(ds, keys).reshape(-1, DIM)
+    by_place = np.ones(len(ds), kind) @ ds.reshape(len(ds), -1)
+    by_key = xq.T @ dq * kind.type(DIM ** -0.5)
+    g |= {"near": np.bincount(_NEAR.ravel(), by_place * _SEEN, WIDE), "wq": by_key @ w["wk"], "wk": by_key.T @ w["wq"],
+          "wv": by_h @ w["wo"].T, "wo": w["wv"].T @ by_h}
+    dh += dq @ to_key.T
+    dx[:, CONTEXT:] += dh.reshape(q.shape)
+    g["embed"] = np.bincount(np.take(classes.cells, c, axis=0).ravel(), dx.ravel(), w["embed"].size).reshape(-1, DIM)
     return g, loss
 
 
 def local_steps(w: dict, classes: Classes, windows: np.ndarray | Iterable[np.ndarray], seed: int, rate: float) -> tuple[dict, int]:
     """Adam over all windows of one partition, one block after another; where they are few, again until STEPS are made."""
-    w = {name: value.copy() for name, value in w.items()}
-    first, second = ({name: np.zeros_like(v) for name, v in w.items()} for _ in range(2))
+    flat = np.concatenate([value.ravel() for value in w.values()])
+    edges = np.cumsum([0, *[value.size for value in w.values()]])
+    w = {name: flat[a:b].reshape(value.shape) for (name, value), a, b in zip(w.items(), edges, edges[1:])}
+    first, second, g, step = (np.zeros_like(flat) for _ in range(4))
     rng, done, few, n = np.random.default_rng(seed), 0, [], 0
 
     def over(windows: np.ndarray) -> None:
         nonlocal done
         order = rng.permutation(len(windows))
         for a in range(0, len(order), BATCH):
-            g, _ = gradients(w, classes, windows[order[a:a + BATCH]])
+            by_name, _ = gradients(w, classes, windows[order[a:a + BATCH]])
+            np.concatenate([by_name[name].ravel() for name in w], out=g, casting="same_kind")
             done += 1
-            for name, value in g.items():
-                first[name] += 0.1 * (value - first[name])
-                second[name] += 0.01 * (value * value - second[name])
-                step = first[name] / (1 - 0.9 ** done) / (np.sqrt(second[name] / (1 - 0.99 ** done)) + 1e-8)
-                w[name] -= np.float32(rate) * step.astype(np.float32)
+            # all weights at once, in memory that is there
+            np.subtract(g, first, out=step)
+            np.multiply(step, 0.1, out=step)
+            np.add(first, step, out=first)
+            np.multiply(g, g, out=g)
+            np.subtract(g, second, out=g)
+            np.multiply(g, 0.01, out=g)
+            np.add(second, g, out=second)
+            np.divide(second, 1 - 0.99 ** done, out=g)
+            np.sqrt(g, out=g)
+            np.add(g, 1e-8, out=g)
+            np.divide(first, g, out=step)
+            np.multiply(step, rate / (1 - 0.9 ** done), out=step)
+            np.subtract(flat, step, out=flat)
 
     for part in [windows] if isinstance(windows, np.ndarray) else windows:
         over(part)
@@ -480,54 +539,66 @@ def log_sum(logits: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Log probability of windows' targets; what depends on an id alone is looked up. A column of
+    """Log probability of windows' targets; what depends on an entry alone is looked up. A column of
     ones makes products with values give the sum of the weights as well, and adds biases."""
 
     def __init__(self, w: dict, classes: Classes):
-        self.w, self.classes = w, classes
-        x = w["embed"][classes.entry]
-        self.x, self.q, self.k, self.v = x, x @ w["wq"] * np.float32(DIM ** -0.5), x @ w["wk"], with_ones(x @ w["wv"])
-        self.near = w["near"][np.maximum(_BACK, 0)] + _UNSEEN
-        self.out, self.out_entry = np.vstack([w["out"], w["bias"]]), np.vstack([w["out_entry"], w["bias_entry"]])
-
-    def hidden(self, ids: np.ndarray, first: bool) -> np.ndarray:
-        """Of the queries of windows that begin their text (nothing in front of it), or not: what
-        `attend` makes, and a column of ones."""
-        w, last = self.w, ids[:, CONTEXT:]
-        seen, bias = (last, self.near[:, CONTEXT:]) if first else (ids, self.near)
-        look = lambda t, i: np.take(t, i, axis=0)
-        s = np.matmul(look(self.q, last), look(self.k, seen).transpose(0, 2, 1))
+        to_key, self.to_h = folded(w)
+        self.w, self.classes, self.x = w, classes, with_ones(w["embed"])
+        self.q = w["embed"] @ to_key
+        self.near = w["near"][_NEAR] + _UNSEEN
+        self.out, self.out_entry = with_row(w["out"], w["bias"]), with_row(w["out_entry"], w["bias_entry"])
+
+    def hidden(self, c: np.ndarray, first: bool, h: np.ndarray) -> None:
+        """Fills `h`: hidden rows of the queries of windows that begin their text (nothing in front of it), or
+        not, and a column of ones."""
+        w, last = self.w, c[:, CONTEXT:]
+        seen, bias = (last, self.near[:, CONTEXT:]) if first else (c, self.near)
+        keys = np.take(self.x, seen, axis=0)
+        s = np.matmul(np.take(self.q, last, axis=0), keys[:, :, :DIM].transpose(0, 2, 1))
         s += bias
-        np.minimum(s, np.float32(60), out=s)
+        if s.size and s.max() > 60:
+            np.minimum(s, np.float32(60), out=s)
         np.exp(s, out=s)
-        a = np.matmul(s, look(self.v, seen)).reshape(-1, DIM + 1)
-        h = look(self.x, last.ravel())
-        h += (a[:, :DIM] / a[:, DIM:]) @ w["wo"]
-        return with_ones(h + np.maximum(h @ w["w1"] + w["b1"], 0) @ w["w2"])
+        a = np.matmul(s, keys).reshape(-1, DIM + 1)
+        h1 = (a[:, :DIM] / a[:, DIM:]) @ self.to_h
+        h1 += keys[:, -SCORED:, :DIM].reshape(-1, DIM)
+        r = h1 @ w["w1"]
+        r += w["b1"]
+        np.maximum(r, 0, out=r)
+        np.add(r @ w["w2"], h1, out=h[:, :DIM])
+        h[:, DIM] = 1
 
     def __call__(self, windows: np.ndarray, first: np.ndarray, step: int = 64) -> np.ndarray:
         """Natural log of the probability of each window's targets, 0 where there is none."""
         classes = self.classes
-        ids, _, target, counts = opened(windows)
-        h = np.zeros((len(ids), SCORED, DIM + 1), np.float32)
+        c = np.take(classes.entry_or_first, windows)
+        h = np.empty((len(c), SCORED, DIM + 1), np.float32)
         for begins in (True, False):
             mine = np.flatnonzero(first == begins)
             for a in range(0, len(mine), step):
                 part = mine[a:a + step]
-                h[part] = self.hidden(ids[part], begins).reshape(-1, SCORED, DIM + 1)
-        on = np.flatnonzero(counts.ravel())
-        h, goal_id = np.take(h.reshape(-1, DIM + 1), on, axis=0), target.ravel()[on]
-        goal_entry = classes.entry[goal_id]
-        found = classes.share[goal_id].astype(np.float64)
-        for kind, rows in by_class(classes.of_entry[goal_entry]):
+                some = np.empty((len(part) * SCORED, DIM + 1), np.float32)
+                self.hidden(c[part, :WIDE], begins, some)
+                h[part] = some.reshape(-1, SCORED, DIM + 1)
+        targets = windows[:, WIDE:]
+        on = np.flatnonzero(targets.ravel() != OUTSIDE)
+        goal_entry, goal_id = c[:, WIDE:].ravel()[on], targets.ravel()[on]
+        order = np.argsort(goal_entry, kind="stable")  # by entry, and so by class; two bytes are sorted by digits
+        on, goal_entry, goal_id = on[order], goal_entry[order].astype(np.int64), goal_id[order]
+        hs = np.take(h.reshape(-1, DIM + 1), on, axis=0)
+        found = np.take(classes.share, goal_id).astype(np.float64)
+        edges = np.searchsorted(goal_entry, classes.low).tolist()
+        for kind, (a, b) in enumerate(zip(edges, edges[1:])):
             low, high = classes.low[kind], classes.low[kind + 1]
-            mine = np.take(h, rows, axis=0)
-            z, top = mine @ self.out_entry[:, low:high], mine @ self.out
-            hit = z[np.arange(len(rows)), goal_entry[rows] - low] + top[:, kind]
-            found[rows] += hit - log_sum(z) - log_sum(top)
-        out = np.zeros(target.size)
+            for at in range(a, b, 2048):  # in memory that stays near
+                rows = slice(at, min(at + 2048, b))
+                z, top = hs[rows] @ self.out_entry[:, low:high], hs[rows] @ self.out
+                hit = z[np.arange(len(z)), goal_entry[rows] - low] + top[:, kind]
+                found[rows] += hit - log_sum(z) - log_sum(top)
+        out = np.zeros(targets.size)
         out[on] = found
-        return out.reshape(target.shape)
+        return out.reshape(targets.shape)
 
 
 # --- windows --------------------------------------------------------------------------------
@@ -557,16 +628,19 @@ def windows_of(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut(ids: np.ndarray, begin: np.ndarray, text: np.ndarray, place: np.ndarray, end: int) -> np.ndarray:
-    """Windows as WIDE + SCORED ids: inputs and targets, OUTSIDE where the text has none. The
-    input before a text's first id is the end id."""
-    low, high = begin[text][:, None], begin[text + 1][:, None]
-    goal = low + place[:, None] + np.arange(SCORED)
-    source = low + place[:, None] + np.arange(-CONTEXT, SCORED) - 1  # the input is the id before
-    inputs = ids[np.clip(source, 0, len(ids) - 1)]
-    inputs = np.where(source == low - 1, end, inputs)
-    inputs = np.where((source < low - 1) | (source >= high - 1), OUTSIDE, inputs)
-    targets = np.where(goal < high, ids[np.minimum(goal, len(ids) - 1)], OUTSIDE)
-    return np.concatenate([inputs, targets], 1).astype(np.uint16)
+    """Windows, at places of `windows_of`, as WIDE + SCORED ids: inputs and targets, OUTSIDE where the text
+    has none. The input before a text's first id is the end id."""
+    before = np.full(CONTEXT + 1, OUTSIDE, np.uint16)  # the input is the id before
+    padded = np.concatenate([before, ids, np.full(SCORED, OUTSIDE, np.uint16)])
+    start, left = begin[text] + place, begin[text + 1] - begin[text] - place
+    near = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + 1 + SCORED)[start]
+    out = np.concatenate([near[:, :WIDE], near[:, CONTEXT + 1:]], 1)
+    first, last = np.flatnonzero(place == 0), np.flatnonzero(left < SCORED)
+    out[first, :CONTEXT], out[first, CONTEXT] = OUTSIDE, end
+    # behind the last id, which is no input
+    over = np.r_[np.arange(-CONTEXT, SCORED), np.arange(SCORED)] >= left[last, None]
+    out[last] = np.where(over, OUTSIDE, out[last])
+    return out
 
 
 def opened(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -607,6 +681,7 @@ def averaged(
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        hold()
         task = TaskContext.get().partitionId()
         windows = gathered(train_windows(r, end, turn, turns) for r in each(batches))
         made, steps = local_steps(*shared.value, windows, seed + task, rate)
@@ -696,6 +771,7 @@ def scored(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         if not cache:
+            hold()
             cache.append(Scorer(*shared.value))
         parts = sorted(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist()))
         out = []
