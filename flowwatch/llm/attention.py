@@ -16,7 +16,8 @@ frequent ids of the class it is; rarer ids share one entry of their class by the
 all ids of the vocabulary have a probability and the sum is one. It is written in numpy:
 every partition of blocks makes Adam steps from the same weights, and the weights are averaged,
 `rounds` times. It learns from all windows of all training documents: they are dealt to the
-rounds, as long as each round has LEAST_WINDOWS; of fewer, a round takes all.
+rounds, as long as each round has LEAST_WINDOWS; of fewer, a round takes all. Blocks are dealt
+whole where there are many (BLOCKS_A_TURN), else every block's windows.
 
 Scores. A text's ids are cut into windows of SCORED new ids behind CONTEXT ids that were
 scored before, so each id is scored once with CONTEXT to CONTEXT + SCORED - 1 ids before it
@@ -53,6 +54,7 @@ WIDE = CONTEXT + SCORED
 CLASSES, HEADS = 32, 512
 DIM, HIDDEN, NEIGHBOURS = 16, 16, 24
 LEAST_WINDOWS, BATCH, STEPS = 32_768, 64, 100
+BLOCKS_A_TURN = 8
 _PIECES = r"\x20[^\x20]{0,200}|[^\x20]{1,200}"
 _VOCABULARIES: dict[str, "Vocabulary"] = {}
 
@@ -269,12 +271,8 @@ def subword_profiles(store: DataFrame, vocabulary_size: int) -> tuple[np.ndarray
             left = np.where(first[:-1], vocabulary_size, np.r_[0, pieces[:-1]])
             right = np.where(first[1:], vocabulary_size, np.r_[pieces[1:], 0])
             for side, other in enumerate((left, right)):
-                pair, where = np.unique(pieces * (vocabulary_size + 1) + other, return_inverse=True)
-                total = np.bincount(where, weight, len(pair))
-                own, its = np.divmod(pair, vocabulary_size + 1)
-                begin = np.flatnonzero(np.diff(own, prepend=-1))
                 for k in range(NEIGHBOURS):  # one at a time, in memory of one
-                    near[side, k, own[begin]] += np.add.reduceat(total * signs[k, its], begin)
+                    near[side, k] += np.bincount(pieces, weight * np.take(signs[k], other), vocabulary_size)
         ids = np.flatnonzero(count)
         for some in np.array_split(ids, -(-len(ids) // 4096)) if len(ids) else []:
             sums = pa.ListArray.from_arrays(
@@ -396,8 +394,7 @@ def gradients(w: dict, classes: Classes, windows: np.ndarray) -> tuple[dict, flo
     s = np.matmul(q, turned)
     s += np.take(w["near"], _NEAR) + _UNSEEN
     begins = np.flatnonzero(windows[:, 0] == OUTSIDE)
-    if len(begins):  # only what is missing in front of a text
-        s[begins, :, :CONTEXT] += np.where(windows[begins, None, :CONTEXT] == OUTSIDE, kind.type(-1e9), kind.type(0))
+    s[begins, :, :CONTEXT] = -1e9  # only what is missing in front of a text
     if s.max() > 60:
         np.minimum(s, kind.type(60), out=s)
     np.exp(s, out=s)
@@ -422,7 +419,7 @@ def gradients(w: dict, classes: Classes, windows: np.ndarray) -> tuple[dict, flo
     size, wide = edges[1:] - edges[:-1], classes.low[1:] - classes.low[:-1]
 
     def step(z: np.ndarray, begin: np.ndarray, at: np.ndarray, widths: np.ndarray | None) -> float:
-        """Makes logits the derivatives by them; the loss."""
+        """Makes logits the derivatives by them, and returns the loss."""
         total, flat, at = exponentials(z, None if widths is None else begin), z.reshape(-1), begin + at
         share = np.take(flat, at) / total
         factor = 1 / (n * total)
@@ -436,8 +433,8 @@ def gradients(w: dict, classes: Classes, windows: np.ndarray) -> tuple[dict, flo
     g_out, dhs = hs.T @ d, np.zeros((len(on) + 1, DIM), kind)  # one row more, for those that don't count
     np.dot(d, w["out"].T, dhs[:-1])
     # logits of the entries of each row's class, one row after another
-    by_entry = with_row(w["out_entry"], w["bias_entry"]).T.copy()
-    back, g_entry, dhs_entry = by_entry[:, :DIM].copy(), np.zeros_like(by_entry), np.empty((len(on), DIM), kind)
+    to_entry, back = with_row(w["out_entry"], w["bias_entry"]), w["out_entry"].T
+    g_entry, dhs_entry = np.zeros(to_entry.T.shape, kind), np.empty((len(on), DIM), kind)
     widths = np.repeat(wide, size)
     begin = np.cumsum(widths)
     flat = np.empty(begin[-1] if len(on) else 0, kind)
@@ -447,13 +444,13 @@ def gradients(w: dict, classes: Classes, windows: np.ndarray) -> tuple[dict, flo
         if a0 < a1:
             to = at + (a1 - a0) * (low1 - low0)
             rows, z = hs[a0:a1], flat[at:to].reshape(a1 - a0, low1 - low0)
-            np.dot(rows, by_entry[low0:low1].T, z)
+            np.matmul(rows, to_entry[:, low0:low1], out=z)
             parts.append((rows, z, back[low0:low1], g_entry[low0:low1], dhs_entry[a0:a1]))
             at = to
     loss += step(flat, begin, goal_entry - np.repeat(classes.low[:-1], size), widths)
     for rows, z, its, g_its, d_rows in parts:
         np.dot(z.T, rows, g_its)
-        np.dot(z, its, d_rows)
+        np.matmul(z, its, out=d_rows)
     dhs[:-1] += dhs_entry
     g = {"out": g_out[:DIM], "bias": g_out[DIM], "out_entry": g_entry[:, :DIM].T, "bias_entry": g_entry[:, DIM]}
     # the layer and the attention
@@ -539,66 +536,61 @@ def log_sum(logits: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Log probability of windows' targets; what depends on an entry alone is looked up. A column of
-    ones makes products with values give the sum of the weights as well, and adds biases."""
+    """Log probability of windows' targets; what depends on an entry alone is looked up."""
 
     def __init__(self, w: dict, classes: Classes):
         to_key, self.to_h = folded(w)
-        self.w, self.classes, self.x = w, classes, with_ones(w["embed"])
-        self.q = w["embed"] @ to_key
-        self.near = w["near"][_NEAR] + _UNSEEN
+        self.w, self.classes, self.turned = w, classes, w["embed"].T.copy()
+        self.q, self.near = w["embed"] @ to_key, w["near"][_NEAR] + _UNSEEN
         self.out, self.out_entry = with_row(w["out"], w["bias"]), with_row(w["out_entry"], w["bias_entry"])
 
-    def hidden(self, c: np.ndarray, first: bool, h: np.ndarray) -> None:
-        """Fills `h`: hidden rows of the queries of windows that begin their text (nothing in front of it), or
-        not, and a column of ones."""
-        w, last = self.w, c[:, CONTEXT:]
-        seen, bias = (last, self.near[:, CONTEXT:]) if first else (c, self.near)
-        keys = np.take(self.x, seen, axis=0)
-        s = np.matmul(np.take(self.q, last, axis=0), keys[:, :, :DIM].transpose(0, 2, 1))
-        s += bias
-        if s.size and s.max() > 60:
+    def hidden(self, c: np.ndarray, first: np.ndarray, h: np.ndarray) -> None:
+        """Fills `h` with the hidden rows of the queries of windows, of which `first` begin their text
+        (nothing in front of it)."""
+        w = self.w
+        keys = np.take(w["embed"], c, axis=0)
+        turned = np.take(self.turned, c.ravel(), axis=1).reshape(DIM, -1, WIDE).transpose(1, 0, 2)
+        s = np.matmul(np.take(self.q, c[:, CONTEXT:], axis=0), turned)
+        s += self.near
+        s[first, :, :CONTEXT] = -1e9
+        if s.max() > 60:
             np.minimum(s, np.float32(60), out=s)
         np.exp(s, out=s)
-        a = np.matmul(s, keys).reshape(-1, DIM + 1)
-        h1 = (a[:, :DIM] / a[:, DIM:]) @ self.to_h
-        h1 += keys[:, -SCORED:, :DIM].reshape(-1, DIM)
+        a = np.matmul(s, keys).reshape(-1, DIM)
+        a *= (1 / (s.reshape(-1, WIDE) @ np.ones(WIDE, np.float32)))[:, None]
+        h1 = a @ self.to_h
+        h1 += keys[:, CONTEXT:].reshape(-1, DIM)
         r = h1 @ w["w1"]
         r += w["b1"]
         np.maximum(r, 0, out=r)
-        np.add(r @ w["w2"], h1, out=h[:, :DIM])
-        h[:, DIM] = 1
+        np.add(r @ w["w2"], h1, out=h)
 
     def __call__(self, windows: np.ndarray, first: np.ndarray, step: int = 64) -> np.ndarray:
         """Natural log of the probability of each window's targets, 0 where there is none."""
         classes = self.classes
-        c = np.take(classes.entry_or_first, windows)
-        h = np.empty((len(c), SCORED, DIM + 1), np.float32)
-        for begins in (True, False):
-            mine = np.flatnonzero(first == begins)
-            for a in range(0, len(mine), step):
-                part = mine[a:a + step]
-                some = np.empty((len(part) * SCORED, DIM + 1), np.float32)
-                self.hidden(c[part, :WIDE], begins, some)
-                h[part] = some.reshape(-1, SCORED, DIM + 1)
-        targets = windows[:, WIDE:]
-        on = np.flatnonzero(targets.ravel() != OUTSIDE)
-        goal_entry, goal_id = c[:, WIDE:].ravel()[on], targets.ravel()[on]
-        order = np.argsort(goal_entry, kind="stable")  # by entry, and so by class; two bytes are sorted by digits
-        on, goal_entry, goal_id = on[order], goal_entry[order].astype(np.int64), goal_id[order]
-        hs = np.take(h.reshape(-1, DIM + 1), on, axis=0)
+        c, h = np.take(classes.entry_or_first, windows), np.empty((len(windows) * SCORED, DIM + 1), np.float32)
+        h[:, DIM] = 1  # adds biases
+        for a in range(0, len(c), step):
+            part = slice(a, a + step)
+            self.hidden(c[part, :WIDE].astype(np.int64), np.flatnonzero(first[part]), h[a * SCORED:(a + step) * SCORED, :DIM])
+        targets = windows[:, WIDE:].ravel()
+        on, goal_entry = np.flatnonzero(targets != OUTSIDE), c[:, WIDE:].ravel()
+        order = np.argsort(goal_entry[on], kind="stable")  # by entry, and so by class; two bytes are sorted by digits
+        on = on[order]
+        goal_entry, goal_id = goal_entry[on].astype(np.int64), targets[on]
         found = np.take(classes.share, goal_id).astype(np.float64)
         edges = np.searchsorted(goal_entry, classes.low).tolist()
         for kind, (a, b) in enumerate(zip(edges, edges[1:])):
             low, high = classes.low[kind], classes.low[kind + 1]
-            for at in range(a, b, 2048):  # in memory that stays near
-                rows = slice(at, min(at + 2048, b))
-                z, top = hs[rows] @ self.out_entry[:, low:high], hs[rows] @ self.out
-                hit = z[np.arange(len(z)), goal_entry[rows] - low] + top[:, kind]
+            for at in range(a, b, 1024):  # in memory that stays near
+                rows = slice(at, min(at + 1024, b))
+                hs = np.take(h, on[rows], axis=0)
+                z, top = hs @ self.out_entry[:, low:high], hs @ self.out
+                hit = np.take(z.ravel(), np.arange(-low, len(z) * (high - low) - low, high - low) + goal_entry[rows]) + top[:, kind]
                 found[rows] += hit - log_sum(z) - log_sum(top)
         out = np.zeros(targets.size)
         out[on] = found
-        return out.reshape(targets.shape)
+        return out.reshape(-1, SCORED)
 
 
 # --- windows --------------------------------------------------------------------------------
@@ -741,8 +733,10 @@ def trained(store: DataFrame, vocabulary: bytes, rounds: int) -> tuple[dict, Cla
         turns = max(1, min(rounds, int(ids / SCORED / LEAST_WINDOWS)))
         # STEPS or more for each task
         dealt = store.coalesce(max(1, int(max(ids / SCORED / turns, LEAST_WINDOWS) / STEPS / BATCH)))
+        whole = store.count() >= BLOCKS_A_TURN * turns  # whole blocks to a round, or some windows of each
         for k in range(rounds):
-            w = averaged(dealt, w, classes, words.end, k % turns, turns, 1000 * k, 0.02 / (1 + k))
+            mine = dealt.where((F.shiftright("block", 32) + F.col("block")) % turns == k % turns) if whole else dealt
+            w = averaged(mine, w, classes, words.end, *((0, 1) if whole else (k % turns, turns)), 1000 * k, 0.02 / (1 + k))
     return w, classes
 
 
