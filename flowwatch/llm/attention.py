@@ -13,7 +13,8 @@ is put, letters lower-cased; an end-of-text id closes a text). Their counts and
 over all training documents give classes of ids. One layer of causal self-attention with
 relative places and a residual ReLU layer predicts the next id's class and which of the
 frequent ids of the class it is; rarer ids share one entry of their class by their counts, so
-all ids of the vocabulary have a probability and the sum is one. It is written in numpy:
+all ids of the vocabulary have a probability and the sum is one. As there is one head, the matrices of
+queries and keys, and those of values and output, are multiplied first. It is written in numpy:
 every partition of blocks makes Adam steps from the same weights, and the weights are averaged,
 `rounds` times. It learns from all windows of all training documents: they are dealt to the
 rounds, as long as each round has LEAST_WINDOWS; of fewer, a round takes all. Blocks are dealt
@@ -271,8 +272,12 @@ def subword_profiles(store: DataFrame, vocabulary_size: int) -> tuple[np.ndarray
             left = np.where(first[:-1], vocabulary_size, np.r_[0, pieces[:-1]])
             right = np.where(first[1:], vocabulary_size, np.r_[pieces[1:], 0])
             for side, other in enumerate((left, right)):
+                pair, where = np.unique(pieces * (vocabulary_size + 1) + other, return_inverse=True)
+                total = np.bincount(where, weight, len(pair))
+                own, its = np.divmod(pair, vocabulary_size + 1)
+                begin = np.flatnonzero(np.diff(own, prepend=-1))
                 for k in range(NEIGHBOURS):  # one at a time, in memory of one
-                    near[side, k] += np.bincount(pieces, weight * np.take(signs[k], other), vocabulary_size)
+                    near[side, k, own[begin]] += np.add.reduceat(total * signs[k, its], begin)
         ids = np.flatnonzero(count)
         for some in np.array_split(ids, -(-len(ids) // 4096)) if len(ids) else []:
             sums = pa.ListArray.from_arrays(

@@ -176,3 +176,64 @@ def test_query(spark):
     # on texts it has not seen, the model is far better than an equal chance of all ids
     out = got[got.held_out]
     assert out.score.sum() / out.n_tokens.sum() > -6
+
+
+def test_encode():
+    """Words all at once give what each word gives alone, wherever empty words stand."""
+    words = A.Vocabulary.of(LINES)
+    assert "seen" not in vars(words)  # nothing is remembered by word
+    some = [b"", b"one", "\u00e4 \u65e5\u672c".split()[0].encode(), b"", b"x" * 700, b"\xff\xfe", b"<|endoftext|>", b"end", b""]
+    for part in (some, some[1:3], [b""], []):
+        hashes, pieces, size = words.encode(part)
+        alone = [words.encode([w]) for w in part]
+        assert hashes == b"".join(h for h, _, _ in alone)
+        assert pieces == b"".join(p for _, p, _ in alone)
+        assert size.tolist() == [n for _, _, one in alone for n in one.tolist()]
+
+
+def test_exponentials():
+    """Rows of a matrix and rows one after another, in the range of float32 or far from it."""
+    for factor in (1, 30, 1000):
+        z = np.random.default_rng(3).normal(size=(6, 5)) * factor
+        want = np.exp(z - z.max(1, keepdims=True))
+        want /= want.sum(1, keepdims=True)
+        for begin in (None, np.arange(0, 30, 5)):
+            got = z.astype(np.float32) if begin is None else z.astype(np.float32).ravel()
+            total = A.exponentials(got, begin)
+            assert np.allclose(got.reshape(6, 5) / total[:, None], want, atol=1e-4)
+    assert len(A.exponentials(np.zeros(0, np.float32), np.zeros(0, int))) == 0
+
+
+def test_windows_that_do_not_count():
+    """A step without a target, or with one, and the order of the windows in it."""
+    _, classes, windows, w, _ = model_of(TEXTS)
+    none = windows[:1].copy()
+    none[:, A.WIDE:] = A.OUTSIDE
+    g, loss = A.gradients(w, classes, none)
+    assert loss == 0 and not any(np.any(x) for x in g.values())
+    a, b = A.gradients(w, classes, windows), A.gradients(w, classes, windows[::-1])
+    assert abs(a[1] - b[1]) < 1e-4 and all(np.allclose(a[0][k], b[0][k], atol=1e-5) for k in w)
+    # what is looked up is by entry, not by id
+    assert len(A.Scorer(w, classes).q) == len(w["embed"])
+
+
+def test_blocks_are_dealt(spark, monkeypatch):
+    """Where there are many, every block is read by one round alone, and none is left out."""
+    docs = spark.createDataFrame([(i, f"some words {i} " * 60) for i in range(60)], "doc_id long, text string").repartition(4)
+    store = A.keep(A.blocks(docs, LINES, "doc_id", "text", 8, 1500), "lm-test")
+    seen = []
+
+    def averaged(store, w, classes, end, turn, turns, seed, rate):
+        seen.append((sorted(r.block for r in store.select("block").collect()), turn, turns))
+        return w
+
+    monkeypatch.setattr(A, "averaged", averaged)
+    monkeypatch.setattr(A, "LEAST_WINDOWS", 16)
+    every = sorted(r.block for r in store.select("block").collect())
+    assert len(every) >= 24
+    A.trained(store, LINES, 3)
+    assert sorted(x for blocks, _, _ in seen for x in blocks) == every and all(x[1:] == (0, 1) for x in seen)
+    seen.clear()
+    monkeypatch.setattr(A, "BLOCKS_A_TURN", len(every))
+    A.trained(store, LINES, 3)
+    assert seen == [(every, k, 3) for k in range(3)]
