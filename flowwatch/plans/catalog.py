@@ -105,7 +105,7 @@ def _(spark, d):
     path = scratch_path(spark, "json")
     texts = T.packets(spark, d).select("protocol", F.to_json(F.struct("*")).alias("json"))
     damaged = F.when(F.col("protocol") == V.ARP, F.substring("json", 1, 40)).otherwise(F.col("json"))
-    texts.select(damaged.alias("value")).write.text(path)
+    texts.select(damaged.alias("value")).write.option("compression", "gzip").text(path)  # plain texts take some 16 times the disk
     read = IO.read_packets(spark, path)
     kind = F.when(F.col(IO.BAD_RECORD).isNotNull(), "BAD").otherwise(F.col("protocol"))
     return read.groupBy(kind.alias("protocol")).agg(

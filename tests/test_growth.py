@@ -2,6 +2,7 @@
 
 import os
 
+from conftest import SMALL
 from flowwatch import Rules
 from flowwatch.operators import flows as FL
 from flowwatch.operators import verdicts as VD
@@ -39,6 +40,17 @@ def test_landing_files_are_bounded(spark, tmp_path, monkeypatch):
     assert show(got) == show(want)
 
 
+def test_json_texts_are_stored_compressed(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(C, "scratch_path", lambda s, name, make=C.scratch_path: made.append(make(s, name)) or made[-1])
+    want = {r[0]: r[1] for r in T.packets(spark, SMALL).groupBy("protocol").count().collect()}
+    got = {r.protocol: r.n for r in C.QUERIES["src1"](spark, SMALL).collect()}
+    assert got == {"BAD" if k == "ARP" else k: n for k, n in want.items()}
+    sizes = [os.path.getsize(os.path.join(made[0], n)) for n in os.listdir(made[0]) if n.startswith("part-")]
+    text = spark.read.text(made[0]).selectExpr("sum(length(value) + 1)").first()[0]
+    assert 0 < sum(sizes) < text / 8
+
+
 def test_stored_verdicts_hold_what_is_read(spark):
     packets = table(spark, flow(1, ">SYN", "<RST,ACK") + flow(2, "<SYN", ">SYN,ACK") + flow(3, ">", protocol="UDP"))
     whole = VD.classify(FL.assemble(packets))
