@@ -5,6 +5,7 @@ import os
 from conftest import SMALL
 from flowwatch import Rules
 from flowwatch.operators import flows as FL
+from flowwatch.operators import skew
 from flowwatch.operators import verdicts as VD
 from flowwatch.plans import catalog as C
 from flowwatch.sources import traffic as T
@@ -79,3 +80,61 @@ def test_only_flows_that_go_on_are_merged(spark, tmp_path, monkeypatch):
     columns = [*FL.KEYS, "n_packets", "first_ts", "last_ts", "short_path", *FL.SEEN]
     show = lambda rows: sorted(map(str, rows.select(*columns).collect()))
     assert show(store.flows(spark)) == show(FL.assemble(table(spark, rows + later), gap_us=GAP))
+
+
+def test_sessions_list_a_flow_once(spark):
+    """No window over packets; the same sessions as in slices, with ties, pauses and packets without a time."""
+    times = [0, 0, 5, GAP, 2 * GAP + 1, 2 * GAP + 2, 9 * GAP, None, None, 9 * GAP]
+    rows = [packet(100 * f + i, f, (">SYN", "<ACK", ">FIN,ACK")[(i + f) % 3], ts=t) for f in range(4) for i, t in enumerate(times[f:])]
+    rows = [r if t is not None else (r[0], None, *r[2:]) for r, t in zip(rows, [t for f in range(4) for t in times[f:]])]
+    rows += [packet(5000 + i, 9, ">ACK", ts=i // 2 * 2 * GAP) for i in range(6000)]  # 3000 sessions of one flow
+    members = FL.own_members(table(spark, rows))
+    listed = FL.session_facts(members, GAP)
+    assert "Window" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert listed.where("flow_key = 9 and n_packets = 2").count() == 3000
+    columns = [*FL.KEYS, "session", "n_packets", "own_first", "first", "last", "first_in", "first_out", "path", *FL.SEEN]
+    show = lambda rows: sorted(map(str, rows.select(*columns).collect()))
+    timed = members.where("timestamp IS NOT NULL")
+    assert show(FL.session_facts(timed, GAP)) == show(FL.session_facts(timed, GAP, hot="sliced"))
+    assert {r.flow_key: r.n for r in listed.where("flow_key < 9").selectExpr("flow_key", "n_packets").groupBy("flow_key").agg(
+        {"*": "count"}).withColumnRenamed("count(1)", "n").collect()} == {0: 3, 1: 3, 2: 3, 3: 3}
+
+
+def test_groups_are_counted_one_by_one_only_where_a_counter_is_full(spark, monkeypatch):
+    rows = table(spark, [packet(i, i, ">ACK") for i in range(300)] + [packet(1000 + i, 7, ">ACK") for i in range(60)])
+    looked, group = [], type(rows).groupBy
+
+    def noted(self, *columns):
+        looked.append(len(columns))
+        return group(self, *columns)
+
+    monkeypatch.setattr(type(rows), "groupBy", noted)
+    assert skew.heavy_groups(rows, ["flow_key", "pair_key"], 100) == [] and looked == [1]
+    assert [(r.flow_key, r.n) for r in skew.heavy_groups(rows, ["flow_key", "pair_key"], 50)] == [(7, 61)] and looked == [1, 1, 2]
+
+
+def test_features_of_many_and_few_sources_are_the_same(spark, tmp_path, monkeypatch):
+    """A batch that touches many sources does not join all their verdict rows with the list of them."""
+    packets, model = T.packets(spark, SMALL).where("flow_key < 600"), C.StatedModel()
+    shown = ["time", "scan_type", "attack_type", "attacker", "port", "chance", *FL.KEYS]
+    found = []
+    for few in (ST.FEW, 0):
+        monkeypatch.setattr(ST, "FEW", few)
+        sink = ST.Recorder(str(tmp_path / f"store{few}"), model, buckets=2)
+        for k in range(2):
+            sink(packets.where(f"flow_key % 2 = {k}"), k)
+        found.append(sorted(map(str, sink.alerts(spark).select(*shown).collect())))
+    assert found[0] and found[0] == found[1]
+
+
+def test_old_packets_of_other_times_are_not_read_again(spark, tmp_path):
+    """Pairs with UDP and ICMP packets are made again from the files of their own time."""
+    store = ST.FlowStore(str(tmp_path / "store"))
+    udp = [packet(1, 1, ">", protocol="UDP", ts=50 * GAP), packet(2, 1, "<", protocol="ICMP", ts=50 * GAP + 5)]
+    for k, rows in enumerate(([packet(9, 9, ">SYN", ts=0)], udp)):
+        store(table(spark, rows), k)
+    pairs = store.of_batch(spark, "kinds", 1).select("flow_key", "pair_key").distinct()
+    old = store.live(spark, "sessions", 0).where("false").select("at", "first", "batch", *FL.KEYS)
+    again = store._packets_of(spark, pairs, old, 50 * GAP, 50 * GAP + 5, 1)
+    assert again.count() == 2
+    assert "timestamp" in again._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1].split("]")[0]
