@@ -2,6 +2,9 @@
 
 import os
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from conftest import SMALL
 from flowwatch import Rules
 from flowwatch.operators import flows as FL
@@ -10,6 +13,7 @@ from flowwatch.operators import verdicts as VD
 from flowwatch.plans import catalog as C
 from flowwatch.sources import traffic as T
 from flowwatch.streaming import detect as ST
+from flowwatch.streaming import store as store_module
 from rows import flow, packet, table
 
 GAP = Rules().quiet_us
@@ -138,3 +142,20 @@ def test_old_packets_of_other_times_are_not_read_again(spark, tmp_path):
     again = store._packets_of(spark, pairs, old, 50 * GAP, 50 * GAP + 5, 1)
     assert again.count() == 2
     assert "timestamp" in again._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1].split("]")[0]
+
+
+def test_a_generation_is_made_once(spark, tmp_path, monkeypatch):
+    """Ranges of time come from the stored column; rows without a time stay."""
+    monkeypatch.setattr(store_module, "FILE_ROWS", 40)
+    store = ST.FlowStore(str(tmp_path / "store"))
+    rows = [packet(i, i, ">ACK", ts=i * GAP) for i in range(200)] + [(900, None, *packet(900, 900, ">SYN")[2:])]
+    store(table(spark, rows), 0)
+    sampled = []
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda *a: sampled.append(a))
+    store.compact(spark, evict=False)
+    assert not sampled and store.live(spark).count() == 201
+    files = spark.read.parquet(f"{store.folder}/packets-1").selectExpr("timestamp", "input_file_name() AS f")
+    ranges = sorted((r[0], r[1]) for r in files.where("timestamp IS NOT NULL").groupBy("f").agg(
+        F.min("timestamp"), F.max("timestamp")).select("min(timestamp)", "max(timestamp)").collect())
+    assert len(ranges) >= 4 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    assert files.count() == 201
